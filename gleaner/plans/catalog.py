@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import discovery_queries
+from gleaner.plans import analysis_queries, discovery_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,4 +14,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict:
     out = {}
     out.update(discovery_queries.QUERIES)
+    out.update(analysis_queries.QUERIES)
     return out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import discovery
+    from oracle import analysis, discovery
 
     out: dict[str, str] = {}
     out.update(discovery.SQL)
+    out.update(analysis.SQL)
     return out

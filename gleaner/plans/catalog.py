@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import analysis_queries, discovery_queries
+from gleaner.plans import analysis_queries, discovery_queries, report_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +15,5 @@ def all_queries() -> dict:
     out = {}
     out.update(discovery_queries.QUERIES)
     out.update(analysis_queries.QUERIES)
+    out.update(report_queries.QUERIES)
     return out

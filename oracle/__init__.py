@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import analysis, discovery
+    from oracle import analysis, discovery, report
 
     out: dict[str, str] = {}
     out.update(discovery.SQL)
     out.update(analysis.SQL)
+    out.update(report.SQL)
     return out

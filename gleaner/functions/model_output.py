@@ -41,7 +41,7 @@ def brace_positions(text: Column) -> Column:
     n = F.size(F.split(text, r"\{", -1)) - 1
 
     def step(acc, _):
-        start = F.when(F.size(acc) == 0, F.lit(1)).otherwise(F.element_at(acc, -1) + 1)
+        start = F.when(F.size(acc) == 0, F.lit(1)).otherwise(F.try_element_at(acc, F.lit(-1)) + 1)
         tail = F.substring(text, start, 1 << 30)
         return F.concat(acc, F.array(F.instr(tail, "{") + start - 1))
 

@@ -100,3 +100,16 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("source"),
         F.lit("").alias("published"),
     )
+
+
+def pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed crawl table: pages plus content type and fetch outcome (FIXTURES.md)."""
+    pages = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    ct = (
+        F.when(pid % 17 == 0, F.lit("application/pdf"))
+        .when(pid % 19 == 0, F.lit(""))
+        .otherwise(F.lit("text/html; charset=utf-8"))
+    )
+    fetch = F.when(pid % 23 == 0, F.lit("timeout")).otherwise(F.lit("ok"))
+    return pages.select("page_id", "url", "html", ct.alias("content_type"), fetch.alias("fetch_status"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import analysis, discovery, report
+    from oracle import analysis, discovery, pages, report
 
     out: dict[str, str] = {}
     out.update(discovery.SQL)
     out.update(analysis.SQL)
     out.update(report.SQL)
+    out.update(pages.SQL)
     return out

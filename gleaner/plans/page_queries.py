@@ -106,3 +106,56 @@ QUERIES = {
     "page_status": q_page_status,
     "page_scan_decode": q_page_scan_decode,
 }
+
+
+# --- joined triage: candidates x extracted pages x prompt ---------------------------
+
+from gleaner.functions.urls import normalize_url  # noqa: E402
+from gleaner.operators import analysis as A  # noqa: E402
+from gleaner.operators import discovery as D  # noqa: E402
+from gleaner.plans.discovery_queries import _candidates  # noqa: E402
+
+
+def _top(spark, sf_dir):
+    best = D.url_dedup_best(_candidates(spark, sf_dir))
+    top = D.capped_topk(best, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
+    r = F.col("rank")
+    title = F.when(r % 3 == 0, F.lit("")).when(r % 3 == 1, F.col("url")).otherwise(F.col("title"))
+    return top.select(F.col("rank").cast("int").alias("rank"), "url", title.alias("title"), "content")
+
+
+def extracted_for(pages_raw: DataFrame, wanted_urls: DataFrame) -> DataFrame:
+    """Extract only the pages whose normalised url is wanted (late materialisation).
+
+    ``wanted_urls`` is the selected top-k, so its size is bounded by the limit and
+    it is broadcast for the semi-join; the page table is never shuffled. One page
+    per url is kept (lowest page_id) with a partial aggregate."""
+    keyed = pages_raw.withColumn("url", normalize_url("url"))
+    wanted = keyed.join(F.broadcast(wanted_urls.select("url").distinct()), "url", "left_semi")
+    ex = P.extract_articles(wanted, keep=["page_id"])
+    rec = F.struct(*[c for c in ex.columns if c not in ("page_id",)])
+    one = ex.groupBy("url").agg(F.min_by(rec, F.col("page_id")).alias("x"))
+    return one.select("x.*")
+
+
+def _enriched(spark, sf_dir):
+    top = _top(spark, sf_dir)
+    return A.enrich_with_extraction(top, extracted_for(X.pages_raw(spark, sf_dir), top))
+
+
+def q_enrich_with_extraction(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return e.select("rank", "url", "title", "content_source", F.coalesce(F.col("extraction.status"), F.lit("")).alias("extraction_status"),
+                    F.coalesce(F.col("extraction.content_chars"), F.lit(0)).alias("content_chars"), "analysis_content")
+
+
+def q_prompt_build(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    ex = F.col("extraction")
+    prompt = A.prompt(F.lit(X.TOPIC), F.col("title"), F.col("url"), A.metadata_json(ex), F.col("content_source"),
+                      F.coalesce(ex["status"], F.lit("")), F.col("analysis_content"))
+    return e.select("rank", "url", prompt.alias("prompt"))
+
+
+QUERIES["enrich_with_extraction"] = q_enrich_with_extraction
+QUERIES["prompt_build"] = q_prompt_build

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import analysis_queries, discovery_queries, page_queries, report_queries
+from gleaner.plans import analysis_queries, discovery_queries, page_queries, report_queries, state_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +17,5 @@ def all_queries() -> dict:
     out.update(analysis_queries.QUERIES)
     out.update(report_queries.QUERIES)
     out.update(page_queries.QUERIES)
+    out.update(state_queries.QUERIES)
     return out

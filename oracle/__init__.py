@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import analysis, discovery, pages, report
+    from oracle import analysis, discovery, pages, report, state
 
     out: dict[str, str] = {}
     out.update(discovery.SQL)
     out.update(analysis.SQL)
     out.update(report.SQL)
     out.update(pages.SQL)
+    out.update(state.SQL)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import analysis_queries, discovery_queries, page_queries, report_queries, state_queries
+from gleaner.plans import analysis_queries, discovery_queries, page_queries, report_queries, state_queries, stream_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +18,5 @@ def all_queries() -> dict:
     out.update(report_queries.QUERIES)
     out.update(page_queries.QUERIES)
     out.update(state_queries.QUERIES)
+    out.update(stream_queries.QUERIES)
     return out

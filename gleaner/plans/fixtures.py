@@ -67,7 +67,12 @@ def _second(ts: Column) -> Column:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed entries derived from documents (pos = doc_id = arrival order)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 400).alias("head"))
+    return entries_from(table(spark, sf_dir, "documents"), spark, sf_dir)
+
+
+def entries_from(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries for a documents DataFrame (batch or stream; lookups are static tables)."""
+    docs = documents.select("doc_id", "source", "lang", F.substring("text", 1, 400).alias("head"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     keyed = docs.select(

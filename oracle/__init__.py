@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import analysis, discovery, pages, report, state
+    from oracle import analysis, discovery, pages, report, state, stream
 
     out: dict[str, str] = {}
     out.update(discovery.SQL)
@@ -12,4 +12,5 @@ def all_sql() -> dict[str, str]:
     out.update(report.SQL)
     out.update(pages.SQL)
     out.update(state.SQL)
+    out.update(stream.SQL)
     return out

@@ -240,8 +240,48 @@ def best_candidate(scored: Column) -> Column:
     )
 
 
+MARK_NODE = "\u0003"
+
+
+def _mark_blocks(fragment: Column) -> Column:
+    """Block open tags -> MARK_OPEN name MARK_NAME_END; block close tags -> MARK_OPEN."""
+    marked = F.regexp_replace(fragment, open_tag_re(C.BLOCK_TAGS), MARK_OPEN + "$1" + MARK_NAME_END)
+    return F.regexp_replace(marked, r"(?is)</(?:" + "|".join(C.BLOCK_TAGS) + ")" + WS + "*>", MARK_OPEN)
+
+
+def _strip_pieces(g: Column, extra: str = "") -> Column:
+    """Strip whitespace (and ``extra`` marker chars) at the text start of every block
+    (after MARK_NAME_END) and at every piece end (before MARK_OPEN or the end)."""
+    cls = "[" + extra + PY_WS_CLASS + "]+"
+    g = F.regexp_replace(g, MARK_NAME_END + cls, MARK_NAME_END)
+    return F.regexp_replace(g, cls + "(?=" + MARK_OPEN + r")|" + cls + r"\z", "")
+
+
 def block_texts(fragment: Column) -> Column:
-    return F.transform(block_spans(fragment), lambda b: F.struct(b["tag"].alias("tag"), get_text(b["inner"], " ").alias("text")))
+    """(tag, text) of every flat block, all texts computed in whole-string passes.
+
+    Same result as ``get_text(inner, " ")`` per block: every step is local to a
+    block (markers never fall inside a whitespace run, an entity or a tag), so it
+    can run once over the marked container instead of once per block."""
+    g = F.regexp_replace(_mark_blocks(fragment), TAG_RE, MARK_NODE)
+    g = html_unescape(g)
+    g = F.regexp_replace(g, PY_WS + "*" + MARK_NODE + "[" + MARK_NODE + PY_WS_CLASS + "]*", MARK_NODE)
+    g = _strip_pieces(g, MARK_NODE)
+    g = F.replace(g, F.lit(MARK_NODE), F.lit(" "))
+    # clean_whitespace, piece-locally
+    g = html_unescape(g)
+    g = F.replace(g, F.lit("\u00a0"), F.lit(" "))
+    g = F.regexp_replace(g, r"[ \t\r\f\x{B}]+", " ")
+    g = F.regexp_replace(g, r"\n{3,}", "\n\n")
+    g = _strip_pieces(g)
+    pieces = F.filter(F.split(g, MARK_OPEN, -1), lambda x: F.instr(x, MARK_NAME_END) > 0)
+    return F.transform(
+        pieces,
+        lambda x: F.struct(
+            F.lower(F.substring_index(x, MARK_NAME_END, 1)).alias("tag"),
+            F.substring(x, F.instr(x, MARK_NAME_END) + 1, 1 << 30).alias("text"),
+        ),
+    )
 
 
 def keep_block(b: Column) -> Column:
@@ -282,7 +322,7 @@ def first_tag(spans: Column) -> Column:
 
 
 TITLE_RE = open_tag_re(["title"])
-REL_AUTHOR_RE = attr_open_re(r"rel" + WS + r"*=" + WS + r"*[\"']author[\"']")
+REL_AUTHOR_RE = attr_open_re(r"rel" + WS + r"*=" + WS + r"*[\"'](?-i:author)[\"']")
 TIME_RE = attr_open_re(r"datetime" + WS + r"*=", "time")
 
 

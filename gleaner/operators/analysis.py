@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.model_output import error_analysis, first_json_object, normalize_analysis
+from gleaner.functions.model_output import FENCED_OBJECT, MSG_BAD_FENCE, MSG_MISSING, MSG_NO_OBJECT, _whole_json, brace_positions, error_analysis, normalize_analysis
+from gleaner.functions.text import strip_spinner
 
 # FIXED VALUES: the analysis prompt template with its seven placeholders.
 ANALYSIS_PROMPT = """You are a skeptical technical analyst filtering articles for a senior DevOps/platform engineer.
@@ -66,10 +67,21 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     The JSON recovery runs once per row into a VARIANT column; the fifteen field
     extractions then read that column instead of re-parsing the text.
     """
-    parsed = outputs.withColumn("_parsed", first_json_object(F.col(raw_col)))
-    parsed = parsed.withColumn("_obj", F.col("_parsed.obj")).withColumn("_err", F.col("_parsed.error")).drop("_parsed")
-    analysis = F.when(F.col("_obj").isNull(), error_analysis(F.col("_err"))).otherwise(normalize_analysis(F.col("_obj"), F.col(raw_col)))
-    return parsed.withColumn("analysis", analysis).drop("_obj", "_err")
+    raw = F.col(raw_col)
+    p = outputs.withColumn("_cleaned", strip_spinner(raw))
+    p = p.withColumn("_fenced", F.regexp_extract(F.col("_cleaned"), FENCED_OBJECT, 1))
+    p = p.withColumn("_braces", brace_positions(F.col("_cleaned")))
+    tries = F.transform("_braces", lambda b: F.try_parse_json(F.substring(F.col("_cleaned"), b, 1 << 30)))
+    p = p.withColumn("_found", F.try_element_at(F.filter(tries, lambda v: v.isNotNull()), F.lit(1)))
+    p = p.withColumn("_fenced_obj", _whole_json(F.col("_fenced")))
+    fenced = F.col("_fenced") != ""
+    p = p.withColumn("_obj", F.when(raw.isNull(), F.lit(None)).when(fenced, F.col("_fenced_obj")).otherwise(F.col("_found")))
+    p = p.withColumn("_err", F.when(raw.isNull(), F.lit(MSG_MISSING))
+                     .when(fenced & F.col("_fenced_obj").isNull(), F.lit(MSG_BAD_FENCE))
+                     .when(~fenced & F.col("_found").isNull(), F.lit(MSG_NO_OBJECT)))
+    p = p.drop("_cleaned", "_fenced", "_braces", "_found", "_fenced_obj")
+    analysis = F.when(F.col("_obj").isNull(), error_analysis(F.col("_err"))).otherwise(normalize_analysis(F.col("_obj"), raw))
+    return p.withColumn("analysis", analysis).drop("_obj", "_err")
 
 
 def join_analysis(cands: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
@@ -131,3 +143,44 @@ def prompt(topic: Column, title: Column, url: Column, metadata: Column, content_
     for name in PLACEHOLDER_ORDER:
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(values[name], F.lit("")))
     return out
+
+
+def articles_from_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """Manual submissions: one article per url, titled by the url, with a fixed excerpt."""
+    return urls.select(
+        F.col(url_col).alias("url"),
+        F.col(url_col).alias("title"),
+        F.lit(C.MANUAL_CONTENT).alias("content"),
+        *[c for c in urls.columns if c != url_col],
+    )
+
+
+def score_with(prompts: DataFrame, scorer, prompt_col: str = "prompt", key_col: str = "url") -> DataFrame:
+    """Run a user-supplied batch scorer (the model call) next to the data.
+
+    ``scorer(pandas.Series[str]) -> pandas.Series[str | None]`` maps prompts to raw
+    model outputs for one Arrow batch; Spark distributes the batches with
+    ``mapInPandas``. The raw text then goes through ``analyse_outputs`` like any
+    landed model output, so a failing call becomes an error record, not a failed job.
+    """
+    def run(batches):
+        for pdf in batches:
+            out = pdf[[key_col]].copy()
+            try:
+                out["raw"] = list(scorer(pdf[prompt_col]))
+            except Exception:  # noqa: BLE001 - a failed call is an error row downstream
+                out["raw"] = None
+            yield out
+
+    schema = f"{key_col} string, raw string"
+    return analyse_outputs(prompts.select(F.col(key_col).cast("string").alias(key_col), prompt_col).mapInPandas(run, schema))
+
+
+def discover(mode: str, feed_candidates: DataFrame | None = None, search_candidates: DataFrame | None = None) -> DataFrame:
+    """Discovery-mode dispatch: 'feeds' or 'search'; anything else is an error."""
+    m = (mode or "").strip().lower()
+    if m == "feeds" and feed_candidates is not None:
+        return feed_candidates
+    if m == "search" and search_candidates is not None:
+        return search_candidates
+    raise ValueError("discovery mode must be 'feeds' or 'search'")

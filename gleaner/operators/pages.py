@@ -53,8 +53,11 @@ def metadata_stages(p: DataFrame, html: str = "x_raw") -> DataFrame:
     h = F.col(html)
     p = p.withColumn("x_metas", H.meta_tags(h))
     p = p.withColumn("x_title_sp", H.element_spans(h, H.TITLE_RE))
-    p = p.withColumn("x_rel_sp", H.element_spans(h, H.REL_AUTHOR_RE))
-    p = p.withColumn("x_time_sp", H.element_spans(h, H.TIME_RE))
+    # selector scans run only on pages that contain their token (exact gates: the
+    # attribute value is matched case-sensitively, tag names through lower-case)
+    none = F.array().cast(H.SPAN_TYPE)
+    p = p.withColumn("x_rel_sp", F.when(F.instr(h, "author") > 0, H.element_spans(h, H.REL_AUTHOR_RE)).otherwise(none))
+    p = p.withColumn("x_time_sp", F.when(F.instr(F.lower(h), "<time") > 0, H.element_spans(h, H.TIME_RE)).otherwise(none))
     p = p.select(
         "*",
         *[H.meta_selector_value(F.col("x_metas"), attr, value).alias(name) for name, attr, value in META_COLUMNS],

@@ -149,3 +149,16 @@ def read_seen_json(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException:
         docs = spark.createDataFrame([], "value string")
     return parse_seen_map(docs)
+
+
+def read_recent(spark: SparkSession, path: str) -> DataFrame:
+    """Recent-topic history (JSON array of strings, oldest first) -> (pos, topic);
+    a missing file is empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        docs = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        docs = spark.createDataFrame([], "value string")
+    arr = docs.select(F.from_json(F.col("value"), "array<string>").alias("a"))
+    return arr.select(F.posexplode("a").alias("pos", "topic"))

@@ -83,3 +83,22 @@ def test_writers_roundtrip(spark):
     back = spark.read.text(os.path.join(d, "digest", "topic=t")).collect()
     assert len(back) == 50
     _ = F
+
+
+def test_recent_and_manual_and_scorer(spark):
+    from gleaner.operators import analysis as A
+
+    d = _tmp()
+    p = os.path.join(d, "recent.json")
+    with open(p, "w") as f:
+        json.dump(["a", "b", "a"], f, indent=2)
+    assert [(r["pos"], r["topic"]) for r in FS.read_recent(spark, p).orderBy("pos").collect()] == [(0, "a"), (1, "b"), (2, "a")]
+    assert FS.read_recent(spark, os.path.join(d, "nope.json")).count() == 0
+    urls = spark.createDataFrame([("https://x.org/a",)], "url string")
+    art = A.articles_from_urls(urls).collect()[0]
+    assert art["title"] == art["url"] and art["content"].startswith("Manual URL submission.")
+    prompts = spark.createDataFrame([("u1", "p1"), ("u2", "p2")], "url string, prompt string")
+    out = A.score_with(prompts, lambda s: s.map(lambda x: '{"recommendation": "skim", "signal_score": 90}' if x == "p1" else "garbage"))
+    got = {r["url"]: r["analysis"] for r in out.collect()}
+    assert got["u1"]["recommendation"] == "skim" and got["u1"]["signal_score"] == 90
+    assert got["u2"]["analysis_error"] is not None

@@ -113,7 +113,13 @@ def attr_open_re(attr_pattern: str, names: str = ANY_TAG) -> str:
     return r"(?is)<(" + names + r")" + WS + r"(?:[^>]*" + WS + r")?" + attr_pattern + r"[^>]*>"
 
 
-def element_spans(html: Column, open_re: str) -> Column:
+def ascii_lower(c: Column) -> Column:
+    """Lower-case ASCII letters only: same length and offsets as the input, so a
+    search in it gives positions in the original (tag names are ASCII)."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def element_spans(html: Column, open_re: str, html_lc: Column | None = None) -> Column:
     """Elements whose open tag matches ``open_re`` (group 1 = tag name), in document
     order: array<struct<start:int, name:string, tag:string, content:string>>.
 
@@ -136,7 +142,11 @@ def element_spans(html: Column, open_re: str) -> Column:
     located = F.aggregate(zipped, init, step, lambda st: st["acc"])
 
     def cut(s):
-        close = _close_at(html, s["name"], s["start"])
+        if html_lc is not None:
+            found = F.instr(F.substring(html_lc, s["start"], 1 << 30), F.concat(F.lit("</"), s["name"]))
+            close = F.when(found > 0, found + s["start"] - 1).otherwise(F.lit(0))
+        else:
+            close = _close_at(html, s["name"], s["start"])
         content = F.when(close > 0, F.substring(html, s["start"], close - s["start"])).otherwise(F.substring(html, s["start"], 1 << 30))
         return F.struct(s["start"].alias("start"), s["name"].alias("name"), s["tag"].alias("tag"), content.alias("content"))
 
@@ -158,29 +168,29 @@ def _class_token(token: str) -> str:
 ROLE_MAIN = r"role" + WS + r"*=" + WS + r"*[\"'](?-i:main)[\"']"
 
 
-def _gated(html: Column, token: str, spans: Column) -> Column:
+def _gated(html: Column, token: str, spans: Column) -> Column:  # noqa: D103
     """Skip the selector scan when its case-sensitive token does not occur at all."""
     return F.when(F.instr(html, token) > 0, spans).otherwise(F.array().cast(SPAN_TYPE))
 
 
-def preferred_candidates(html: Column) -> Column:
+def preferred_candidates(html: Column, html_lc: Column | None = None) -> Column:
     """Containers matched by the preferred selectors, selector order then document order.
 
     "main article" matches are a subset of "article" matches listed later, so they
     can never change a first-wins arg-max and are not repeated.
     """
     lists = [
-        element_spans(html, open_tag_re(["article"])),
-        element_spans(html, open_tag_re(["main"])),
-        _gated(html, "main", element_spans(html, attr_open_re(ROLE_MAIN))),
+        element_spans(html, open_tag_re(["article"]), html_lc),
+        element_spans(html, open_tag_re(["main"]), html_lc),
+        _gated(html, "main", element_spans(html, attr_open_re(ROLE_MAIN), html_lc)),
     ]
     for sel in C.PREFERRED_CONTAINER_SELECTORS[4:]:
-        lists.append(_gated(html, sel[1:], element_spans(html, attr_open_re(_class_token(sel[1:])))))
+        lists.append(_gated(html, sel[1:], element_spans(html, attr_open_re(_class_token(sel[1:])), html_lc)))
     return F.concat(*lists)
 
 
-def fallback_candidates(html: Column) -> Column:
-    return F.slice(element_spans(html, open_tag_re(C.FALLBACK_CONTAINER_TAGS)), 1, C.MAX_FALLBACK_CONTAINERS)
+def fallback_candidates(html: Column, html_lc: Column | None = None) -> Column:
+    return F.slice(element_spans(html, open_tag_re(C.FALLBACK_CONTAINER_TAGS), html_lc), 1, C.MAX_FALLBACK_CONTAINERS)
 
 
 def block_spans(fragment: Column) -> Column:

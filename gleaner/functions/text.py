@@ -55,9 +55,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.isspace() accepts (the set str.strip() removes).
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends (a character-set
+    trim, which only looks at the two ends instead of scanning the string)."""
+    return F.btrim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def html_unescape(c) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import constants as C
 from gleaner.functions.model_output import FENCED_OBJECT, MSG_BAD_FENCE, MSG_MISSING, MSG_NO_OBJECT, _whole_json, brace_positions, error_analysis, normalize_analysis
 from gleaner.functions.text import strip_spinner
+from gleaner.operators.partitioning import spread
 
 # FIXED VALUES: the analysis prompt template with its seven placeholders.
 ANALYSIS_PROMPT = """You are a skeptical technical analyst filtering articles for a senior DevOps/platform engineer.
@@ -68,7 +69,7 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     extractions then read that column instead of re-parsing the text.
     """
     raw = F.col(raw_col)
-    p = outputs.withColumn("_cleaned", strip_spinner(raw))
+    p = spread(outputs).withColumn("_cleaned", strip_spinner(raw))
     p = p.withColumn("_fenced", F.regexp_extract(F.col("_cleaned"), FENCED_OBJECT, 1))
     p = p.withColumn("_braces", brace_positions(F.col("_cleaned")))
     tries = F.transform("_braces", lambda b: F.try_parse_json(F.substring(F.col("_cleaned"), b, 1 << 30)))

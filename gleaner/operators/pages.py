@@ -14,6 +14,7 @@ from gleaner.functions import constants as C
 from gleaner.functions import html as H
 from gleaner.functions.text import clean_whitespace, truncate_text
 from gleaner.functions.urls import url_authority, url_scheme
+from gleaner.operators.partitioning import spread
 
 EMPTY_BLOCKS = "array<struct<tag:string,text:string>>"
 FETCH_TIMEOUT_S = 20
@@ -51,13 +52,15 @@ def metadata_stages(p: DataFrame, html: str = "x_raw") -> DataFrame:
     Every selector result is its own column, so the first-non-empty pick below only
     re-reads cheap column references."""
     h = F.col(html)
+    p = p.withColumn("x_raw_lc", H.ascii_lower(h))
+    lc = F.col("x_raw_lc")
     p = p.withColumn("x_metas", H.meta_tags(h))
-    p = p.withColumn("x_title_sp", H.element_spans(h, H.TITLE_RE))
+    p = p.withColumn("x_title_sp", H.element_spans(h, H.TITLE_RE, lc))
     # selector scans run only on pages that contain their token (exact gates: the
     # attribute value is matched case-sensitively, tag names through lower-case)
     none = F.array().cast(H.SPAN_TYPE)
-    p = p.withColumn("x_rel_sp", F.when(F.instr(h, "author") > 0, H.element_spans(h, H.REL_AUTHOR_RE)).otherwise(none))
-    p = p.withColumn("x_time_sp", F.when(F.instr(F.lower(h), "<time") > 0, H.element_spans(h, H.TIME_RE)).otherwise(none))
+    p = p.withColumn("x_rel_sp", F.when(F.instr(h, "author") > 0, H.element_spans(h, H.REL_AUTHOR_RE, lc)).otherwise(none))
+    p = p.withColumn("x_time_sp", F.when(F.instr(lc, "<time") > 0, H.element_spans(h, H.TIME_RE, lc)).otherwise(none))
     p = p.select(
         "*",
         *[H.meta_selector_value(F.col("x_metas"), attr, value).alias(name) for name, attr, value in META_COLUMNS],
@@ -73,18 +76,20 @@ def metadata_stages(p: DataFrame, html: str = "x_raw") -> DataFrame:
         H.pick([c("x_author"), c("x_rel_text")]).alias("byline"),
         H.pick([c("x_pub_time"), c("x_date"), c("x_pub_date"), c("x_time_content"), c("x_time_text")]).alias("published_date"),
     )
-    drop = ["x_metas", "x_title_sp", "x_rel_sp", "x_time_sp", "x_title_text", "x_rel_text", "x_time_text", "x_time_content"]
+    drop = ["x_raw_lc", "x_metas", "x_title_sp", "x_rel_sp", "x_time_sp", "x_title_text", "x_rel_text", "x_time_text", "x_time_content"]
     return p.withColumn("x_meta", meta).drop(*drop, *[n for n, _, _ in META_COLUMNS])
 
 
 def extract_stages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Add the intermediate extraction columns (prefixed ``x_``) to a page table."""
-    p = pages.withColumn("x_raw", F.substring(F.col(html_col), 1, C.MAX_DOWNLOAD_BYTES))
+    p = spread(pages).withColumn("x_raw", F.substring(F.col(html_col), 1, C.MAX_DOWNLOAD_BYTES))
     p = metadata_stages(p, "x_raw")
     p = p.withColumn("x_clean0", H.strip_boilerplate_tags(F.col("x_raw")))
     p = p.withColumn("x_clean", F.when(H.has_noise(F.col("x_clean0")), H.strip_noise(F.col("x_clean0"))).otherwise(F.col("x_clean0"))).drop("x_clean0")
-    p = p.withColumn("x_pref", H.preferred_candidates(F.col("x_clean")))
-    p = p.withColumn("x_cands", F.when(F.size("x_pref") > 0, F.col("x_pref")).otherwise(H.fallback_candidates(F.col("x_clean")))).drop("x_pref")
+    p = p.withColumn("x_clean_lc", H.ascii_lower(F.col("x_clean")))
+    p = p.withColumn("x_pref", H.preferred_candidates(F.col("x_clean"), F.col("x_clean_lc")))
+    p = p.withColumn("x_cands", F.when(F.size("x_pref") > 0, F.col("x_pref"))
+                     .otherwise(H.fallback_candidates(F.col("x_clean"), F.col("x_clean_lc")))).drop("x_pref", "x_clean_lc")
     p = p.withColumn("x_measures", F.transform("x_cands", H.container_measures)).drop("x_cands")
     p = p.withColumn("x_scored", F.transform("x_measures", H.container_score)).drop("x_measures")
     p = p.withColumn("x_best", H.best_candidate(F.col("x_scored")))

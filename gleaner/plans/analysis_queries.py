@@ -154,7 +154,7 @@ def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_response_array_explode(spark, sf_dir):
     r = response_texts(spark, sf_dir).withColumn("arr", json_array_block("response"))
-    ok = r.where(F.col("arr").isNotNull()).select("doc_id", F.posexplode("arr").alias("idx", "a"))
+    ok = r.where(F.col("arr").isNotNull()).select("doc_id", F.posexplode_outer("arr").alias("idx", "a")).where(F.col("idx").isNotNull())
     good = ok.select("doc_id", F.col("idx").cast("int").alias("idx"), F.col("a.title").alias("title"),
                      F.col("a.url").alias("url"), F.col("a.content").alias("content"), F.lit(True).alias("ok"))
     bad = r.where(F.col("arr").isNull()).select(

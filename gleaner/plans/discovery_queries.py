@@ -54,7 +54,9 @@ def q_feed_entry_enrich(spark, sf_dir):
 def q_keyword_hits(spark, sf_dir):
     e = _enriched(spark, sf_dir)
     hay = haystack(D.entry_text("title", "summary", "terms"), F.col("feed_tags"))
-    hits = e.select("pos", F.explode(keyword_hits(X.TOPIC, hay)).alias("h"))
+    # explode_outer + null filter: a plain explode makes Spark add (and push down) a
+    # size(array) > 0 filter that evaluates the keyword tests a second time
+    hits = e.select("pos", F.explode_outer(keyword_hits(X.TOPIC, hay)).alias("h")).where(F.col("h").isNotNull())
     return hits.select("pos", F.col("h.category").alias("category"), F.col("h.keyword").alias("keyword"))
 
 

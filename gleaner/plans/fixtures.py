@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.urls import normalize_url
+from gleaner.operators.partitioning import spread
 
 AS_OF = "2024-01-31 00:00:00"
 DAYS = 14
@@ -72,7 +73,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries_from(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries for a documents DataFrame (batch or stream; lookups are static tables)."""
-    docs = documents.select("doc_id", "source", "lang", F.substring("text", 1, 400).alias("head"))
+    docs = spread(documents.select("doc_id", "source", "lang", F.substring("text", 1, 400).alias("head")))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     keyed = docs.select(

@@ -14,7 +14,6 @@ from gleaner.functions import constants as C
 from gleaner.functions import html as H
 from gleaner.functions.text import clean_whitespace, truncate_text
 from gleaner.functions.urls import url_authority, url_scheme
-from gleaner.operators.partitioning import spread
 
 EMPTY_BLOCKS = "array<struct<tag:string,text:string>>"
 FETCH_TIMEOUT_S = 20
@@ -81,8 +80,11 @@ def metadata_stages(p: DataFrame, html: str = "x_raw") -> DataFrame:
 
 
 def extract_stages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Add the intermediate extraction columns (prefixed ``x_``) to a page table."""
-    p = spread(pages).withColumn("x_raw", F.substring(F.col(html_col), 1, C.MAX_DOWNLOAD_BYTES))
+    """Add the intermediate extraction columns (prefixed ``x_``) to a page table.
+
+    Extraction is CPU-heavy per row: give the page scan at least one partition per
+    core first (``operators.partitioning.spread``) when it comes from few files."""
+    p = pages.withColumn("x_raw", F.substring(F.col(html_col), 1, C.MAX_DOWNLOAD_BYTES))
     p = metadata_stages(p, "x_raw")
     p = p.withColumn("x_clean0", H.strip_boilerplate_tags(F.col("x_raw")))
     p = p.withColumn("x_clean", F.when(H.has_noise(F.col("x_clean0")), H.strip_noise(F.col("x_clean0"))).otherwise(F.col("x_clean0"))).drop("x_clean0")

@@ -118,4 +118,4 @@ def pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("text/html; charset=utf-8"))
     )
     fetch = F.when(pid % 23 == 0, F.lit("timeout")).otherwise(F.lit("ok"))
-    return pages.select("page_id", "url", "html", ct.alias("content_type"), fetch.alias("fetch_status"))
+    return spread(pages.select("page_id", "url", "html", ct.alias("content_type"), fetch.alias("fetch_status")))

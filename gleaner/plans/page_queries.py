@@ -114,6 +114,7 @@ from gleaner.functions.urls import normalize_url  # noqa: E402
 from gleaner.operators import analysis as A  # noqa: E402
 from gleaner.operators import discovery as D  # noqa: E402
 from gleaner.plans.discovery_queries import _candidates  # noqa: E402
+from gleaner.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def _top(spark, sf_dir):
@@ -121,7 +122,10 @@ def _top(spark, sf_dir):
     top = D.capped_topk(best, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
     r = F.col("rank")
     title = F.when(r % 3 == 0, F.lit("")).when(r % 3 == 1, F.col("url")).otherwise(F.col("title"))
-    return top.select(F.col("rank").cast("int").alias("rank"), "url", title.alias("title"), "content")
+    # the k selected rows are used twice (semi-join filter and final join): checkpoint
+    # them (k rows, to the shared checkpoint folder) instead of recomputing discovery
+    ensure_checkpoint_dir(spark)
+    return top.select(F.col("rank").cast("int").alias("rank"), "url", title.alias("title"), "content").checkpoint(eager=True)
 
 
 def extracted_for(pages_raw: DataFrame, wanted_urls: DataFrame) -> DataFrame:

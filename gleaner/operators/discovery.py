@@ -66,19 +66,31 @@ def discovery_score(topic: str, as_of: Column) -> Column:
 def candidates(
     entries: DataFrame,
     feeds: DataFrame,
-    topic: str,
+    topic: str | list[str],
     as_of: Column,
     days: int = C.DEFAULT_DAYS,
     seen: DataFrame | None = None,
     include_seen: bool = False,
 ) -> DataFrame:
-    """Scored candidate rows (one per surviving entry), in the candidate schema plus pos."""
+    """Scored candidate rows (one per surviving entry), in the candidate schema plus pos.
+
+    With a list of topics every entry is scored for each topic in one pass (a
+    generator over per-topic score structs, not a join) and rows carry ``topic``;
+    group the later steps by it (``group_cols=["topic"]``)."""
     e = with_urls(entries)
     e = suppress_seen(e, seen, include_seen)
     e = e.withColumn("published", entry_published(e))
     e = recency_filter(e, as_of, days)
     e = enrich_with_feeds(e, feeds)
-    return e.select(
+    many = isinstance(topic, (list, tuple))
+    scored = (
+        F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), discovery_score(t, as_of).alias("s")) for t in topic]))
+        if many else None
+    )
+    base = e.select("*", scored.alias("_ts")) if many else e
+    score = F.col("_ts.s") if many else discovery_score(topic, as_of)
+    return base.select(
+        *([F.col("_ts.topic").alias("topic")] if many else []),
         "pos",
         "url",
         py_strip(F.coalesce(F.col("title"), F.col("url"))).alias("title"),
@@ -87,19 +99,20 @@ def candidates(
         F.lit("feed").alias("source_type"),
         iso_utc("published").alias("published"),
         F.coalesce(F.col("feed_tags"), F.array().cast("array<string>")).alias("tags"),
-        discovery_score(topic, as_of).alias("discovery_score"),
+        score.alias("discovery_score"),
     )
 
 
-def url_dedup_best(cands: DataFrame) -> DataFrame:
+def url_dedup_best(cands: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Best-scoring row per url (tie: first arrival) plus the url's first-arrival position.
 
     One aggregate: partial per map task, so a url repeated in a third of all rows
     still ships one row per task.
     """
     best = F.max(F.struct(F.col("discovery_score"), (-F.col("pos")).alias("neg_pos"), *[F.col(c) for c in ["pos", "source", *PAYLOAD]]))
-    agg = cands.groupBy("url").agg(best.alias("b"), F.min("pos").alias("first_pos"))
-    return agg.select("url", "first_pos", *[F.col("b")[c].alias(c) for c in ["pos", "source", *PAYLOAD, "discovery_score"]])
+    keys = [*(group_cols or []), "url"]
+    agg = cands.groupBy(*keys).agg(best.alias("b"), F.min("pos").alias("first_pos"))
+    return agg.select(*keys, "first_pos", *[F.col("b")[c].alias(c) for c in ["pos", "source", *PAYLOAD, "discovery_score"]])
 
 
 def rank_order() -> list[Column]:

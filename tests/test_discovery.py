@@ -83,3 +83,19 @@ def test_flagship_plan_shape(spark):
     assert "CartesianProduct" not in plan
     assert "Python" not in plan
     assert df.count() == 6
+
+
+def test_many_topics_equal_single_runs(spark):
+    from gleaner.plans import fixtures as X
+    from tests.conftest import SF0001
+
+    topics = [X.TOPIC, "Kubernetes operations", "security for AI systems"]
+    e, f, s = X.entries(spark, SF0001), X.feeds(spark, SF0001), X.seen(spark, SF0001)
+    multi = D.candidates(e, f, topics, X.as_of_col(), X.DAYS, seen=s)
+    top = D.capped_topk(D.url_dedup_best(multi, ["topic"]), cap=1, limit=5, group_cols=["topic"])
+    got = {}
+    for r in top.orderBy("topic", "rank").collect():
+        got.setdefault(r["topic"], []).append(r["url"])
+    for t in topics:
+        single = D.capped_topk(D.url_dedup_best(D.candidates(e, f, t, X.as_of_col(), X.DAYS, seen=s)), cap=1, limit=5)
+        assert got[t] == [r["url"] for r in single.orderBy("rank").collect()]

@@ -12,13 +12,18 @@ from gleaner.functions.urls import normalize_url
 SEEN_FIELDS = ["title", "source", "published"]
 
 
-def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: str = "rank") -> DataFrame:
+def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: str = "rank", bounded_batch: bool = True) -> DataFrame:
     """Merge selected articles into the seen-url state.
 
     url is normalised again; first_seen is set once; last_seen, title, source and
     published are overwritten (also by empty strings); extra fields of existing
-    records survive; within one batch the last article of a url wins. The batch is
-    reduced per url with a partial aggregate, then a full outer join merges it.
+    records survive; within one batch the last article of a url wins.
+
+    The batch is a top-k selection (at most ``limit`` rows per topic), so with
+    ``bounded_batch`` it is broadcast: existing records are updated by a
+    broadcast left join and new urls are found by a broadcast semi/anti join, so
+    the ever-growing seen table is streamed once and never shuffled. Without a
+    size bound a full outer join (shuffle on url) is used.
     """
     batch = selected.select(
         normalize_url(F.col("url")).alias("url"),
@@ -27,16 +32,39 @@ def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: st
     )
     last = batch.groupBy("url").agg(F.max_by(F.struct(*SEEN_FIELDS), F.col("_order")).alias("b"))
     extra = [c for c in seen.columns if c not in ("url", "first_seen", "last_seen", *SEEN_FIELDS)]
-    s = seen.alias("s")
-    j = s.join(last.alias("n"), F.col("s.url") == F.col("n.url"), "full_outer")
-    hit = F.col("n.url").isNotNull()
-    return j.select(
-        F.coalesce(F.col("s.url"), F.col("n.url")).alias("url"),
-        F.coalesce(F.col("s.first_seen"), now).alias("first_seen"),
-        F.when(hit, now).otherwise(F.col("s.last_seen")).alias("last_seen"),
-        *[F.when(hit, F.col(f"n.b.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in SEEN_FIELDS],
-        *[F.col(f"s.{c}") for c in extra],
+    if not bounded_batch:
+        s = seen.alias("s")
+        j = s.join(last.alias("n"), F.col("s.url") == F.col("n.url"), "full_outer")
+        hit = F.col("n.url").isNotNull()
+        return j.select(
+            F.coalesce(F.col("s.url"), F.col("n.url")).alias("url"),
+            F.coalesce(F.col("s.first_seen"), now).alias("first_seen"),
+            F.when(hit, now).otherwise(F.col("s.last_seen")).alias("last_seen"),
+            *[F.when(hit, F.col(f"n.b.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in SEEN_FIELDS],
+            *[F.col(f"s.{c}") for c in extra],
+        )
+    # the bounded batch is read by two joins: materialise it once (k rows) in the
+    # shared checkpoint folder instead of recomputing the selection twice
+    from gleaner.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(last.sparkSession)
+    last = last.checkpoint(eager=True)
+    small = F.broadcast(last.select("url", "b"))
+    old = seen.join(small, "url", "left")
+    hit = F.col("b").isNotNull()
+    updated = old.select(
+        "url",
+        F.col("first_seen"),
+        F.when(hit, now).otherwise(F.col("last_seen")).alias("last_seen"),
+        *[F.when(hit, F.col(f"b.{c}")).otherwise(F.col(c)).alias(c) for c in SEEN_FIELDS],
+        *[F.col(c) for c in extra],
+    )
+    known = seen.select("url").join(small.select("url"), "url", "left_semi")
+    fresh = last.join(F.broadcast(known), "url", "left_anti").select(
+        "url", now.alias("first_seen"), now.alias("last_seen"), *[F.col(f"b.{c}").alias(c) for c in SEEN_FIELDS],
+        *[F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in extra],
     )
+    return updated.unionByName(fresh)
 
 
 def recent_tail(history: DataFrame, reader: str, order_cols: list[Column], n: int = C.RECENT_LIMIT) -> DataFrame:

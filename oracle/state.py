@@ -73,7 +73,7 @@ SELECT 'search', json_extract_string(items[i + 1], '$.url'), json_extract_string
 FROM (SELECT doc_id, json_extract(body, '$[*]') AS items FROM bodies WHERE (CASE WHEN json_valid(body) THEN json_type(body) END) = 'ARRAY'),
      LATERAL (SELECT unnest(range(len(items))) AS i)""",
     "seen_state_scan": _with() + """SELECT url, '2024-01-01T00:00:00+00:00' AS first_seen, '2024-01-10T00:00:00+00:00' AS last_seen, '' AS title FROM seen""",
-    "feed_entry_scan": _with() + """SELECT pos, source, link, JTRIM(title) AS title, length(JTRIM(summary)) AS summary_chars, array_to_string(terms, ',') AS terms,
+    "feed_entry_scan": _with() + """SELECT pos, source, link, JTRIM(title) AS title, CAST(length(JTRIM(summary)) AS INTEGER) AS summary_chars, array_to_string(terms, ',') AS terms,
   strftime(coalesce(published, updated), '%Y-%m-%d %H:%M:%S') AS published FROM entries WHERE link <> ''""",
 }
 _ = strip

@@ -62,8 +62,8 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _second(ts: Column) -> Column:
-    """Feed dates have whole-second resolution."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz")
+    """Feed dates have whole-second resolution (field arithmetic: no time zone involved)."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.floor(F.second(ts)))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

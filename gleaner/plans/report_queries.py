@@ -54,7 +54,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q == 1, F.lit("ok")).otherwise(F.lit("too-short")).alias("status"),
         F.col("n_chars").cast("int").alias("content_chars"),
     )
-    ts = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz")
+    ts = X._second(F.col("ts"))
     return d.select(
         F.col("lang").alias("topic"),
         i.alias("pos"),

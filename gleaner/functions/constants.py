@@ -153,3 +153,73 @@ CONTENT_SOURCE_FALLBACK = "search_excerpt_fallback"
 SLUG_DEFAULT = "manual-analysis"
 SLUG_MAX_LEN = 60
 RECENT_LIMIT = 5
+
+# --- FIXED VALUES: status messages of the extraction ladder ---------------------
+MSG_UNSUPPORTED_URL = "Only http/https URLs are supported"
+MSG_TIMEOUT = "Timed out after {seconds}s"
+MSG_NON_HTML = "Unsupported content type: "
+MSG_TOO_SHORT = "Extracted text too short ({n} chars)"
+
+# --- FIXED VALUES: digest text --------------------------------------------------
+DIGEST_TITLE_PREFIX = "# 🔍 Topic: "
+MANUAL_TITLE_PREFIX = "# Manual article analysis: "
+WORTH_ATTENTION = "# Worth attention"
+REJECTED_SECTION = "# Rejected / low signal"
+BEST_CANDIDATE_PREFIX = "Best candidate: "
+COUNTS_LINE = "Today: {read} read, {skim} skim, {watch} watch, {ignore} ignore."
+DETAIL_TITLES = [
+    ("technically_sound_claims", "Technically sound claims"),
+    ("marketing_or_hype", "Marketing / hype / weak spots"),
+    ("claims_to_verify", "Claims to verify"),
+    ("why_it_matters_to_me", "Why it may matter to me"),
+]
+
+# --- FIXED VALUES: the analysis prompt template and its placeholders (replaced in this order)
+ANALYSIS_PROMPT = """You are a skeptical technical analyst filtering articles for a senior DevOps/platform engineer.
+
+The reader is interested in practical infrastructure, AWS, Kubernetes, Terraform, DevOps/platform engineering, AI agents/tools, local/private AI, data infrastructure, security/ops risk, and useful emerging technology.
+
+The reader has limited time and dislikes vendor fluff, generic trend pieces, SEO explainers, recycled content, and ungrounded hype.
+
+Analyze the article candidate below. Decide whether it is worth the reader's attention. Separate technically meaningful claims from marketing language. Penalize thin vendor announcements and generic trend content. Prefer concrete technical details, independent evidence, operational lessons, architecture, benchmarks, failure modes, and practical implications.
+
+Important limitation: the content_source field says whether the text is extracted article text or only a search-generated excerpt/summary. If evidence is thin, reflect that in the scores and claims_to_verify. Be more confident when content_source is extracted_article_text and extraction_status is ok.
+
+Return strict JSON only with exactly these keys:
+{
+  "recommendation": "read|skim|watch|ignore",
+  "signal_score": 0,
+  "fluff_score": 0,
+  "technical_depth": 0,
+  "novelty": 0,
+  "relevance": 0,
+  "summary": "concise plain-English summary",
+  "why_selected": "one sentence explaining why it made the digest or why it barely did",
+  "technically_sound_claims": ["..."],
+  "marketing_or_hype": ["..."],
+  "claims_to_verify": ["..."],
+  "why_it_matters_to_me": ["..."],
+  "skeptical_take": "short, direct, opinionated take",
+  "suggested_action": "what the reader should do with this",
+  "tags": ["..."]
+}
+
+Scoring guide:
+- signal_score: 85-100 read, 70-84 skim, 55-69 watch/maybe, below 55 ignore.
+- fluff_score: 0 is no fluff, 100 is pure marketing/SEO/vendor ad.
+- Penalize vendor press releases, generic AI trend articles, no concrete examples, old/stale items, and recycled listicles.
+
+Topic: {topic}
+Title: {title}
+URL: {url}
+Source metadata:
+{metadata}
+
+Content source: {content_source}
+Extraction status: {extraction_status}
+
+Content:
+{content}
+"""
+
+PLACEHOLDER_ORDER = ["topic", "title", "url", "metadata", "content_source", "extraction_status", "content"]

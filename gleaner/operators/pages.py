@@ -126,11 +126,11 @@ def extracted_article(p: DataFrame, url_col: str = "url") -> Column:
     )
     parsed = status.isin("too-short", "ok")
     error = (
-        F.when(status == "unsupported-url", F.lit("Only http/https URLs are supported"))
-        .when(status == "timeout", F.lit(f"Timed out after {FETCH_TIMEOUT_S}s"))
+        F.when(status == "unsupported-url", F.lit(C.MSG_UNSUPPORTED_URL))
+        .when(status == "timeout", F.lit(C.MSG_TIMEOUT.format(seconds=FETCH_TIMEOUT_S)))
         .when(status.isin("http-error", "url-error", "fetch-error"), fetch_error)
-        .when(status == "non-html", F.concat(F.lit("Unsupported content type: "), ct))
-        .when(status == "too-short", F.concat(F.lit("Extracted text too short ("), n.cast("string"), F.lit(" chars)")))
+        .when(status == "non-html", F.concat(F.lit(C.MSG_NON_HTML), ct))
+        .when(status == "too-short", F.format_string(C.MSG_TOO_SHORT.format(n="%d"), n))
         .otherwise(F.lit(""))
     )
 

@@ -69,10 +69,8 @@ def topline(df: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame
         F.min_by(F.coalesce(F.col("title"), F.lit(C.UNTITLED)), key).alias("best_title"),
         *[F.count_if(rec == r).alias(f"n_{r}") for r in C.VALID_RECOMMENDATIONS],
     )
-    line = F.concat(
-        F.lit("Today: "), F.col("n_read").cast("string"), F.lit(" read, "), F.col("n_skim").cast("string"), F.lit(" skim, "),
-        F.col("n_watch").cast("string"), F.lit(" watch, "), F.col("n_ignore").cast("string"), F.lit(" ignore."),
-    )
+    line = F.format_string(C.COUNTS_LINE.format(read="%d", skim="%d", watch="%d", ignore="%d"),
+                           F.col("n_read"), F.col("n_skim"), F.col("n_watch"), F.col("n_ignore"))
     return topics.join(agg.select(topic, "best_title", line.alias("counts_line")), topic, "left")
 
 
@@ -108,12 +106,7 @@ def card_fields(df: DataFrame) -> DataFrame:
     )
 
 
-DETAIL_TITLES = [
-    ("technically_sound_claims", "Technically sound claims"),
-    ("marketing_or_hype", "Marketing / hype / weak spots"),
-    ("claims_to_verify", "Claims to verify"),
-    ("why_it_matters_to_me", "Why it may matter to me"),
-]
+DETAIL_TITLES = C.DETAIL_TITLES
 
 
 def card_lines(cards: DataFrame) -> Column:
@@ -154,7 +147,7 @@ def card_lines(cards: DataFrame) -> Column:
 
 def header_lines(topic: Column, generated_at: str, model: str, timeout_s: int | None) -> Column:
     lines = [
-        F.concat(F.lit("# 🔍 Topic: "), topic),
+        F.concat(F.lit(C.DIGEST_TITLE_PREFIX), topic),
         F.lit(""),
         F.lit(f"Generated: {generated_at}"),
         F.lit(f"Model: `{model}`"),
@@ -177,17 +170,17 @@ def digest_lines(articles: DataFrame, topics: DataFrame, generated_at: str, mode
     cards = card_fields(ranked)
     head = _explode_lines(topics, topic, 0, F.lit(0), header_lines(F.col(topic), generated_at, model, timeout_s))
     tl = topline(articles, topics, topic).where(F.col("best_title").isNotNull())
-    top = _explode_lines(tl, topic, 1, F.lit(0), F.array(F.col("counts_line"), F.concat(F.lit("Best candidate: "), F.col("best_title")), F.lit("")))
+    top = _explode_lines(tl, topic, 1, F.lit(0), F.array(F.col("counts_line"), F.concat(F.lit(C.BEST_CANDIDATE_PREFIX), F.col("best_title")), F.lit("")))
     kept = cards.where(F.col("section") == "kept")
     ignored = cards.where(F.col("section") == "ignored")
     n_kept = articles.where(F.col("analysis.recommendation") != "ignore").groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
     with_kept = topics.join(n_kept, topic, "left")
-    kept_head = _explode_lines(with_kept.where(F.col("n").isNotNull()), topic, 2, F.lit(0), F.array(F.lit("# Worth attention"), F.lit("")))
+    kept_head = _explode_lines(with_kept.where(F.col("n").isNotNull()), topic, 2, F.lit(0), F.array(F.lit(C.WORTH_ATTENTION), F.lit("")))
     none_text = _explode_lines(with_kept.where(F.col("n").isNull()), topic, 2, F.lit(0),
-                               F.array(F.lit("# Worth attention"), F.lit(""), F.lit(C.NO_ARTICLES_TEXT), F.lit("")))
+                               F.array(F.lit(C.WORTH_ATTENTION), F.lit(""), F.lit(C.NO_ARTICLES_TEXT), F.lit("")))
     kept_cards = _explode_lines(kept, topic, 3, F.col("section_rank"), card_lines(kept))
     n_ign = articles.where(F.col("analysis.recommendation") == "ignore").select(topic).distinct()
-    ign_head = _explode_lines(n_ign, topic, 4, F.lit(0), F.array(F.lit("# Rejected / low signal"), F.lit("")))
+    ign_head = _explode_lines(n_ign, topic, 4, F.lit(0), F.array(F.lit(C.REJECTED_SECTION), F.lit("")))
     ign_cards = _explode_lines(ignored, topic, 5, F.col("section_rank"), card_lines(ignored))
     return head.unionByName(top).unionByName(kept_head).unionByName(none_text).unionByName(kept_cards).unionByName(ign_head).unionByName(ign_cards)
 
@@ -196,7 +189,7 @@ def manual_lines(articles: DataFrame, topic_label: str, generated_at: str, model
     """Manual report: header then every card in input order (not ranked)."""
     cards = card_fields(articles.withColumn("topic", F.lit(topic_label)))
     header = [
-        F.lit(f"# Manual article analysis: {topic_label}"), F.lit(""), F.lit(f"Generated: {generated_at}"),
+        F.lit(C.MANUAL_TITLE_PREFIX + topic_label), F.lit(""), F.lit(f"Generated: {generated_at}"),
         F.lit(f"Model: `{model}`"), F.lit(""), F.lit(C.MANUAL_INTRO), F.lit(""),
     ]
     spark = articles.sparkSession

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from gleaner.functions import constants as C
 from gleaner.functions.model_output import FENCED_OBJECT, MSG_BAD_FENCE, MSG_MISSING, MSG_NO_OBJECT, _whole_json, brace_positions, error_analysis, normalize_analysis
 from gleaner.functions.text import strip_spinner
-from gleaner.operators.partitioning import spread
 
 ANALYSIS_PROMPT = C.ANALYSIS_PROMPT
 PLACEHOLDER_ORDER = C.PLACEHOLDER_ORDER
@@ -22,7 +21,7 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     extractions then read that column instead of re-parsing the text.
     """
     raw = F.col(raw_col)
-    p = spread(outputs).withColumn("_cleaned", strip_spinner(raw))
+    p = outputs.withColumn("_cleaned", strip_spinner(raw))
     p = p.withColumn("_fenced", F.regexp_extract(F.col("_cleaned"), FENCED_OBJECT, 1))
     p = p.withColumn("_braces", brace_positions(F.col("_cleaned")))
     tries = F.transform("_braces", lambda b: F.try_parse_json(F.substring(F.col("_cleaned"), b, 1 << 30)))
@@ -38,8 +37,18 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     return p.withColumn("analysis", analysis).drop("_obj", "_err")
 
 
-def join_analysis(cands: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
-    """Left join candidates to analysed outputs; a candidate without output gets the error record."""
+def join_analysis(cands: DataFrame, outputs: DataFrame, key: str, bounded_candidates: bool = True) -> DataFrame:
+    """Left join candidates to analysed outputs; a candidate without output gets the error record.
+
+    Candidates are a top-k selection, so with ``bounded_candidates`` their keys are
+    broadcast to filter the outputs first: only the selected articles' outputs
+    are parsed (late materialisation), the output table is never shuffled."""
+    if bounded_candidates:
+        from gleaner.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(cands.sparkSession)
+        cands = cands.checkpoint(eager=True)  # k rows, read twice below
+        outputs = outputs.join(F.broadcast(cands.select(key).distinct()), key, "left_semi")
     analysed = analyse_outputs(outputs).select(key, "analysis")
     joined = cands.join(analysed, key, "left")
     missing = error_analysis(F.lit("Model output missing."))

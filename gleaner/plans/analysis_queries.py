@@ -11,6 +11,7 @@ from gleaner.functions.text import strip_spinner
 from gleaner.operators.analysis import analyse_outputs, join_analysis
 from gleaner.operators import discovery as D
 from gleaner.plans import fixtures as X
+from gleaner.operators.partitioning import spread
 from gleaner.plans.discovery_queries import _candidates
 
 SEP = "||"
@@ -63,7 +64,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 7, strings)
         .when(form == 8, odd)
     )
-    return d.select("doc_id", raw.alias("raw"))
+    return spread(d.select("doc_id", raw.alias("raw")))
 
 
 def _joined(a: Column) -> Column:

@@ -165,22 +165,27 @@ def _explode_lines(df: DataFrame, topic: str, block: int, item: Column, arr: Col
 
 def digest_lines(articles: DataFrame, topics: DataFrame, generated_at: str, model: str, timeout_s: int = 300, topic: str = "topic") -> DataFrame:
     """The per-topic digest as ordered lines: header, top line, kept cards (or the
-    'no articles' text), rejected cards. Order by (topic, block, item, line)."""
+    'no articles' text), rejected cards. Order by (topic, block, item, line).
+
+    The articles are ranked once (the ranking checkpoints its sorted rows); the top
+    line, section heads and cards all read that ranked table, so the source join
+    runs once."""
     ranked = with_sections(digest_rank(articles, topic), topic)
     cards = card_fields(ranked)
     head = _explode_lines(topics, topic, 0, F.lit(0), header_lines(F.col(topic), generated_at, model, timeout_s))
-    tl = topline(articles, topics, topic).where(F.col("best_title").isNotNull())
+    tl = topline(ranked, topics, topic).where(F.col("best_title").isNotNull())
     top = _explode_lines(tl, topic, 1, F.lit(0), F.array(F.col("counts_line"), F.concat(F.lit(C.BEST_CANDIDATE_PREFIX), F.col("best_title")), F.lit("")))
     kept = cards.where(F.col("section") == "kept")
     ignored = cards.where(F.col("section") == "ignored")
-    n_kept = articles.where(F.col("analysis.recommendation") != "ignore").groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
-    with_kept = topics.join(n_kept, topic, "left")
-    kept_head = _explode_lines(with_kept.where(F.col("n").isNotNull()), topic, 2, F.lit(0), F.array(F.lit(C.WORTH_ATTENTION), F.lit("")))
-    none_text = _explode_lines(with_kept.where(F.col("n").isNull()), topic, 2, F.lit(0),
+    per_section = ranked.groupBy(topic).agg(F.count_if(F.col("section") == "kept").alias("n_kept"), F.count_if(F.col("section") == "ignored").alias("n_ign"))
+    sections = topics.join(per_section, topic, "left")
+    has_kept = F.coalesce(F.col("n_kept"), F.lit(0)) > 0
+    kept_head = _explode_lines(sections.where(has_kept), topic, 2, F.lit(0), F.array(F.lit(C.WORTH_ATTENTION), F.lit("")))
+    none_text = _explode_lines(sections.where(~has_kept), topic, 2, F.lit(0),
                                F.array(F.lit(C.WORTH_ATTENTION), F.lit(""), F.lit(C.NO_ARTICLES_TEXT), F.lit("")))
     kept_cards = _explode_lines(kept, topic, 3, F.col("section_rank"), card_lines(kept))
-    n_ign = articles.where(F.col("analysis.recommendation") == "ignore").select(topic).distinct()
-    ign_head = _explode_lines(n_ign, topic, 4, F.lit(0), F.array(F.lit(C.REJECTED_SECTION), F.lit("")))
+    ign_head = _explode_lines(sections.where(F.coalesce(F.col("n_ign"), F.lit(0)) > 0), topic, 4, F.lit(0),
+                              F.array(F.lit(C.REJECTED_SECTION), F.lit("")))
     ign_cards = _explode_lines(ignored, topic, 5, F.col("section_rank"), card_lines(ignored))
     return head.unionByName(top).unionByName(kept_head).unionByName(none_text).unionByName(kept_cards).unionByName(ign_head).unionByName(ign_cards)
 

@@ -37,7 +37,9 @@ def entry_text(title, summary, terms) -> Column:
     """Title, summary and tag terms, empty parts skipped, joined by newlines."""
     parts = F.concat(F.array(F.col(title) if isinstance(title, str) else title, F.col(summary) if isinstance(summary, str) else summary),
                      F.coalesce(F.col(terms) if isinstance(terms, str) else terms, F.array().cast("array<string>")))
-    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
+    # array_remove + array_join (which skips nulls) instead of a lambda filter: no
+    # higher-order function, so the expression stays codegen'd and shareable
+    return F.array_join(F.array_remove(parts, ""), "\n")
 
 
 def with_urls(entries: DataFrame) -> DataFrame:
@@ -58,9 +60,14 @@ def recency_filter(entries: DataFrame, as_of: Column, days: int = C.DEFAULT_DAYS
     return entries.where(F.col(published).isNull() | (F.col(published) >= cutoff))
 
 
+def with_haystack(entries: DataFrame) -> DataFrame:
+    """The lower-cased text every keyword test reads, computed once per entry."""
+    return entries.withColumn("_hay", haystack(entry_text("title", "summary", "terms"), F.col("feed_tags")))
+
+
 def discovery_score(topic: str, as_of: Column) -> Column:
-    hay = haystack(entry_text("title", "summary", "terms"), F.col("feed_tags"))
-    return topic_score(topic, hay) + weight_bonus(F.col("feed_weight")) + recency_bonus(F.col("published"), as_of)
+    """Needs ``_hay`` (``with_haystack``) on the input."""
+    return topic_score(topic, F.col("_hay")) + weight_bonus(F.col("feed_weight")) + recency_bonus(F.col("published"), as_of)
 
 
 def candidates(
@@ -81,7 +88,7 @@ def candidates(
     e = suppress_seen(e, seen, include_seen)
     e = e.withColumn("published", entry_published(e))
     e = recency_filter(e, as_of, days)
-    e = enrich_with_feeds(e, feeds)
+    e = with_haystack(enrich_with_feeds(e, feeds))
     many = isinstance(topic, (list, tuple))
     scored = (
         F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), discovery_score(t, as_of).alias("s")) for t in topic]))

@@ -61,21 +61,19 @@ def q_keyword_hits(spark, sf_dir):
 
 
 def q_topic_score(spark, sf_dir):
-    e = _enriched(spark, sf_dir)
-    hay = haystack(D.entry_text("title", "summary", "terms"), F.col("feed_tags"))
-    return e.select("pos", topic_score(X.TOPIC, hay).alias("topic_score"))
+    e = D.with_haystack(_enriched(spark, sf_dir))
+    return e.select("pos", topic_score(X.TOPIC, F.col("_hay")).alias("topic_score"))
 
 
 def q_discovery_score(spark, sf_dir):
     e = D.with_urls(X.entries(spark, sf_dir))
     e = e.withColumn("published", D.entry_published(e))
     e = D.recency_filter(e, X.as_of_col(), X.DAYS)
-    e = D.enrich_with_feeds(e, X.feeds(spark, sf_dir))
-    hay = haystack(D.entry_text("title", "summary", "terms"), F.col("feed_tags"))
+    e = D.with_haystack(D.enrich_with_feeds(e, X.feeds(spark, sf_dir)))
     return e.select(
         "pos",
         "url",
-        topic_score(X.TOPIC, hay).alias("topic_score"),
+        topic_score(X.TOPIC, F.col("_hay")).alias("topic_score"),
         weight_bonus(F.col("feed_weight")).alias("weight_bonus"),
         recency_bonus(F.col("published"), X.as_of_col()).alias("recency_bonus"),
         D.discovery_score(X.TOPIC, X.as_of_col()).alias("discovery_score"),

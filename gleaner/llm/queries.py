@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from gleaner.llm import line_dedup
 from gleaner.llm.mixing import q_mix
+from gleaner.llm.packing import q_packing
 from gleaner.llm.sharding import q_shards
 
 QUERIES = {
     "op1_entropy_mix": q_mix,
     "op2_hash_tree_shards": q_shards,
+    "op5_line_dedup_mphf": line_dedup.q_line_dedup,
+    "op6_sum_of_squares_packing": q_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup_mphf": line_dedup.SQL,
+}

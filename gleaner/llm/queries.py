@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.llm import line_dedup
+from gleaner.llm import line_dedup, url_filters
+from gleaner.llm.fingerprints import q_fingerprints
 from gleaner.llm.mixing import q_mix
 from gleaner.llm.packing import q_packing
 from gleaner.llm.sharding import q_shards
@@ -10,10 +11,13 @@ from gleaner.llm.sharding import q_shards
 QUERIES = {
     "op1_entropy_mix": q_mix,
     "op2_hash_tree_shards": q_shards,
+    "op4_temporal_url_filter": url_filters.q_url_filters,
     "op5_line_dedup_mphf": line_dedup.q_line_dedup,
     "op6_sum_of_squares_packing": q_packing,
+    "op8_merkle_fingerprints": q_fingerprints,
 }
 
 SQL: dict[str, str] = {
+    "op4_temporal_url_filter": url_filters.SQL,
     "op5_line_dedup_mphf": line_dedup.SQL,
 }

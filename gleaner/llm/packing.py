@@ -21,7 +21,10 @@ not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,40 +37,88 @@ from gleaner.llm.common import table
 WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 1024
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 500_000
 #: str.split() also splits at these control characters, which the tokenizer takes as signs
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: letters whose lower case depends on their neighbours or is not a letter
+_CONTEXT = regex.compile("[\u0130\u03a3]")
+#: letters and the ASCII signs after them (no apostrophe: it may begin a contraction)
+_TAIL = regex.compile(r"(\p{L}+)([!-&(-/:-@\[-`{-~]+)")
+#: the signs that stand for bytes in a byte-level vocabulary: printable bytes are themselves, others follow 255
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTABLE)}
 _BLANK = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 
 
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never looks across white space.
 
-    Words between blanks are encoded once and remembered (up to a bounded number),
-    which gives the ids of encoding the whole text at a fraction of the time.
+    The new words of a batch of texts are encoded once and remembered (a bounded number
+    of them); a text's ids are then looked up word by word. Words of letters only are one
+    piece to the tokenizer, so they go to its model directly (composed, in lower case, as
+    byte signs); all other words go through the whole tokenizer. Letters are
+    first parted from signs that follow them, as the tokenizer does.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for word in _BLANK.split(text) if _SEPARATORS.search(text) else text.split():
-            got = known.get(word)
-            if got is None:
-                got = tuple(self.encode(word, add_special_tokens=False).ids)
-                if len(word) <= 64:
-                    if len(known) >= _CACHE_WORDS:
-                        known.clear()
-                    known[word] = got
-            out += got
+        self.long: list[str] = []
+        self.bare: dict[str, tuple[int, ...]] = {}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+            if not word.isalpha():
+                return self._encode(word)
+            word = word.lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _learn(self, words: set[str]) -> None:
+        for word in words:
+            letters, signs = word, ""
+            if not word.isalpha() and (parts := _TAIL.fullmatch(word)) and parts[1].isalpha():
+                letters, signs = parts.groups()
+            if letters.isascii():
+                letters = letters.lower()
+            ids = self.bare.get(letters)
+            if ids is None:
+                ids = self.bare[letters] = tuple(self._letters(letters) if letters.isalpha() and not _CONTEXT.search(letters) else self._encode(letters))
+            if signs:
+                tail = self.bare.get(signs)
+                if tail is None:
+                    tail = self.bare[signs] = tuple(self._encode(signs))
+                ids += tail
+            self.known[word] = ids
+            if len(word) > 64:
+                self.long += [word, letters, signs]
+
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        words = [_BLANK.split(t) if _SEPARATORS.search(t) else t.split() for t in (x or "" for x in texts)]
+        for known in (self.known, self.bare):
+            if len(known) > _CACHE_WORDS:
+                known.clear()
+        self._learn(set().union(*words).difference(self.known))
+        out = [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
+        for word in self.long:  # not worth remembering
+            self.known.pop(word, None)
+            self.bare.pop(word, None)
+        self.long.clear()
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: later tasks of a worker find the words already known."""
+    return WordTokenizer(path)
+
+
 class SumOfSquaresPacker:
     """Packs (doc, ids) pieces; ``done`` collects (doc, start, ids, doc_tokens, sequence, offset)."""
 
@@ -159,7 +210,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     """One row per piece: where it comes from, a checksum of its ids and where it went."""
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path)
         packer = SumOfSquaresPacker(window, max_open)
         base = TaskContext.get().partitionId() << 33
 
@@ -173,8 +224,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
 
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    packer.add(doc, np.array([*tokenizer.ids(text or ""), end_id], np.uint32))
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokenizer.ids(part.column("text").to_pylist())):
+                    packer.add(doc, np.array([*ids, end_id], np.uint32))
                 yield emitted()
         packer.settle()
         yield emitted()

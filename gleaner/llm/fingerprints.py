@@ -84,14 +84,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     ids = row_number_within(rows.select("_row", "doc_id", F.char_length("text").cast("long").alias("n_chars")), [], [F.col("doc_id"), F.col("_row")], "_i")
     ids = cut(ids.select("_row", "doc_id", "n_chars", "_i"))
     total = ids.count()
-    before = ids.select(F.col("_row").alias("_for"), "doc_id", (F.col("n_chars") / 4).cast("long").alias("_need"), (F.col("_i") % max(total, 1) + 1).alias("_i"))
-    pairs = ids.select("_row", "_i").join(before, "_i").select("_row", "_for", before["doc_id"], "_need")
+    before = ids.select(F.col("_row").alias("_for"), F.col("doc_id").alias("_doc"), (F.col("n_chars") / 4).cast("long").alias("_need"), (F.col("_i") % max(total, 1) + 1).alias("_i"))
+    pairs = ids.select("_row", "_i").join(before, "_i").select("_row", "_for", "_doc", "_need")
 
     # both joins read the same (row, text) exchange
     texts = rows.select("_row", "text")
     lent = (
         texts.join(pairs.hint("shuffle_hash"), "_row")
-        .select("_for", "doc_id", "_need", F.left("text", F.col("_need").cast("int")).alias("_lent"), leaves(F.col("text")).alias("_next_leaves"), F.md5("text").alias("_next_md5"))
+        .select("_for", F.col("_doc").alias("doc_id"), "_need", F.left("text", F.col("_need").cast("int")).alias("_lent"), leaves(F.col("text")).alias("_next_leaves"), F.md5("text").alias("_next_md5"))
     )
     n = F.char_length("text")
     joined = texts.join(lent.hint("shuffle_hash"), F.col("_row") == F.col("_for"))

@@ -10,11 +10,12 @@ becomes a candidate with min(l, l') shared prefix tokens, and the sets of candid
 are then compared exactly.
 
 Equal sets are one class from the start. What the result needs is reachability, so
-classes are contracted as links are found: in each of ``rounds`` passes a class is
-compared with the one that leads most of its prefix tokens, which dissolves groups
-of near copies with one comparison per member. The last pass then takes all
-candidate pairs between different components; pairs inside one component cannot
-change the answer.
+classes are contracted as links are found: every token's list has a few leaders, and in
+each pass a class is compared with the LEADERS leaders (of other components) that lead
+most of its prefix tokens, which dissolves groups of near copies with a few
+comparisons per member. Passes go on, with other leaders, while they still link one
+in ``GAIN`` of the classes. The last pass then takes all candidate pairs between
+different components; pairs inside one component cannot change the answer.
 
 The posting lists are streamed in token order; only lists with two classes survive.
 Sets are recomputed from the text for surviving classes only (found by a second,
@@ -38,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, cut, shuffle_width, table
+from gleaner.llm.common import BLANKS, cut, row_key, shuffle_width, table
 from gleaner.llm.components import components
 from gleaner.llm.mph import mixed
 
 WORDS = 5
 PERCENT = 75
-ROUNDS = 3
+ROUNDS = 12
+LEADERS = 4
+GAIN = 200
 MAX_MATCHES = 8
 SKETCH_BITS = 20
 BLOCKS = 64
@@ -348,30 +351,35 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     noded = rows.where("cls is not null").join(classes.select("cls", "node"), "cls")
     repeated = noded.groupBy("doc").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("doc")
     links = cut(noded.join(repeated, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    labels = None
+    labels, last, n_nodes = None, False, sets.count()
     for i in range(rounds + 1):
         open_ = posts.withColumn("comp", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        if i:
-            mixed_lists = open_.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
-            open_ = cut(open_.join(mixed_lists, "token", "left_semi"))
-        pairs = _led_pairs(open_, i, percent) if i < rounds else _all_pairs(open_, percent)
-        found = cut(_links(pairs, sets, percent))
+        if labels is not None:
+            between = open_.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
+            open_ = cut(open_.join(between, "token", "left_semi"))
+        last = last or i == rounds
+        found = cut(_links(_all_pairs(open_, percent) if last else _led_pairs(open_, i, percent), sets, percent))
         links = links.unionByName(found)
         labels = cut(components(links))
+        if last:
+            break
+        last = found.count() * GAIN < n_nodes
     joined = rows.join(classes.select("cls", "node"), "cls", "left").join(labels, "node", "left")
     out = cut(joined.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc").alias("component")))
     return out
 
 
 def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Each node with the leader (of another component) that it shares most lists with."""
-    rank = F.struct(F.xxhash64("node", F.lit(salt)), F.col("node"), F.col("comp"), F.col("n"))
-    leaders = posts.groupBy("token").agg(F.min(rank).alias("lead"))
-    led = posts.join(leaders, "token").select("node", "comp", "n", F.col("lead.node").alias("b"), F.col("lead.comp").alias("_c"), F.col("lead.n").alias("_n"))
-    led = led.where((F.col("comp") != F.col("_c")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
+    """Each node with the leaders (of other components) that it shares most lists with."""
+    rank = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(salt * LEADERS + j)), F.col("node"), F.col("comp"), F.col("n")))
+    leaders = posts.groupBy("token").agg(*[rank(j).alias(f"_{j}") for j in range(LEADERS)])
+    leaders = leaders.select("token", F.array_distinct(F.array(*[F.col(f"_{j}") for j in range(LEADERS)])).alias("leads"))
+    near = F.filter("leads", lambda x: (x["comp"] != F.col("comp")) & (100 * F.least(x["n"], F.col("n")) >= percent * F.greatest(x["n"], F.col("n"))))
+    led = posts.join(leaders, "token").select("node", F.explode(near).alias("lead")).select("node", F.col("lead.node").alias("b"))
     shared = led.groupBy("node", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("node").agg(F.max(F.struct("c", (-F.col("b")).alias("_neg"), "b")).alias("x"))
-    return best.select(F.col("node").alias("a"), F.col("x.b").alias("b"))
+    # a node meets at most LEADERS nodes per list of its own prefix
+    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, LEADERS).alias("x"))
+    return best.select(F.col("node").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -386,3 +394,18 @@ def q_jaccard_join(spark, sf_dir):
     found = similar_components(table(spark, sf_dir, "documents"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return found.select(real("doc").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
+
+
+def keep_one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row for each component: that of its smallest doc_id.
+
+    Rows without a shingle link with nothing and stay; rows that repeat the kept doc_id
+    are reduced to the first (smallest row key).
+    """
+    names = docs.columns
+    found = similar_components(docs, words, percent)
+    kept = found.where("component = doc").groupBy("doc").agg(F.max("n_shingles").alias("_shingles"))
+    keyed = docs.withColumn("_row", row_key()).withColumn("_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    firsts = keyed.groupBy("_doc").agg(F.min("_row").alias("_first"))
+    chosen = firsts.join(kept.hint("shuffle_hash"), F.col("_doc") == F.col("doc")).select(F.col("_first"), F.col("_shingles"))
+    return keyed.join(chosen.hint("shuffle_hash"), F.col("_row") == F.col("_first")).select(*[F.col(f"`{c}`") for c in names])

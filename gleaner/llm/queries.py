@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import line_dedup, url_filters
+from gleaner.llm import licences, line_dedup, url_filters
 from gleaner.llm.fingerprints import q_fingerprints
 from gleaner.llm.jaccard_join import q_jaccard_join
 from gleaner.llm.mixing import q_mix
@@ -21,10 +21,12 @@ QUERIES = {
     "op7_ngram_jaccard_join": q_jaccard_join,
     "op8_merkle_fingerprints": q_fingerprints,
     "op9_deobfuscated_toxicity": q_toxicity,
+    "op10_licence_digests": licences.q_licences,
 }
 
 SQL: dict[str, str] = {
     "op3_multiprobe_neighbours": q_neighbours,
     "op4_temporal_url_filter": url_filters.SQL,
     "op5_line_dedup_mphf": line_dedup.SQL,
+    "op10_licence_digests": licences.SQL,
 }

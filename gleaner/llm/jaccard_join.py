@@ -6,12 +6,13 @@ sketch of the whole corpus. If a document of n tokens shares at least o of them
 every partner, then its first n - o + l tokens share at least l with the partner's
 prefix. l is chosen per document: a longer prefix costs more postings and leaves
 fewer candidates to verify, and the estimate of both comes from the sketch. A pair
-becomes a candidate with min(l, l') shared prefix tokens, and the sets of candidates
-are then compared exactly.
+becomes a candidate with min(l, l') shared prefix tokens, unless their positions show
+that too few tokens are left after the last shared one; the sets of candidates are
+then compared exactly.
 
 Equal sets are one class from the start. What the result needs is reachability, so
 classes are contracted as links are found: every token's list has a few leaders, and in
-each pass a class is compared with the LEADERS leaders (of other components) that lead
+each pass a class is compared with the TRIED leaders (of other components) that lead
 most of its prefix tokens, which dissolves groups of near copies with a few
 comparisons per member. Passes go on, with other leaders, while they still link one
 in ``GAIN`` of the classes. The last pass then takes all candidate pairs between
@@ -39,15 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, cut, row_key, shuffle_width, table
+from gleaner.llm.common import BLANKS, cut, release, row_key, shuffle_width, table
 from gleaner.llm.components import components
 from gleaner.llm.mph import mixed
 
 WORDS = 5
 PERCENT = 75
 ROUNDS = 12
-LEADERS = 4
-GAIN = 200
+LEADERS = 4  # per posting list and pass
+TRIED = 2  # leaders that a class is compared with in a pass
+FAIR = 4  # a leader must lead one in FAIR of the class's lists to be tried
+GAIN = 50
 MAX_MATCHES = 8
 SKETCH_BITS = 20
 BLOCKS = 64
@@ -235,14 +238,14 @@ def prefix_of(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int
     return tokens[order[: n - overlap + matches]], matches
 
 
-_POSTING = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("matches", pa.int64())])
+_POSTING = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("matches", pa.int64()), ("pos", pa.int64())])
 
 
 def _postings(counts, noise: float, words: int, percent: int):
     def run(batches):
         known, seen = counts.value, set()
         for part in _parts(batches):
-            tokens, classes, matches = [], [], []
+            tokens, classes, matches, places = [], [], [], []
             for s in shingle_sets(part.column("text").to_pylist(), words):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -251,10 +254,11 @@ def _postings(counts, noise: float, words: int, percent: int):
                 tokens.append(p)
                 classes.append(np.full(len(p), c, np.int64))
                 matches.append(np.full(len(p), m, np.int64))
+                places.append(np.arange(1, len(p) + 1))
             if len(seen) > 1_000_000:
                 seen.clear()
             if tokens:
-                cols = np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(matches)
+                cols = np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(matches), np.concatenate(places)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_POSTING)
 
     return run
@@ -265,20 +269,21 @@ def _shared(batches):
 
     A batch's last posting waits for the next batch; that is all the state there is.
     """
-    held = np.empty((0, 4), np.int64)  # token, cls, matches, kept because of the posting before
+    n, mark = len(_POSTING), len(_POSTING)
+    held = np.empty((0, n + 1), np.int64)  # the posting, and whether it is kept because of the posting before
     for batch in batches:
-        rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in _POSTING.names] + [np.zeros(batch.num_rows, np.int64)], 1)
+        rows = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in _POSTING.names] + [np.zeros(batch.num_rows, np.int64)], 1)
         rows = np.concatenate([held, rows])
         new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
         rows = rows[new]
         same = rows[1:, 0] == rows[:-1, 0]
-        rows[1:, 3] |= same
-        keep = (rows[:-1, 3] == 1) | same
+        rows[1:, mark] |= same
+        keep = (rows[:-1, mark] == 1) | same
         held, out = rows[-1:], rows[:-1][keep]
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(3)], schema=_POSTING)
-    if len(held) and held[0, 3]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(3)], schema=_POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(n)], schema=_POSTING)
+    if len(held) and held[0, mark]:
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(n)], schema=_POSTING)
 
 
 _SET = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
@@ -338,10 +343,11 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     counts = CountSketch.total(scanned.where("block is not null").select("block", "counts"))
     shared_counts = sc.broadcast(counts)  # 4 MB, fixed
 
-    postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long, matches long")
+    postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long, matches long, pos long")
     ordered = postings.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "cls")
-    surviving = cut(ordered.mapInArrow(_shared, "token long, cls long, matches long"))
-    posts = cut(surviving.join(classes, "cls").select("token", "node", "n", "matches"))
+    surviving = cut(ordered.mapInArrow(_shared, "token long, cls long, matches long, pos long"))
+    release(spark)
+    posts = cut(surviving.join(classes, "cls").select("token", "node", "n", "matches", "pos"))
 
     wanted = CountSketch.total(posts.select("node").distinct().mapInArrow(_id_blocks, CountSketch.schema))
     sets = cut(docs.mapInArrow(_sets_of(sc.broadcast(wanted), words), "node long, tokens binary")
@@ -361,6 +367,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         found = cut(_links(_all_pairs(open_, percent) if last else _led_pairs(open_, i, percent), sets, percent))
         links = links.unionByName(found)
         labels = cut(components(links))
+        release(spark)
         if last:
             break
         last = found.count() * GAIN < n_nodes
@@ -376,18 +383,24 @@ def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
     leaders = leaders.select("token", F.array_distinct(F.array(*[F.col(f"_{j}") for j in range(LEADERS)])).alias("leads"))
     near = F.filter("leads", lambda x: (x["comp"] != F.col("comp")) & (100 * F.least(x["n"], F.col("n")) >= percent * F.greatest(x["n"], F.col("n"))))
     led = posts.join(leaders, "token").select("node", F.explode(near).alias("lead")).select("node", F.col("lead.node").alias("b"))
-    shared = led.groupBy("node", "b").agg(F.count(F.lit(1)).alias("c"))
+    shared = led.groupBy("node", "b").agg(F.count(F.lit(1)).alias("c")).join(posts.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
     # a node meets at most LEADERS nodes per list of its own prefix
-    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, LEADERS).alias("x"))
+    fair = shared.where(F.col("c") * FAIR >= F.col("lists"))
+    best = fair.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, TRIED).alias("x"))
     return best.select(F.col("node").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components with enough shared prefix tokens."""
-    left = posts.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("ca"))
-    right = posts.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("cb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).where("c >= least(ma, mb)").select("a", "b")
+    """All pairs of different components with enough shared prefix tokens.
+
+    All tokens shared up to the last one are counted, so the overlap is at most that
+    count plus what follows the last one in either set.
+    """
+    side = lambda x: posts.select("token", *[F.col(c).alias(n) for c, n in (("node", x), ("n", "n" + x), ("matches", "m" + x), ("comp", "c" + x), ("pos", "p" + x))])
+    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ma", "mb")], F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return shared.where((F.col("c") >= F.least("ma", "mb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))).select("a", "b")
 
 
 def q_jaccard_join(spark, sf_dir):

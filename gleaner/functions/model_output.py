@@ -33,7 +33,8 @@ def _col(c) -> Column:
 def _whole_json(text: Column) -> Column:
     """Parse text that must be exactly one JSON value (trailing text -> NULL)."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(wrapped.isNull(), F.lit(None)).otherwise(F.try_variant_get(wrapped, "$[0]", "variant"))
+    one = wrapped.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(one, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def brace_positions(text: Column) -> Column:
@@ -45,7 +46,13 @@ def brace_positions(text: Column) -> Column:
         tail = F.substring(text, start, 1 << 30)
         return F.concat(acc, F.array(F.instr(tail, "{") + start - 1))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(0))), F.array().cast("array<int>"), step)
+    none = F.array().cast("array<int>")
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), none, step)).otherwise(none)
+
+
+def first_decodable(text: Column, braces: Column) -> Column:
+    """The object that decodes from the earliest brace; later braces are tried only if it fails."""
+    return F.aggregate(braces, F.lit(None).cast("variant"), lambda acc, p: F.coalesce(acc, F.try_parse_json(F.substring(text, p, 1 << 30))))
 
 
 def first_json_object(raw) -> Column:
@@ -54,8 +61,7 @@ def first_json_object(raw) -> Column:
     Returns a struct(obj variant, error string)."""
     cleaned = strip_spinner(_col(raw))
     fenced = F.regexp_extract(cleaned, FENCED_OBJECT, 1)
-    candidates = F.transform(brace_positions(cleaned), lambda p: F.try_parse_json(F.substring(cleaned, p, 1 << 30)))
-    found = F.try_element_at(F.filter(candidates, lambda v: v.isNotNull()), F.lit(1))
+    found = first_decodable(cleaned, brace_positions(cleaned))
     fenced_obj = _whole_json(fenced)
     obj = F.when(_col(raw).isNull(), F.lit(None)).when(fenced != "", fenced_obj).otherwise(found)
     err = (
@@ -145,12 +151,6 @@ def error_analysis(message: Column) -> Column:
     return F.struct(*[fields[k].alias(k) for k in C.ANALYSIS_FIELDS], message.alias("analysis_error"))
 
 
-def analyse_raw(raw) -> Column:
-    """raw model text -> normalised analysis, or the error record when nothing parses."""
-    parsed = first_json_object(raw)
-    return F.when(parsed["obj"].isNull(), error_analysis(parsed["error"])).otherwise(normalize_analysis(parsed["obj"], _col(raw)))
-
-
 def json_array_block(text) -> Column:
     """A JSON array from a ```json fenced block if present, else from the whole text."""
     t = _col(text)

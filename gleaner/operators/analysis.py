@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.model_output import FENCED_OBJECT, MSG_BAD_FENCE, MSG_MISSING, MSG_NO_OBJECT, _whole_json, brace_positions, error_analysis, normalize_analysis
+from gleaner.functions.model_output import FENCED_OBJECT, MSG_BAD_FENCE, MSG_MISSING, MSG_NO_OBJECT, _whole_json, brace_positions, error_analysis, first_decodable, normalize_analysis
 from gleaner.functions.text import strip_spinner
+from gleaner.operators.partitioning import broadcast_if_small
+from gleaner.session import ensure_checkpoint_dir
 
 ANALYSIS_PROMPT = C.ANALYSIS_PROMPT
 PLACEHOLDER_ORDER = C.PLACEHOLDER_ORDER
@@ -24,8 +26,7 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     p = outputs.withColumn("_cleaned", strip_spinner(raw))
     p = p.withColumn("_fenced", F.regexp_extract(F.col("_cleaned"), FENCED_OBJECT, 1))
     p = p.withColumn("_braces", brace_positions(F.col("_cleaned")))
-    tries = F.transform("_braces", lambda b: F.try_parse_json(F.substring(F.col("_cleaned"), b, 1 << 30)))
-    p = p.withColumn("_found", F.try_element_at(F.filter(tries, lambda v: v.isNotNull()), F.lit(1)))
+    p = p.withColumn("_found", first_decodable(F.col("_cleaned"), F.col("_braces")))
     p = p.withColumn("_fenced_obj", _whole_json(F.col("_fenced")))
     fenced = F.col("_fenced") != ""
     p = p.withColumn("_obj", F.when(raw.isNull(), F.lit(None)).when(fenced, F.col("_fenced_obj")).otherwise(F.col("_found")))
@@ -37,18 +38,14 @@ def analyse_outputs(outputs: DataFrame, raw_col: str = "raw") -> DataFrame:
     return p.withColumn("analysis", analysis).drop("_obj", "_err")
 
 
-def join_analysis(cands: DataFrame, outputs: DataFrame, key: str, bounded_candidates: bool = True) -> DataFrame:
+def join_analysis(cands: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Left join candidates to analysed outputs; a candidate without output gets the error record.
 
-    Candidates are a top-k selection, so with ``bounded_candidates`` their keys are
-    broadcast to filter the outputs first: only the selected articles' outputs
-    are parsed (late materialisation), the output table is never shuffled."""
-    if bounded_candidates:
-        from gleaner.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(cands.sparkSession)
-        cands = cands.checkpoint(eager=True)  # k rows, read twice below
-        outputs = outputs.join(F.broadcast(cands.select(key).distinct()), key, "left_semi")
+    Only the outputs of candidates are parsed (late materialisation); their keys are
+    broadcast when they have been counted to be few."""
+    ensure_checkpoint_dir(cands.sparkSession)
+    cands = cands.checkpoint(eager=True)  # read twice below
+    outputs = outputs.join(broadcast_if_small(cands.select(key).distinct()), key, "left_semi")
     analysed = analyse_outputs(outputs).select(key, "analysis")
     joined = cands.join(analysed, key, "left")
     missing = error_analysis(F.lit("Model output missing."))
@@ -129,14 +126,21 @@ def score_with(prompts: DataFrame, scorer, prompt_col: str = "prompt", key_col:
     def run(batches):
         for pdf in batches:
             out = pdf[[key_col]].copy()
+            out["raw"], out["failure"] = None, None
             try:
                 out["raw"] = list(scorer(pdf[prompt_col]))
-            except Exception:  # noqa: BLE001 - a failed call is an error row downstream
-                out["raw"] = None
+            except Exception:  # noqa: BLE001 - then call by call: only the failing ones become error rows
+                for i in out.index:
+                    try:
+                        out.at[i, "raw"] = list(scorer(pdf.loc[[i], prompt_col]))[0]
+                    except Exception as e:  # noqa: BLE001
+                        out.at[i, "failure"] = str(e) or type(e).__name__
             yield out
 
-    schema = f"{key_col} string, raw string"
-    return analyse_outputs(prompts.select(F.col(key_col).cast("string").alias(key_col), prompt_col).mapInPandas(run, schema))
+    schema = f"{key_col} string, raw string, failure string"
+    scored = prompts.select(F.col(key_col).cast("string").alias(key_col), prompt_col).mapInPandas(run, schema)
+    done = analyse_outputs(scored)
+    return done.withColumn("analysis", F.when(F.col("failure").isNotNull(), error_analysis(F.col("failure"))).otherwise(F.col("analysis"))).drop("failure")
 
 
 def discover(mode: str, feed_candidates: DataFrame | None = None, search_candidates: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -18,3 +21,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a side for broadcast only if it has been counted to be small; else leave the join to AQE."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,22 +8,22 @@ from pyspark.sql.window import Window
 
 from gleaner.functions import constants as C
 from gleaner.functions.urls import normalize_url
+from gleaner.operators.partitioning import BROADCAST_ROWS
+from gleaner.session import ensure_checkpoint_dir
 
 SEEN_FIELDS = ["title", "source", "published"]
 
 
-def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: str = "rank", bounded_batch: bool = True) -> DataFrame:
+def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: str = "rank") -> DataFrame:
     """Merge selected articles into the seen-url state.
 
     url is normalised again; first_seen is set once; last_seen, title, source and
     published are overwritten (also by empty strings); extra fields of existing
     records survive; within one batch the last article of a url wins.
 
-    The batch is a top-k selection (at most ``limit`` rows per topic), so with
-    ``bounded_batch`` it is broadcast: existing records are updated by a
-    broadcast left join and new urls are found by a broadcast semi/anti join, so
-    the ever-growing seen table is streamed once and never shuffled. Without a
-    size bound a full outer join (shuffle on url) is used.
+    A batch is usually a top-k selection. It is counted: a small one is broadcast (the
+    ever-growing seen table is then streamed and never shuffled), a large one goes
+    through a full outer join on url.
     """
     batch = selected.select(
         normalize_url(F.col("url")).alias("url"),
@@ -32,7 +32,10 @@ def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: st
     )
     last = batch.groupBy("url").agg(F.max_by(F.struct(*SEEN_FIELDS), F.col("_order")).alias("b"))
     extra = [c for c in seen.columns if c not in ("url", "first_seen", "last_seen", *SEEN_FIELDS)]
-    if not bounded_batch:
+    # read by two joins: materialised once in the shared checkpoint folder
+    ensure_checkpoint_dir(last.sparkSession)
+    last = last.checkpoint(eager=True)
+    if last.count() > BROADCAST_ROWS:
         s = seen.alias("s")
         j = s.join(last.alias("n"), F.col("s.url") == F.col("n.url"), "full_outer")
         hit = F.col("n.url").isNotNull()
@@ -43,12 +46,6 @@ def seen_upsert(seen: DataFrame, selected: DataFrame, now: Column, order_col: st
             *[F.when(hit, F.col(f"n.b.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in SEEN_FIELDS],
             *[F.col(f"s.{c}") for c in extra],
         )
-    # the bounded batch is read by two joins: materialise it once (k rows) in the
-    # shared checkpoint folder instead of recomputing the selection twice
-    from gleaner.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(last.sparkSession)
-    last = last.checkpoint(eager=True)
     small = F.broadcast(last.select("url", "b"))
     old = seen.join(small, "url", "left")
     hit = F.col("b").isNotNull()
@@ -83,19 +80,25 @@ def topic_preference(topic: Column, seed: str) -> Column:
     return F.md5(F.concat(topic, F.lit(seed)))
 
 
-def topic_rotation(topics: DataFrame, recent: DataFrame, reader: str, n_recent: int, seed: str = "") -> DataFrame:
+def topic_rotation(topics: DataFrame, recent: DataFrame, reader: str, n_recent: int, seed: str = "", readers: DataFrame | None = None) -> DataFrame:
     """One topic per reader: the first topic (in seeded hash order) the reader has
     not used recently; when every topic was used, the first topic overall.
 
-    Exact without pairing every reader with every topic: a reader's recent list
-    holds at most ``n_recent`` topics, so the answer is among the first
-    ``n_recent + 1`` topics of the hash order. Those few topics form a bounded
-    array (a scalar subquery) that every reader filters."""
+    Exact without pairing every reader with every topic: if no reader has used more
+    than m distinct topics, the answer is among the first m + 1 topics of the hash
+    order. m is ``n_recent``, or counted when the whole history is recent
+    (``n_recent = 0``). Those topics form an array that every reader filters.
+    ``readers`` adds readers without history."""
     ordered = topics.distinct().select(F.col("topic"), topic_preference(F.col("topic"), seed).alias("h"))
-    head = ordered.orderBy("h", "topic").limit(n_recent + 1)
+    used_topics = recent.select(reader, "topic").distinct()
+    most = n_recent if n_recent > 0 else used_topics.groupBy(reader).count().agg(F.max("count")).first()[0] or 0
+    head = ordered.orderBy("h", "topic").limit(most + 1)
     head_arr = head.select(F.sort_array(F.collect_list(F.struct("h", "topic"))).alias("a")).select(
         F.transform("a", lambda x: x["topic"]).alias("a")).scalar()
-    used = recent.groupBy(reader).agg(F.collect_set("topic").alias("used")).withColumn("head", head_arr)
+    used = used_topics.groupBy(reader).agg(F.collect_set("topic").alias("used"))
+    if readers is not None:
+        used = readers.select(reader).distinct().join(used, reader, "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+    used = used.withColumn("head", head_arr)
     unused = F.filter(F.col("head"), lambda t: ~F.array_contains(F.col("used"), t))
     pick = F.coalesce(F.try_element_at(unused, F.lit(1)), F.try_element_at(F.col("head"), F.lit(1)))
     return used.select(reader, pick.alias("topic"))

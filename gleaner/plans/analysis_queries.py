@@ -24,9 +24,9 @@ def _s(c) -> Column:
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model text per document, in ten forms chosen by doc_id % 10 (FIXTURES.md)."""
-    d = X.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 120).alias("head"))
-    s = F.regexp_replace(F.col("head"), SAFE_TEXT, " ")
+    """Raw model text per document, in twelve forms chosen by doc_id % 12 (FIXTURES.md)."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    s = F.regexp_replace(F.col("text"), SAFE_TEXT, " ")
     i = F.col("doc_id")
     rec = F.element_at(F.array(*[F.lit(r) for r in RECS]), (i % 4 + 1).cast("int"))
     obj = F.concat(
@@ -52,7 +52,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
               '"novelty": null, "relevance": [1], "summary": "'), s,
         F.lit('", "tags": "single-tag", "claims_to_verify": "   "}'),
     )
-    form = i % 10
+    form = i % 12
     raw = (
         F.when(form == 0, obj)
         .when(form == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
@@ -63,6 +63,8 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 6, F.concat(F.lit("The model could not decide about "), s))
         .when(form == 7, strings)
         .when(form == 8, odd)
+        .when(form == 10, F.concat(F.lit("[1, 2] "), s))
+        .when(form == 11, F.lit('```json\n{"recommendation": "read"}, {"recommendation": "skim"}\n```'))
     )
     return spread(d.select("doc_id", raw.alias("raw")))
 
@@ -138,8 +140,8 @@ def q_analysis_join(spark, sf_dir):
 
 def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search-discovery responses derived from documents and pages (three forms)."""
-    d = X.table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("head"))
-    s = F.regexp_replace(F.col("head"), SAFE_TEXT, " ")
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    s = F.regexp_replace(F.col("text"), SAFE_TEXT, " ")
     arr = F.concat(
         F.lit('[{"title": "T'), _s(F.col("doc_id")), F.lit('", "url": "https://example.org/'), F.col("lang"), F.lit("/"),
         _s(F.col("doc_id")), F.lit('", "content": "'), s, F.lit('"}, {"title": "'), F.col("lang"), F.lit('", "url": "", "content": ""}]'),

@@ -73,7 +73,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries_from(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries for a documents DataFrame (batch or stream; lookups are static tables)."""
-    docs = spread(documents.select("doc_id", "source", "lang", F.substring("text", 1, 400).alias("head")))
+    docs = spread(documents.select("doc_id", "source", "lang", "text"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     keyed = docs.select(
@@ -87,8 +87,8 @@ def entries_from(documents: DataFrame, spark: SparkSession, sf_dir: str) -> Data
         F.col("doc_id").alias("pos"),
         "source",
         F.when(F.col("doc_id") % 50 == 49, F.lit("")).otherwise(F.col("url")).alias("link"),
-        F.substring("head", 1, 80).alias("title"),
-        F.col("head").alias("summary"),
+        F.concat_ws(" ", "source", F.lit("entry"), F.col("doc_id").cast("string")).alias("title"),
+        F.col("text").alias("summary"),
         F.array("lang").alias("terms"),
         F.when(F.col("doc_id") % 11 == 10, F.lit(None).cast("timestamp_ntz")).otherwise(ts).alias("published"),
         F.when(F.col("doc_id") % 22 == 10, ts).otherwise(F.lit(None).cast("timestamp_ntz")).alias("updated"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import clean_whitespace, truncate_text
 from gleaner.operators import pages as P
+from gleaner.operators.partitioning import broadcast_if_small
 from gleaner.plans import fixtures as X
 
 
@@ -131,11 +132,11 @@ def _top(spark, sf_dir):
 def extracted_for(pages_raw: DataFrame, wanted_urls: DataFrame) -> DataFrame:
     """Extract only the pages whose normalised url is wanted (late materialisation).
 
-    ``wanted_urls`` is the selected top-k, so its size is bounded by the limit and
-    it is broadcast for the semi-join; the page table is never shuffled. One page
+    ``wanted_urls`` is the selected top-k; it is broadcast for the semi-join when it
+    has been counted to be small, and the page table is then not shuffled. One page
     per url is kept (lowest page_id) with a partial aggregate."""
     keyed = pages_raw.withColumn("url", normalize_url("url"))
-    wanted = keyed.join(F.broadcast(wanted_urls.select("url").distinct()), "url", "left_semi")
+    wanted = keyed.join(broadcast_if_small(wanted_urls.select("url").distinct()), "url", "left_semi")
     ex = P.extract_articles(wanted, keep=["page_id"])
     rec = F.struct(*[c for c in ex.columns if c not in ("page_id",)])
     one = ex.groupBy("url").agg(F.min_by(rec, F.col("page_id")).alias("x"))

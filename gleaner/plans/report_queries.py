@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
 from gleaner.functions.scoring import iso_utc
-from gleaner.functions.text import py_strip, slugify
+from gleaner.functions.model_output import MSG_MISSING, error_analysis
+from gleaner.functions.text import slugify
 from gleaner.operators import report as R
 from gleaner.plans import fixtures as X
 
@@ -17,15 +18,17 @@ MODEL = "local-model"
 SEP = "||"
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triaged articles: one per labelled document, topic = document language."""
+def analysed(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
+    """Triaged articles: one per document, topic = document language.
+
+    A document without labels has no model judgement and carries the error record."""
     labels = X.table(spark, sf_dir, "labels")
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.substring("text", 1, 120).alias("head"))
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     pages = X.table(spark, sf_dir, "pages").select("page_id", "url")
     events = X.table(spark, sf_dir, "events").select("event_id", "ts")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     n_events = events.select(F.count(F.lit(1))).scalar()
-    d = labels.join(docs, "doc_id").select("*", (F.col("doc_id") % n_pages).alias("pk"), (F.col("doc_id") * 7919 % n_events).alias("ek"))
+    d = docs.join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left").select("*", (F.col("doc_id") % n_pages).alias("pk"), (F.col("doc_id") * 7919 % n_events).alias("ek"))
     d = d.join(pages, d.pk == pages.page_id, "left").join(events, d.ek == events.event_id, "left")
     i = F.col("doc_id")
     q = F.col("quality")
@@ -37,7 +40,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i * 11 % 101).cast("int").alias("technical_depth"),
         (i * 13 % 101).cast("int").alias("novelty"),
         (i * 17 % 101).cast("int").alias("relevance"),
-        F.when(i % 9 == 0, F.lit("")).when(i % 9 == 1, F.lit("Not specified.")).otherwise(F.col("head")).alias("summary"),
+        F.when(i % 9 == 0, F.lit("")).when(i % 9 == 1, F.lit("Not specified.")).otherwise(F.col("text")).alias("summary"),
         F.when(i % 7 == 0, F.lit("none called out.")).otherwise(F.concat(F.lit("Matches "), F.col("lang"))).alias("why_selected"),
         F.array(F.concat(F.lit("claim "), i.cast("string")), F.lit("Not specified.")).alias("technically_sound_claims"),
         F.when(F.col("toxic") == 1, F.array(F.concat(F.lit("hype "), i.cast("string")))).otherwise(F.array().cast("array<string>")).alias("marketing_or_hype"),
@@ -48,6 +51,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("lang"), F.lit(""), F.lit("none called out."), F.col("source")).alias("tags"),
         F.when(i % 13 == 0, F.lit("Could not parse model JSON")).alias("analysis_error"),
     )
+    analysis = F.when(F.col("labelled"), analysis).otherwise(error_analysis(F.lit(MSG_MISSING)))
     extraction = F.struct(
         F.concat(F.lit("site-"), F.col("lang")).alias("site_name"),
         F.concat(F.lit("2024-01-0"), (i % 9 + 1).cast("string")).alias("published_date"),
@@ -58,13 +62,14 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("lang").alias("topic"),
         i.alias("pos"),
-        py_strip(F.substring("head", 1, 60)).alias("title"),
+        F.concat_ws(" ", "source", F.lit("article"), i.cast("string")).alias("title"),
         F.col("url"),
         F.when(i % 6 == 0, F.lit("")).otherwise(F.col("source")).alias("source"),
         F.when(i % 4 == 0, F.lit("")).otherwise(iso_utc(ts)).alias("published"),
         F.when(q == 1, F.lit(C.CONTENT_SOURCE_EXTRACTED)).otherwise(F.lit(C.CONTENT_SOURCE_FALLBACK)).alias("content_source"),
         extraction.alias("extraction"),
         analysis.alias("analysis"),
+        *([F.col("text").alias("content"), F.array("lang").alias("tags"), F.lit("feed").alias("source_type")] if with_content else []),
     )
 
 
@@ -118,7 +123,7 @@ def q_digest_report(spark, sf_dir):
 
 
 def q_manual_report(spark, sf_dir):
-    a = analysed(spark, sf_dir).where(F.col("topic") == "en").withColumn("title", F.col("url"))
+    a = analysed(spark, sf_dir).withColumn("title", F.col("url"))
     return R.manual_lines(a, "manual URL review", GENERATED_AT, MODEL)
 
 
@@ -128,9 +133,9 @@ def q_triage_summary(spark, sf_dir):
 
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis archive rows: run_date partition, one JSON document per article."""
-    a = analysed(spark, sf_dir)
+    a = analysed(spark, sf_dir, with_content=True)
     run_date = F.coalesce(F.nullif(F.substring("published", 1, 10), F.lit("")), F.lit("2024-01-31"))
-    article = F.to_json(F.struct("pos", "title", "url", "source", "published", "content_source", "analysis"))
+    article = F.to_json(F.struct("pos", "title", "url", "source", "published", "content_source", "content", "tags", "source_type", "extraction", "analysis"))
     return a.select("topic", run_date.alias("run_date"), F.lit(GENERATED_AT).alias("generated_at"), F.lit(MODEL).alias("model"),
                     "pos", article.alias("article"))
 
@@ -140,7 +145,9 @@ def q_analysis_archive(spark, sf_dir):
     x = F.col("article")
     return r.select("topic", "run_date", "pos",
                     F.get_json_object(x, "$.analysis.recommendation").alias("recommendation"),
-                    F.get_json_object(x, "$.title").alias("title"))
+                    F.get_json_object(x, "$.title").alias("title"),
+                    F.get_json_object(x, "$.extraction.status").alias("status"),
+                    F.md5(F.get_json_object(x, "$.content")).alias("content_md5"))
 
 
 def q_latest_snapshot(spark, sf_dir):

@@ -5,9 +5,10 @@
 * ``stream_url_dedup``: first arrival per url within the watermark.
 * ``stream_daily_volume``: tumbling one-day windows per type (complete output).
 * ``stream_seen_upsert``: each micro-batch selects against seen-state snapshot
-  *n* and writes snapshot *n+1* to a new folder; re-running a batch id rewrites
-  the same folder, so retries are idempotent and the folder being read is never
-  overwritten.
+  *n* and writes snapshot *n+1* to a new folder whose name also says which query
+  and batch it holds. A retried batch finds its own name and changes nothing; another
+  query (a fresh checkpoint) goes on from the newest snapshot. The folder being
+  read is never overwritten.
 """
 
 from __future__ import annotations
@@ -42,24 +43,34 @@ def stream_daily_volume(events: DataFrame, ts: str = "ts", key: str = "event_typ
     return g.select(utc_day(F.col("w.start")).alias("day"), F.col(key), "n")
 
 
-def latest_snapshot_version(spark: SparkSession, state_dir: str) -> int:
-    """Highest committed snapshot version under state_dir (0 when none beyond v=0)."""
+def committed_snapshots(spark: SparkSession, state_dir: str) -> dict[int, str]:
+    """Version -> folder name of every committed snapshot under state_dir."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(state_dir)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
-        return -1
-    versions = []
+        return {}
+    found = {}
     for st in fs.listStatus(path):
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    return max(versions) if versions else -1
+            found[int(name[2:].split("-")[0])] = name
+    return found
+
+
+def latest_snapshot_version(spark: SparkSession, state_dir: str) -> int:
+    """Highest committed snapshot version under state_dir, -1 without any."""
+    return max(committed_snapshots(spark, state_dir), default=-1)
+
+
+def latest_snapshot(spark: SparkSession, state_dir: str) -> str:
+    found = committed_snapshots(spark, state_dir)
+    return os.path.join(state_dir, found[max(found)])
 
 
 def stream_seen_upsert(spark: SparkSession, entries_stream: DataFrame, select_fn, state_dir: str, checkpoint: str,
-                       now: Column | None = None, timeout_s: int = 600) -> str:
+                       now: Column | None = None, timeout_s: int | None = None) -> str:
     """Run the discovery-and-remember loop over a stream of entries.
 
     ``select_fn(batch_df, seen_df) -> selected`` returns the batch's selected
@@ -71,17 +82,19 @@ def stream_seen_upsert(spark: SparkSession, entries_stream: DataFrame, select_fn
     stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        current = latest_snapshot_version(spark, state_dir)
-        target = batch_id + 1
-        if current >= target:  # already committed: a retried batch changes nothing
-            return
-        seen = spark.read.parquet(os.path.join(state_dir, f"v={current}"))
+        found = committed_snapshots(spark, state_dir)
+        # the id of a streaming query is kept in its checkpoint: stable over its restarts
+        mark = f"-{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        if any(name.endswith(mark) for name in found.values()):
+            return  # already committed: a retried batch changes nothing
+        current = max(found)
+        seen = spark.read.parquet(os.path.join(state_dir, found[current]))
         merged = seen_upsert(seen, select_fn(batch, seen), stamp)
-        merged.write.mode("overwrite").parquet(os.path.join(state_dir, f"v={target}"))
+        merged.write.mode("overwrite").parquet(os.path.join(state_dir, f"v={current + 1}{mark}"))
 
     w = entries_stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     run_available(w, timeout_s)
-    return os.path.join(state_dir, f"v={latest_snapshot_version(spark, state_dir)}")
+    return latest_snapshot(spark, state_dir)
 
 
 def complete_to_parquet(agg: DataFrame, path: str, checkpoint: str):

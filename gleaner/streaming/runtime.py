@@ -33,10 +33,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_available(stream_writer, timeout_s: int = 600) -> None:
-    """Start with trigger(availableNow), wait until every available file is processed."""
+def run_available(stream_writer, timeout_s: int | None = None) -> None:
+    """Start with trigger(availableNow), wait until every available file is processed (no time limit by default)."""
     q = stream_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError(f"stream {q.name} did not finish in {timeout_s}s")

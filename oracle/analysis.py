@@ -11,7 +11,7 @@ FENCE = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 
 
 def model_outputs_cte() -> str:
-    s = f"regexp_replace(substring(text, 1, 120), {q(SAFE)}, ' ', 'g')"
+    s = f"regexp_replace(text, {q(SAFE)}, ' ', 'g')"
     rec = "(['read','skim','watch','ignore'])[(doc_id % 4) + 1]"
     obj = (
         f"'{{\"recommendation\": \"' || {rec} || '\", \"signal_score\": ' || (doc_id * 37 % 101) || "
@@ -31,7 +31,7 @@ def model_outputs_cte() -> str:
     )
     spin = q(C.SPINNER_FRAMES[:3] + " \n")
     return f"""model_outputs AS (
-  SELECT doc_id, CASE doc_id % 10
+  SELECT doc_id, CASE doc_id % 12
     WHEN 0 THEN {obj}
     WHEN 1 THEN '```json' || chr(10) || {obj} || chr(10) || '```'
     WHEN 2 THEN {spin} || {obj}
@@ -41,6 +41,8 @@ def model_outputs_cte() -> str:
     WHEN 6 THEN 'The model could not decide about ' || {s}
     WHEN 7 THEN {strings}
     WHEN 8 THEN {odd}
+    WHEN 10 THEN '[1, 2] ' || {s}
+    WHEN 11 THEN '```json' || chr(10) || '{{"recommendation": "read"}}, {{"recommendation": "skim"}}' || chr(10) || '```'
     ELSE NULL END AS raw
   FROM documents
 )"""
@@ -62,8 +64,8 @@ PARSED = f"""parsed AS (
     SELECT *, (list_filter(flatten(list_transform(opens, lambda p: list_transform(list_filter(closes, lambda c: c > p),
                lambda c: substring(cleaned, p, c - p + 1)))), lambda t: json_valid(t)))[1] AS found
     FROM (
-      SELECT *, list_filter(range(1, length(cleaned) + 1), lambda i: substring(cleaned, i, 1) = '{{') AS opens,
-                list_filter(range(1, length(cleaned) + 1), lambda i: substring(cleaned, i, 1) = '}}') AS closes
+      SELECT *, list_transform(range(1, len(string_split(cleaned, '{{'))), lambda i: length(array_to_string(string_split(cleaned, '{{')[1:i], '{{')) + 1) AS opens,
+                list_transform(range(1, len(string_split(cleaned, '}}'))), lambda i: length(array_to_string(string_split(cleaned, '}}')[1:i], '}}')) + 1) AS closes
       FROM (SELECT doc_id, raw, {spinner('raw')} AS cleaned, regexp_extract({spinner('raw')}, {q(FENCE)}, 1) AS fenced FROM model_outputs)
     )
   )
@@ -134,7 +136,7 @@ J = lambda k: f"array_to_string({k}, '||') AS {k}"
 
 ANALYSIS_SELECT = ", ".join(["doc_id", "recommendation", *C.SCORE_FIELDS, *C.TEXT_FIELDS, *[J(k) for k in C.LIST_FIELDS], "analysis_error"])
 
-RESP_SAFE_HEAD = f"regexp_replace(substring(text, 1, 200), {q(SAFE)}, ' ', 'g')"
+RESP_SAFE_HEAD = f"regexp_replace(text, {q(SAFE)}, ' ', 'g')"
 RESPONSES = f"""responses AS (
   SELECT doc_id, CASE doc_id % 3
     WHEN 0 THEN 'Sure, here you go:' || chr(10) || '```json' || chr(10) || arr || chr(10) || '```' || chr(10) || 'Enjoy.'

@@ -81,8 +81,8 @@ feeds AS (
 entries AS (
   SELECT d.doc_id AS pos, d.source,
          CASE WHEN d.doc_id % 50 = 49 THEN '' ELSE p.url END AS link,
-         substring(d.text, 1, 80) AS title,
-         substring(d.text, 1, 400) AS summary,
+         d.source || ' entry ' || d.doc_id AS title,
+         d.text AS summary,
          [d.lang] AS terms,
          CASE WHEN d.doc_id % 11 = 10 THEN NULL ELSE date_trunc('second', e.ts) END AS published,
          CASE WHEN d.doc_id % 22 = 10 THEN date_trunc('second', e.ts) ELSE NULL END AS updated

@@ -9,37 +9,38 @@ SEP = "'||'"
 GENERATED_AT = "2024-01-31T00:00:00"
 MODEL = "local-model"
 
+MISSING = q('Model output missing.')
 ANALYSED = f"""analysed AS (
-  SELECT d.lang AS topic, l.doc_id AS pos,
-    {strip('substring(substring(d.text, 1, 120), 1, 60)')} AS title,
-    p.url,
-    CASE WHEN l.doc_id % 6 = 0 THEN '' ELSE d.source END AS source,
-    CASE WHEN l.doc_id % 4 = 0 THEN '' ELSE coalesce(strftime(date_trunc('second', e.ts), '%Y-%m-%dT%H:%M:%S') || '+00:00', '') END AS published,
+  SELECT d.lang AS topic, d.doc_id AS pos,
+    d.source || ' article ' || d.doc_id AS title,
+    p.url, d.text AS content,
+    CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE d.source END AS source,
+    CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE coalesce(strftime(date_trunc('second', e.ts), '%Y-%m-%dT%H:%M:%S') || '+00:00', '') END AS published,
     CASE WHEN l.quality = 1 THEN '{C.CONTENT_SOURCE_EXTRACTED}' ELSE '{C.CONTENT_SOURCE_FALLBACK}' END AS content_source,
     'site-' || d.lang AS site_name,
-    '2024-01-0' || (l.doc_id % 9 + 1) AS published_date,
+    '2024-01-0' || (d.doc_id % 9 + 1) AS published_date,
     CASE WHEN l.quality = 1 THEN 'ok' ELSE 'too-short' END AS status,
     CAST(d.n_chars AS INTEGER) AS content_chars,
-    (['read','skim','watch','ignore'])[((l.doc_id * 7 + l.quality) % 4) + 1] AS recommendation,
-    CAST(l.doc_id * 37 % 101 AS INTEGER) AS signal_score,
-    CAST(l.doc_id * 53 % 101 AS INTEGER) AS fluff_score,
-    CAST(l.doc_id * 11 % 101 AS INTEGER) AS technical_depth,
-    CAST(l.doc_id * 13 % 101 AS INTEGER) AS novelty,
-    CAST(l.doc_id * 17 % 101 AS INTEGER) AS relevance,
-    CASE WHEN l.doc_id % 9 = 0 THEN '' WHEN l.doc_id % 9 = 1 THEN 'Not specified.' ELSE substring(d.text, 1, 120) END AS summary,
-    CASE WHEN l.doc_id % 7 = 0 THEN 'none called out.' ELSE 'Matches ' || d.lang END AS why_selected,
-    ['claim ' || l.doc_id, 'Not specified.'] AS technically_sound_claims,
-    CASE WHEN l.toxic = 1 THEN ['hype ' || l.doc_id] ELSE []::VARCHAR[] END AS marketing_or_hype,
-    [''] AS claims_to_verify,
-    ['matters to ' || d.lang] AS why_it_matters_to_me,
-    CASE WHEN l.toxic = 1 THEN 'No skeptical take produced.' ELSE 'Check claims about ' || d.source END AS skeptical_take,
-    CASE WHEN l.quality = 0 THEN 'No action suggested.' ELSE 'Read the source' END AS suggested_action,
-    [d.lang, '', 'none called out.', d.source] AS tags,
-    CASE WHEN l.doc_id % 13 = 0 THEN 'Could not parse model JSON' END AS analysis_error,
-    CASE (['read','skim','watch','ignore'])[((l.doc_id * 7 + l.quality) % 4) + 1] WHEN 'read' THEN 0 WHEN 'skim' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END AS rec_order
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
-  LEFT JOIN pages p ON p.page_id = l.doc_id % (SELECT count(*) FROM pages)
-  LEFT JOIN events e ON e.event_id = (l.doc_id * 7919) % (SELECT count(*) FROM events)
+    CASE WHEN l.doc_id IS NULL THEN 'ignore' ELSE ((['read','skim','watch','ignore'])[((d.doc_id * 7 + l.quality) % 4) + 1]) END AS recommendation,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE (CAST(d.doc_id * 37 % 101 AS INTEGER)) END AS signal_score,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE (CAST(d.doc_id * 53 % 101 AS INTEGER)) END AS fluff_score,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE (CAST(d.doc_id * 11 % 101 AS INTEGER)) END AS technical_depth,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE (CAST(d.doc_id * 13 % 101 AS INTEGER)) END AS novelty,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE (CAST(d.doc_id * 17 % 101 AS INTEGER)) END AS relevance,
+    CASE WHEN l.doc_id IS NULL THEN {MISSING} ELSE (CASE WHEN d.doc_id % 9 = 0 THEN '' WHEN d.doc_id % 9 = 1 THEN 'Not specified.' ELSE d.text END) END AS summary,
+    CASE WHEN l.doc_id IS NULL THEN {q(C.ERROR_WHY_SELECTED)} ELSE (CASE WHEN d.doc_id % 7 = 0 THEN 'none called out.' ELSE 'Matches ' || d.lang END) END AS why_selected,
+    CASE WHEN l.doc_id IS NULL THEN []::VARCHAR[] ELSE (['claim ' || d.doc_id, 'Not specified.']) END AS technically_sound_claims,
+    CASE WHEN l.doc_id IS NULL THEN []::VARCHAR[] ELSE (CASE WHEN l.toxic = 1 THEN ['hype ' || d.doc_id] ELSE []::VARCHAR[] END) END AS marketing_or_hype,
+    CASE WHEN l.doc_id IS NULL THEN [{MISSING}] ELSE (['']) END AS claims_to_verify,
+    CASE WHEN l.doc_id IS NULL THEN []::VARCHAR[] ELSE (['matters to ' || d.lang]) END AS why_it_matters_to_me,
+    CASE WHEN l.doc_id IS NULL THEN {q(C.ERROR_SKEPTICAL_TAKE)} ELSE (CASE WHEN l.toxic = 1 THEN 'No skeptical take produced.' ELSE 'Check claims about ' || d.source END) END AS skeptical_take,
+    CASE WHEN l.doc_id IS NULL THEN {q(C.ERROR_SUGGESTED_ACTION)} ELSE (CASE WHEN l.quality = 0 THEN 'No action suggested.' ELSE 'Read the source' END) END AS suggested_action,
+    CASE WHEN l.doc_id IS NULL THEN [{q(C.ERROR_TAG)}] ELSE ([d.lang, '', 'none called out.', d.source]) END AS tags,
+    CASE WHEN l.doc_id IS NULL THEN {MISSING} ELSE (CASE WHEN d.doc_id % 13 = 0 THEN 'Could not parse model JSON' END) END AS analysis_error,
+    CASE WHEN l.doc_id IS NULL THEN 3 ELSE (CASE (['read','skim','watch','ignore'])[((d.doc_id * 7 + l.quality) % 4) + 1] WHEN 'read' THEN 0 WHEN 'skim' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END) END AS rec_order
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
+  LEFT JOIN events e ON e.event_id = (d.doc_id * 7919) % (SELECT count(*) FROM events)
 ),
 topics AS (SELECT DISTINCT lang AS topic FROM documents),
 ranked AS (
@@ -129,7 +130,7 @@ MANUAL_HEADER = ("['# Manual article analysis: manual URL review', '', 'Generate
                  + q(C.MANUAL_INTRO) + ", '']")
 
 MANUAL = ("WITH " + ANALYSED.replace("FROM analysed\n),\nsectioned", "FROM analysed\n),\nsectioned") + ",\n"
-          + CARDS.replace("FROM sectioned", "FROM (SELECT * REPLACE (url AS title, 'manual URL review' AS topic) FROM sectioned WHERE topic = 'en')") + f"""
+          + CARDS.replace("FROM sectioned", "FROM (SELECT * REPLACE (url AS title, 'manual URL review' AS topic) FROM sectioned)") + f"""
 SELECT 'manual URL review' AS topic, 0 AS block, CAST(0 AS BIGINT) AS item, CAST(unnest(range(len(h))) AS INTEGER) AS line, unnest(h) AS text
 FROM (SELECT {MANUAL_HEADER} AS h)
 UNION ALL {lines_of('card_text', 1, 'pos', 'lines')}""")
@@ -165,7 +166,7 @@ SELECT coalesce(nullif(title, ''), url) AS display_title, url, upper(recommendat
        fluff_score AS fluff, technical_depth AS tech_depth, coalesce(content_source, 'unknown') AS content_source,
        coalesce(status, 'unknown') AS extraction_status, coalesce(content_chars, 0) AS chars, coalesce(summary, '') AS summary,
        coalesce(skeptical_take, '') AS skeptical_take, coalesce(suggested_action, '') AS suggested_action FROM analysed""",
-    "analysis_archive": "WITH " + ANALYSED + f"\nSELECT topic, {RUN} AS run_date, pos, recommendation, title FROM analysed",
+    "analysis_archive": "WITH " + ANALYSED + f"\nSELECT topic, {RUN} AS run_date, pos, recommendation, title, status, md5(content) AS content_md5 FROM analysed",
     "latest_snapshot": "WITH " + ANALYSED + f""",
 runs AS (SELECT topic, {RUN} AS run_date FROM analysed)
 SELECT topic, max(run_date) AS latest_run_date, count(*) FILTER (WHERE run_date = mx) AS n_articles

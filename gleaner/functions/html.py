@@ -81,11 +81,6 @@ def strip_noise(html) -> Column:
     return out
 
 
-def strip_boilerplate(html) -> Column:
-    """Both boilerplate passes (for callers that do not stage columns)."""
-    return strip_noise(strip_boilerplate_tags(html))
-
-
 def get_text(fragment: Column, sep: str) -> Column:
     """``get_text(sep, strip=True)`` then clean_whitespace, without splitting into nodes:
     tags become markers, entities are decoded once for the whole fragment, the
@@ -193,20 +188,6 @@ def fallback_candidates(html: Column, html_lc: Column | None = None) -> Column:
     return F.slice(element_spans(html, open_tag_re(C.FALLBACK_CONTAINER_TAGS), html_lc), 1, C.MAX_FALLBACK_CONTAINERS)
 
 
-def block_spans(fragment: Column) -> Column:
-    """Block elements (h1 h2 h3 p li blockquote pre) as flat (tag, inner html) runs."""
-    marked = F.regexp_replace(fragment, open_tag_re(C.BLOCK_TAGS), MARK_OPEN + "$1" + MARK_NAME_END)
-    marked = F.regexp_replace(marked, r"(?is)</(?:" + "|".join(C.BLOCK_TAGS) + ")" + WS + "*>", MARK_OPEN)
-    pieces = F.filter(F.split(marked, MARK_OPEN, -1), lambda p: F.instr(p, MARK_NAME_END) > 0)
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.lower(F.substring_index(p, MARK_NAME_END, 1)).alias("tag"),
-            F.substring(p, F.instr(p, MARK_NAME_END) + 1, 1 << 30).alias("inner"),
-        ),
-    )
-
-
 def count_open(fragment: Column, names: list[str]) -> Column:
     return F.size(F.regexp_extract_all(fragment, F.lit(open_tag_re(names)), 0))
 

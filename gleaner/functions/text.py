@@ -65,9 +65,38 @@ def py_strip(c) -> Column:
     return F.btrim(_col(c), F.lit(PY_WS_CHARS))
 
 
+# code points 128-159 of numeric references stand for windows-1252 characters
+_AS_1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
+def numeric_references(text) -> Column:
+    """Decode ``&#8217;`` and ``&#x2014;``; an ampersand becomes ``&amp;`` for the named pass after it."""
+
+    def one(p: Column) -> Column:
+        hexadecimal = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F])", 1)
+        decimal = F.regexp_extract(p, r"^([0-9]{1,7})(?![0-9])", 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")).when(decimal != "", decimal.cast("int"))
+        char = (
+            F.when(code == 38, F.lit("&amp;"))
+            .when(code.between(0x80, 0x9F), F.substring(F.lit(_AS_1252), code - 0x7F, F.lit(1)))
+            .when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+        rest = F.regexp_replace(p, r"^(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+        return F.when(code.isNull(), F.concat(F.lit("&#"), p)).otherwise(F.concat(char, rest))
+
+    def decoded(x: Column) -> Column:
+        parts = F.split(x, "&#")
+        joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+        return F.when(F.contains(x, F.lit("&#")), joined).otherwise(x)
+
+    # a lambda binds the text, so that it is not computed again for each use
+    return F.transform(F.array(_col(text)), decoded)[0]
+
+
 def html_unescape(c) -> Column:
     """One level of HTML entity decoding (``&amp;amp;`` -> ``&amp;``)."""
-    out = _col(c)
+    out = numeric_references(c)
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
@@ -102,10 +131,3 @@ def truncate_text(c, max_chars: int = C.MAX_ANALYSIS_CHARS) -> Column:
     cut = F.substring(col, 1, max_chars)
     cut = py_strip(F.regexp_replace(cut, r"\n[^\n]*\z", ""))
     return F.when(F.length(col) > max_chars, F.concat(cut, F.lit("\n\n" + C.TRUNCATION_MARKER))).otherwise(col)
-
-
-def null_or_empty_to(c, default) -> Column:
-    """Python ``x or default`` for strings: null or '' -> default."""
-    col = _col(c)
-    d = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(F.nullif(col, F.lit("")), d)

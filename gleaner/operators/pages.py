@@ -19,6 +19,11 @@ EMPTY_BLOCKS = "array<struct<tag:string,text:string>>"
 FETCH_TIMEOUT_S = 20
 
 
+# bytes 0x80-0x9F as Latin-1 controls, and what windows-1252 has there
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_C1_AS_1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
 def decode_page(body: Column, content_type: Column, max_bytes: int = C.MAX_DOWNLOAD_BYTES) -> Column:
     """Bytes -> text: at most ``max_bytes``, charset from the content type (utf-8 by
     default), malformed sequences replaced by U+FFFD. A charset outside the
@@ -28,6 +33,7 @@ def decode_page(body: Column, content_type: Column, max_bytes: int = C.MAX_DOWNL
     return (
         F.when(charset.isin("", "utf-8", "utf8", "us-ascii", "ascii"), F.make_valid_utf8(capped.cast("string")))
         .when(charset.isin("iso-8859-1", "latin-1", "latin1"), F.decode(capped, "ISO-8859-1"))
+        .when(charset.isin("windows-1252", "cp1252"), F.translate(F.decode(capped, "ISO-8859-1"), _C1, _C1_AS_1252))
         .when(charset == "utf-16le", F.decode(capped, "UTF-16LE"))
         .when(charset == "utf-16be", F.decode(capped, "UTF-16BE"))
         .when(charset == "utf-16", F.decode(capped, "UTF-16"))
@@ -84,7 +90,7 @@ def extract_stages(pages: DataFrame, html_col: str = "html", url_col: str = "url
 
     Extraction is CPU-heavy per row: give the page scan at least one partition per
     core first (``operators.partitioning.spread``) when it comes from few files."""
-    p = pages.withColumn("x_raw", F.substring(F.col(html_col), 1, C.MAX_DOWNLOAD_BYTES))
+    p = pages.withColumn("x_raw", F.col(html_col))
     p = metadata_stages(p, "x_raw")
     p = p.withColumn("x_clean0", H.strip_boilerplate_tags(F.col("x_raw")))
     p = p.withColumn("x_clean", F.when(H.has_noise(F.col("x_clean0")), H.strip_noise(F.col("x_clean0"))).otherwise(F.col("x_clean0"))).drop("x_clean0")
@@ -121,6 +127,7 @@ def extracted_article(p: DataFrame, url_col: str = "url") -> Column:
         F.when(~scheme.isin("http", "https"), F.lit("unsupported-url"))
         .when(fetch != "ok", fetch)
         .when((ct != "") & ~ctl.contains("html") & ~ctl.contains("xml"), F.lit("non-html"))
+        .when(F.col("x_raw").isNull(), F.lit("fetch-error"))
         .when(n < C.MIN_EXTRACTED_CHARS, F.lit("too-short"))
         .otherwise(F.lit("ok"))
     )

@@ -29,11 +29,6 @@ def recommendation_order(rec: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in C.RECOMMENDATION_ORDER.items() for x in kv]), rec), F.lit(3))
 
 
-def rank_keys(a: str = "analysis") -> list[Column]:
-    x = F.col(a)
-    return [recommendation_order(x["recommendation"]).asc(), x["signal_score"].desc(), x["fluff_score"].asc(), F.col("pos").asc()]
-
-
 def digest_rank(df: DataFrame, topic: str = "topic") -> DataFrame:
     """Position of every article in its topic's digest (skew-safe numbering)."""
     keyed = df.withColumn("_rec_order", recommendation_order(F.col("analysis.recommendation")))

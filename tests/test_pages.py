@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gleaner.operators import pages as P
 
 PARA = "This paragraph has enough words to pass the block length gate easily. "
@@ -38,5 +40,12 @@ def test_status_ladder(spark):
     assert _extract(spark, "https://x/a", PAGE, ct="application/pdf")["status"] == "non-html"
     assert _extract(spark, "https://x/a", PAGE, ct="")["status"] == "ok"
     short = _extract(spark, "https://x/a", "<html><body><p>tiny text only here</p></body></html>")
-    assert short["status"] == "too-short" and short["text"] == "" or short["status"] == "too-short"
-    assert short["site_name"] == "x"
+    assert short["status"] == "too-short" and not short["ok"] and short["text"] == "tiny text only here" and short["site_name"] == "x"
+    nothing = _extract(spark, "https://x/a", None)
+    assert nothing["status"] == "fetch-error" and not nothing["ok"] and nothing["text"] == ""
+
+
+def test_decode_page_charsets(spark):
+    rows = [("é–x".encode("cp1252"), "text/html; charset=windows-1252"), ("é".encode("latin-1"), "text/html; charset=ISO-8859-1"), (b"a\xffb", "text/html"), ("é".encode("utf-16-le"), "x; charset=utf-16le"), (b"x", "x; charset=klingon")]
+    df = spark.createDataFrame([(bytearray(b), c) for b, c in rows], "b binary, c string")
+    assert [r.t for r in df.select(P.decode_page(F.col("b"), F.col("c")).alias("t")).collect()] == ["é–x", "é", "a\ufffdb", "é", None]

@@ -44,3 +44,13 @@ def test_recent_tail_and_rotation(spark):
     order = sorted(set("abcdef"), key=lambda t: (hashlib.md5((t + "seed").encode()).hexdigest(), t))
     assert got["r1"] == next(t for t in order if t not in {"a", "f", "e"})
     assert got["r2"] == order[0]
+
+
+def test_rotation_without_a_recent_limit_and_without_history(spark):
+    topics = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "topic string")
+    recent = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r1", "c"), ("r2", "d"), ("r3", "a"), ("r3", "b"), ("r3", "c"), ("r3", "d")], "reader string, topic string")
+    readers = spark.createDataFrame([("r1",), ("r4",)], "reader string")
+    got = {r.reader: r.topic for r in S.topic_rotation(topics, recent, "reader", 0, seed="2024-01-31").collect()}
+    assert got["r1"] == "d" and got["r2"] in ("a", "b", "c") and got["r3"] in ("a", "b", "c", "d")
+    named = {r.reader: r.topic for r in S.topic_rotation(topics, recent, "reader", 0, seed="2024-01-31", readers=readers).collect()}
+    assert set(named) == {"r1", "r4"} and named["r1"] == "d"

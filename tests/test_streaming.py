@@ -44,9 +44,12 @@ def test_seen_snapshots_versioned_and_idempotent(spark):
 
     ckpt = os.path.join(base, "_checkpoint")
     first = J.stream_seen_upsert(spark, SQ2._entries_stream(spark, SF0001), select, state, ckpt, now=X.as_of_col())
-    assert first.endswith("v=1")
+    assert "/v=1-" in first
     n1 = spark.read.parquet(first).count()
     # restarting with the same checkpoint and no new files commits nothing new
     again = J.stream_seen_upsert(spark, SQ2._entries_stream(spark, SF0001), select, state, ckpt, now=X.as_of_col())
     assert again == first and spark.read.parquet(again).count() == n1
+    # a fresh checkpoint on the old state goes on from the newest snapshot
+    fresh = J.stream_seen_upsert(spark, SQ2._entries_stream(spark, SF0001), select, state, ckpt + "2", now=X.as_of_col())
+    assert "/v=2-" in fresh and spark.read.parquet(fresh).count() > n1
     assert spark.read.parquet(os.path.join(state, "v=0")).count() == X.seen(spark, SF0001).count()

@@ -17,15 +17,20 @@ from gleaner.functions import constants as C
 from gleaner.functions.scoring import haystack, iso_utc, recency_bonus, topic_score, weight_bonus
 from gleaner.functions.text import py_strip
 from gleaner.functions.urls import normalize_url
+from gleaner.operators.partitioning import BROADCAST_ROWS
 from gleaner.operators.ranking import row_number_within
 
 PAYLOAD = ["title", "content", "source_type", "published", "tags"]
 
 
 def enrich_with_feeds(entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Attach each entry's feed tags and weight (equi-join on the feed name)."""
-    f = feeds.select(F.col("name").alias("source"), F.col("tags").alias("feed_tags"), F.col("weight").alias("feed_weight"))
-    return entries.join(f, "source", "inner")
+    """Attach each entry's feed tags and weight (equi-join on the feed name).
+
+    Feeds that share a name count as one, the heaviest, so no entry is doubled;
+    entries of an unlisted or unnamed feed stay without tags and weight."""
+    f = feeds.groupBy(F.col("name").alias("source")).agg(F.max_by(F.struct("tags", "weight"), F.col("weight")).alias("_f"))
+    f = f.select("source", F.col("_f.tags").alias("feed_tags"), F.col("_f.weight").alias("feed_weight"))
+    return entries.join(f, "source", "left")
 
 
 def entry_published(entries: DataFrame) -> Column:
@@ -110,16 +115,17 @@ def candidates(
     )
 
 
-def url_dedup_best(cands: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+def url_dedup_best(cands: DataFrame, group_cols: list[str] | None = None, payload: list[str] = PAYLOAD) -> DataFrame:
     """Best-scoring row per url (tie: first arrival) plus the url's first-arrival position.
 
     One aggregate: partial per map task, so a url repeated in a third of all rows
-    still ships one row per task.
+    still ships one row per task. ``payload`` columns travel through the shuffle: a
+    top-k leaves them out and joins them back (``best_topk``).
     """
-    best = F.max(F.struct(F.col("discovery_score"), (-F.col("pos")).alias("neg_pos"), *[F.col(c) for c in ["pos", "source", *PAYLOAD]]))
+    best = F.max(F.struct(F.col("discovery_score"), (-F.col("pos")).alias("neg_pos"), *[F.col(c) for c in ["pos", "source", *payload]]))
     keys = [*(group_cols or []), "url"]
     agg = cands.groupBy(*keys).agg(best.alias("b"), F.min("pos").alias("first_pos"))
-    return agg.select(*keys, "first_pos", *[F.col("b")[c].alias(c) for c in ["pos", "source", *PAYLOAD, "discovery_score"]])
+    return agg.select(*keys, "first_pos", *[F.col("b")[c].alias(c) for c in ["pos", "source", *payload, "discovery_score"]])
 
 
 def rank_order() -> list[Column]:
@@ -150,3 +156,17 @@ def capped_topk(best: DataFrame, cap: int = C.MAX_PER_SOURCE, limit: int = C.DEF
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     wt = Window.partitionBy(*groups).orderBy(*order)
     return ranked.withColumn("rank", F.row_number().over(wt)).where(F.col("rank") <= k)
+
+
+def best_topk(cands: DataFrame, cap: int = C.MAX_PER_SOURCE, limit: int = C.DEFAULT_LIMIT, group_cols: list[str] | None = None) -> DataFrame:
+    """Url dedup and capped top-k on keys and scores only; the payload of the chosen rows is joined back.
+
+    Texts never enter a dedup or ranking shuffle. Without groups the chosen rows are
+    at most ``limit`` and are broadcast to the candidates; with groups AQE decides.
+    """
+    groups = group_cols or []
+    slim = cands.select(*groups, "url", "pos", "source", "discovery_score")
+    top = capped_topk(url_dedup_best(slim, groups, payload=[]), cap=cap, limit=limit, group_cols=groups)
+    chosen = F.broadcast(top) if not groups and max(limit, 1) <= BROADCAST_ROWS else top
+    full = cands.select(*groups, "pos", *PAYLOAD)
+    return full.join(chosen, [*groups, "pos"])

@@ -129,8 +129,7 @@ def q_analysis_error_route(spark, sf_dir):
 
 
 def q_analysis_join(spark, sf_dir):
-    best = D.url_dedup_best(_candidates(spark, sf_dir))
-    top = D.capped_topk(best, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
+    top = D.best_topk(_candidates(spark, sf_dir), cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
     outputs = model_outputs(spark, sf_dir).where(F.col("doc_id") % 7 != 3).withColumnRenamed("doc_id", "pos")
     j = join_analysis(top, outputs, "pos")
     a = F.col("analysis")

@@ -98,19 +98,18 @@ def q_candidate_build(spark, sf_dir):
 
 
 def q_url_dedup_best(spark, sf_dir):
-    best = D.url_dedup_best(_candidates(spark, sf_dir))
+    best = D.url_dedup_best(_candidates(spark, sf_dir), payload=[])
     return best.select("url", "first_pos", "pos", "source", "discovery_score")
 
 
 def q_rank_within_source(spark, sf_dir):
-    best = D.url_dedup_best(_candidates(spark, sf_dir))
+    best = D.url_dedup_best(_candidates(spark, sf_dir), payload=[])
     ranked = D.rank_within_source(best)
     return ranked.select("url", "source", "discovery_score", "first_pos", F.col("rn_in_source").cast("int").alias("rn_in_source"))
 
 
 def _topk(spark, sf_dir, cap, limit):
-    best = D.url_dedup_best(_candidates(spark, sf_dir))
-    top = D.capped_topk(best, cap=cap, limit=limit)
+    top = D.best_topk(_candidates(spark, sf_dir), cap=cap, limit=limit)
     return top.select(F.col("rank").cast("int").alias("rank"), "url", "title", "source", "published", "discovery_score")
 
 

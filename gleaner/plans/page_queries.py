@@ -119,8 +119,7 @@ from gleaner.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def _top(spark, sf_dir):
-    best = D.url_dedup_best(_candidates(spark, sf_dir))
-    top = D.capped_topk(best, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
+    top = D.best_topk(_candidates(spark, sf_dir), cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
     r = F.col("rank")
     title = F.when(r % 3 == 0, F.lit("")).when(r % 3 == 1, F.col("url")).otherwise(F.col("title"))
     # the k selected rows are used twice (semi-join filter and final join): checkpoint

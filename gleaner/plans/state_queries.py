@@ -38,7 +38,7 @@ def q_topic_rotation(spark, sf_dir):
 def _selected(spark, sf_dir, include_seen: bool, cap: int, limit: int):
     c = D.candidates(X.entries(spark, sf_dir), X.feeds(spark, sf_dir), X.TOPIC, X.as_of_col(), X.DAYS,
                      seen=X.seen(spark, sf_dir), include_seen=include_seen)
-    return D.capped_topk(D.url_dedup_best(c), cap=cap, limit=limit)
+    return D.best_topk(c, cap=cap, limit=limit)
 
 
 def q_seen_upsert(spark, sf_dir):

@@ -72,7 +72,7 @@ def q_stream_seen_upsert(spark, sf_dir):
 
     def select(batch: DataFrame, seen: DataFrame) -> DataFrame:
         c = D.candidates(batch, feeds, X.TOPIC, X.as_of_col(), X.DAYS, seen=seen)
-        return D.capped_topk(D.url_dedup_best(c), cap=X.CAP, limit=X.LIMIT)
+        return D.best_topk(c, cap=X.CAP, limit=X.LIMIT)
 
     latest = J.stream_seen_upsert(spark, _entries_stream(spark, sf_dir), select, state, os.path.join(base, "_checkpoint"), now=X.as_of_col())
     snap = spark.read.parquet(latest)

@@ -85,6 +85,25 @@ def test_flagship_plan_shape(spark):
     assert df.count() == 6
 
 
+def test_no_text_in_the_shuffles_of_the_top_k(spark):
+    import __spark_entry__ as E
+
+    plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line:
+            assert "content" not in line and "text" not in line
+    for line in plan.splitlines():
+        if "SortAggregate" in line or "HashAggregate" in line:
+            assert "content" not in line
+
+
+def test_feeds_of_one_name_do_not_double_entries(spark):
+    feeds = spark.createDataFrame([("a", 0.5, ["x"]), ("a", 0.9, ["y"])], "name string, weight double, tags array<string>")
+    entries = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "pos long, source string")
+    got = {r.pos: (r.feed_tags, r.feed_weight) for r in D.enrich_with_feeds(entries, feeds).collect()}
+    assert got == {1: (["y"], 0.9), 2: (None, None), 3: (None, None)}
+
+
 def test_many_topics_equal_single_runs(spark):
     from gleaner.plans import fixtures as X
     from tests.conftest import SF0001

@@ -51,7 +51,9 @@ LEADERS = 4  # per posting list and pass
 TRIED = 2  # leaders that a class is compared with in a pass
 FAIR = 4  # a leader must lead one in FAIR of the class's lists to be tried
 GAIN = 50
-MAX_MATCHES = 8
+FEWEST_PER = 10  # a set of n asks for at least n / FEWEST_PER matches, up to FEWEST_MOST
+FEWEST_MOST = 8
+MAX_MATCHES = 16
 SKETCH_BITS = 20
 BLOCKS = 64
 NULL_ID = -(1 << 63)
@@ -221,20 +223,27 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def fewest_matches(n: int) -> int:
+    """The fewest matches that a set of n tokens asks for; it grows with n."""
+    return min(FEWEST_MOST, max(1, n // FEWEST_PER))
+
+
 def prefix_of(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """(the prefix tokens, rare ones first; the number of matches l that they ask for).
 
     cost(l) = postings in the prefix + n x (postings / l): the second term bounds the
     candidates that reach l matches, each of which costs a comparison of n tokens.
+    Frequencies below the sketch's noise count as none, so l starts at a minimum that
+    only depends on n.
     """
     n = len(tokens)
     frequency = counts[CountSketch.slot(tokens)]
     order = np.lexsort((tokens, frequency))
     overlap = least_overlap(n, percent)
-    most = min(MAX_MATCHES, overlap)
-    lengths = n - overlap + np.arange(1, most + 1)
+    options = np.arange(min(fewest_matches(n), overlap), min(MAX_MATCHES, overlap) + 1)
+    lengths = n - overlap + options
     postings = np.cumsum(np.maximum(frequency[order[: lengths[-1]]] - noise, 0.0))[lengths - 1]
-    matches = int(np.argmin(postings + n * postings / np.arange(1, most + 1))) + 1
+    matches = int(options[np.argmin(postings + n * postings / options)])
     return tokens[order[: n - overlap + matches]], matches
 
 
@@ -345,13 +354,17 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long, matches long, pos long")
     ordered = postings.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "cls")
-    surviving = cut(ordered.mapInArrow(_shared, "token long, cls long, matches long, pos long"))
-    release(spark)
+    surviving = ordered.mapInArrow(_shared, "token long, cls long, matches long, pos long")
     posts = cut(surviving.join(classes, "cls").select("token", "node", "n", "matches", "pos"))
+    del postings, ordered, surviving
+    release(spark)
+    posts = cut(_enough(posts, percent))
+    release(spark)
 
     wanted = CountSketch.total(posts.select("node").distinct().mapInArrow(_id_blocks, CountSketch.schema))
     sets = cut(docs.mapInArrow(_sets_of(sc.broadcast(wanted), words), "node long, tokens binary")
                .join(posts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    release(spark)
 
     # rows that repeat a doc_id with different texts tie their classes together
     noded = rows.where("cls is not null").join(classes.select("cls", "node"), "cls")
@@ -376,6 +389,18 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out
 
 
+def _enough(posts: DataFrame, percent: int) -> DataFrame:
+    """Without the nodes that have too few shared tokens for any partner.
+
+    A partner of a set of n tokens has at least ``percent`` of n tokens and so asks for
+    at least ``fewest_matches`` of that many.
+    """
+    least = F.ceil(F.col("n") * percent / 100)
+    fewest = F.least(F.lit(FEWEST_MOST), F.greatest(F.lit(1), F.floor(least / FEWEST_PER)))
+    able = posts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest)
+    return posts.join(able.select("node"), "node", "left_semi")
+
+
 def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
     """Each node with the leaders (of other components) that it shares most lists with."""
     rank = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(salt * LEADERS + j)), F.col("node"), F.col("comp"), F.col("n")))

@@ -121,6 +121,16 @@ def q_capped_topk_backfill(spark, sf_dir):
     return _topk(spark, sf_dir, X.BACKFILL_CAP, X.BACKFILL_LIMIT)
 
 
+TOPICS = [X.TOPIC, "Kubernetes operations", "security for AI systems"]
+
+
+def q_capped_topk_topics(spark, sf_dir):
+    """The flagship for several topics in one pass, capped and backfilled per topic."""
+    cands = D.candidates(X.entries(spark, sf_dir), X.feeds(spark, sf_dir), TOPICS, X.as_of_col(), X.DAYS, seen=X.seen(spark, sf_dir))
+    top = D.best_topk(cands, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT, group_cols=["topic"])
+    return top.select("topic", F.col("rank").cast("int").alias("rank"), "url", "title", "source", "published", "discovery_score")
+
+
 QUERIES = {
     "normalize_url": q_normalize_url,
     "entry_published": q_entry_published,
@@ -137,4 +147,5 @@ QUERIES = {
     "rank_within_source": q_rank_within_source,
     "capped_topk": q_capped_topk,
     "capped_topk_backfill": q_capped_topk_backfill,
+    "capped_topk_topics": q_capped_topk_topics,
 }

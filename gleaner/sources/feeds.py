@@ -28,17 +28,21 @@ FEED_CONFIG_SCHEMA = T.StructType([
 SEEN_MAP_SCHEMA = "map<string,struct<first_seen:string,last_seen:string,title:string,source:string,published:string>>"
 
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-RFC822_RE = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2}) (" + MONTHS + r") (\d{4}) (\d{2}:\d{2}(?::\d{2})?)\s*(GMT|UT|UTC|Z|[+-]\d{4})?\s*$"
-ISO_RE = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+RFC822_RE = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2}) (" + MONTHS + r") (\d{4}|\d{2}) (\d{1,2}:\d{2}(?::\d{2})?)\s*(GMT|UTC|UT|Z|[ECMP][SD]T|[+-]\d{4})?\s*$"
+ISO_RE = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2})?)(?:\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+# hours east of UTC of the zone names that mail dates may carry
+ZONE_HOURS = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
 def _offset_minutes(z: Column) -> Column:
-    """'+0130' / '-05:00' / 'Z' / 'GMT' / '' -> signed minutes east of UTC."""
+    """'+0130' / '-05:00' / 'PDT' / 'Z' / 'GMT' / '' -> signed minutes east of UTC."""
     digits = F.regexp_replace(z, ":", "")
     sign = F.when(F.substring(digits, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     hh = F.substring(digits, 2, 2).cast("int")
     mm = F.substring(digits, 4, 2).cast("int")
-    return F.when(digits.rlike(r"^[+-]\d{4}$"), sign * (hh * 60 + mm)).otherwise(F.lit(0))
+    return F.when(digits.rlike(r"^[+-]\d{4}$"), sign * (hh * 60 + mm)).otherwise(
+        F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ZONE_HOURS.items() for x in kv]), z) * 60, F.lit(0))
+    )
 
 
 def _ntz(y: Column, mo: Column, d: Column, clock: Column) -> Column:
@@ -54,13 +58,17 @@ def parse_feed_date(s) -> Column:
     """RFC 822 or ISO-8601 feed date -> UTC wall-clock TIMESTAMP_NTZ, NULL when unparsable.
 
     The text is matched by pattern and assembled from its parts, so a bad date
-    yields NULL instead of failing the batch (the weekday is ignored)."""
+    yields NULL instead of failing the batch (the weekday is ignored). A date without a
+    clock is midnight UTC."""
     x = F.trim(s if isinstance(s, Column) else F.col(s))
     month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split("|")]), F.regexp_extract(x, RFC822_RE, 2))
-    rfc_local = _ntz(F.regexp_extract(x, RFC822_RE, 3), month_no, F.regexp_extract(x, RFC822_RE, 1), F.regexp_extract(x, RFC822_RE, 4))
+    year = F.regexp_extract(x, RFC822_RE, 3)
+    # two digits: 69 to 99 are the last century
+    year = F.when(F.length(year) == 2, year.cast("int") + F.when(year.cast("int") < 69, 2000).otherwise(1900)).otherwise(year.cast("int"))
+    rfc_local = _ntz(year, month_no, F.regexp_extract(x, RFC822_RE, 1), F.regexp_extract(x, RFC822_RE, 4))
     iso_date = F.split(F.regexp_extract(x, ISO_RE, 1), "-")
     iso_local = _ntz(F.try_element_at(iso_date, F.lit(1)), F.try_element_at(iso_date, F.lit(2)), F.try_element_at(iso_date, F.lit(3)),
-                     F.regexp_extract(x, ISO_RE, 2))
+                     F.coalesce(F.nullif(F.regexp_extract(x, ISO_RE, 2), F.lit("")), F.lit("00:00")))
     rfc = F.regexp_extract(x, RFC822_RE, 0) != ""
     iso = F.regexp_extract(x, ISO_RE, 0) != ""
     rfc_utc = rfc_local - F.make_dt_interval(F.lit(0), F.lit(0), _offset_minutes(F.regexp_extract(x, RFC822_RE, 5)))

@@ -38,6 +38,15 @@ ORDER BY (rn_in_source > {cap}), discovery_score DESC, first_pos
 LIMIT {k}"""
 
 
+TOPICS = [TOPIC, "Kubernetes operations", "security for AI systems"]
+
+
+def _topk_topics(cap: int, limit: int) -> str:
+    one = _topk(cap, limit)
+    parts = [f"SELECT {q(t)} AS topic, * FROM ({one.replace(topic_score(TOPIC, HAY), topic_score(t, HAY))})" for t in TOPICS]
+    return "\nUNION ALL\n".join(parts)
+
+
 SQL = {
     "normalize_url": f"SELECT page_id, url, {norm_url('url')} AS norm_url FROM pages",
     "entry_published": _with() + f"SELECT pos, {iso('coalesce(published, updated)')} AS published FROM entries",
@@ -69,6 +78,7 @@ FROM d JOIN feeds f ON f.name = d.source""",
     "rank_within_source": _with(*CANDS) + "SELECT url, source, discovery_score, first_pos, CAST(rn_in_source AS INTEGER) AS rn_in_source FROM ranked",
     "capped_topk": _topk(2, 6),
     "capped_topk_backfill": _topk(1, 30),
+    "capped_topk_topics": _topk_topics(1, 30),
 }
 
 

@@ -102,3 +102,19 @@ def test_recent_and_manual_and_scorer(spark):
     got = {r["url"]: r["analysis"] for r in out.collect()}
     assert got["u1"]["recommendation"] == "skim" and got["u1"]["signal_score"] == 90
     assert got["u2"]["analysis_error"] is not None
+
+
+def test_feed_dates_with_zone_names_short_years_and_plain_dates(spark):
+    golden = {
+        "Tue, 02 Jan 2024 10:00:00 EST": "2024-01-02 15:00:00",
+        "Tue, 02 Jul 2024 10:00:00 PDT": "2024-07-02 17:00:00",
+        "02 Jan 24 9:05 GMT": "2024-01-02 09:05:00",
+        "Sat, 02 Jan 99 09:05:07 +0100": "1999-01-02 08:05:07",
+        "2024-01-02": "2024-01-02 00:00:00",
+        "2024-01-02T10:00+02:00": "2024-01-02 08:00:00",
+        "Tue, 02 Jan 2024 10:00:00 XYZ": None,
+        "yesterday": None,
+    }
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(golden)], "i int, s string")
+    got = [r.t for r in df.orderBy("i").select(FS.parse_feed_date("s").cast("string").alias("t")).collect()]
+    assert got == list(golden.values())

@@ -50,7 +50,7 @@ ROUNDS = 12
 LEADERS = 4  # per posting list and pass
 TRIED = 2  # leaders that a class is compared with in a pass
 FAIR = 4  # a leader must lead one in FAIR of the class's lists to be tried
-GAIN = 50
+GAIN = 400
 FEWEST_PER = 10  # a set of n asks for at least n / FEWEST_PER matches, up to FEWEST_MOST
 FEWEST_MOST = 8
 MAX_MATCHES = 16
@@ -389,6 +389,15 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out
 
 
+def _may_reach(na, pa, nb, pb, percent: int):
+    """Whether sets that share a token at these positions can still be similar enough.
+
+    At most the tokens up to the nearer position and those after the later one are shared.
+    """
+    most = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    return 100 * most >= percent * (na + nb - most)
+
+
 def _enough(posts: DataFrame, percent: int) -> DataFrame:
     """Without the nodes that have too few shared tokens for any partner.
 
@@ -403,10 +412,10 @@ def _enough(posts: DataFrame, percent: int) -> DataFrame:
 
 def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
     """Each node with the leaders (of other components) that it shares most lists with."""
-    rank = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(salt * LEADERS + j)), F.col("node"), F.col("comp"), F.col("n")))
+    rank = lambda j: F.min(F.struct(F.xxhash64("node", F.lit(salt * LEADERS + j)), F.col("node"), F.col("comp"), F.col("n"), F.col("pos")))
     leaders = posts.groupBy("token").agg(*[rank(j).alias(f"_{j}") for j in range(LEADERS)])
     leaders = leaders.select("token", F.array_distinct(F.array(*[F.col(f"_{j}") for j in range(LEADERS)])).alias("leads"))
-    near = F.filter("leads", lambda x: (x["comp"] != F.col("comp")) & (100 * F.least(x["n"], F.col("n")) >= percent * F.greatest(x["n"], F.col("n"))))
+    near = F.filter("leads", lambda x: (x["comp"] != F.col("comp")) & _may_reach(x["n"], x["pos"], F.col("n"), F.col("pos"), percent))
     led = posts.join(leaders, "token").select("node", F.explode(near).alias("lead")).select("node", F.col("lead.node").alias("b"))
     shared = led.groupBy("node", "b").agg(F.count(F.lit(1)).alias("c")).join(posts.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
     # a node meets at most LEADERS nodes per list of its own prefix
@@ -422,7 +431,7 @@ def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
     count plus what follows the last one in either set.
     """
     side = lambda x: posts.select("token", *[F.col(c).alias(n) for c, n in (("node", x), ("n", "n" + x), ("matches", "m" + x), ("comp", "c" + x), ("pos", "p" + x))])
-    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_reach(*map(F.col, ("na", "pa", "nb", "pb")), percent))
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ma", "mb")], F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     return shared.where((F.col("c") >= F.least("ma", "mb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))).select("a", "b")

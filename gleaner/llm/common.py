@@ -50,15 +50,25 @@ def release(spark: SparkSession) -> None:
 
 
 def row_key() -> Column:
-    """A unique key per scanned row.
+    """A unique key per scanned row, for use within one scan.
 
-    Tables may repeat a doc_id; joins back to the text use this key instead. It is
-    a function of the file splits, so every branch (and a re-run after an executor
-    is lost) sees the same keys as long as the input is a stored table.
+    It follows from the file splits, and another scan may cut the files otherwise (the
+    split size depends on the cores registered at that moment): results of an earlier
+    job join back to the table by ``file_row``.
     """
     return F.monotonically_increasing_id()
 
 
+def file_row() -> Column:
+    """A unique key per row of a stored table: (hash of the file's path, row number in the file).
+
+    Tables may repeat a doc_id; joins back to the text use this key instead. It does not
+    depend on file splits, so every job and every re-run sees the same keys. On a table
+    that is not read from files the key cannot be resolved and the query fails.
+    """
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

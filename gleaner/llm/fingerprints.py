@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, row_key, table
+from gleaner.llm.common import cut, file_row, table
 from gleaner.operators.ranking import row_number_within
 
 LEAF_CHARS = 32
@@ -80,7 +80,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     code points and its leaves, is the only text that travels a second time.
     """
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    rows = docs.select(row_key().alias("_row"), "doc_id", text)
+    rows = docs.select(file_row().alias("_row"), "doc_id", text)
     ids = row_number_within(rows.select("_row", "doc_id", F.char_length("text").cast("long").alias("n_chars")), [], [F.col("doc_id"), F.col("_row")], "_i")
     ids = cut(ids.select("_row", "doc_id", "n_chars", "_i"))
     total = ids.count()

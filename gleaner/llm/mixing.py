@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import WORD_PATTERN, cut, row_key, table
+from gleaner.llm.common import WORD_PATTERN, cut, file_row, row_key, table
 from gleaner.operators.ranking import row_number_within
 
 STRIPES = 256
@@ -111,14 +111,16 @@ def mix_documents(
     share: float = 1.5,
     max_copies: int = 2,
     prior: Column | None = None,
+    key: Column | None = None,
 ) -> DataFrame:
     """Rows (_row, doc_id, size, source_size, target, copies, taken) of the mix.
 
     ``prior`` is an optional base rate per document with few distinct values (say, a
-    quality grade); by default every document starts from 1.
+    quality grade); by default every document starts from 1. ``key`` is what ``_row``
+    holds; to join back to ``docs`` it must be the same in every scan (``file_row``).
     """
     base = (prior if prior is not None else F.lit(1.0)).cast("double")
-    sized = docs.select(row_key().alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.greatest(F.coalesce(base, F.lit(0.0)), F.lit(1e-9)).alias("prior"))
+    sized = docs.select((row_key() if key is None else key).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.greatest(F.coalesce(base, F.lit(0.0)), F.lit(1e-9)).alias("prior"))
     kind = size_class("size").alias("class")
     stripe = F.pmod(F.xxhash64("doc_id"), F.lit(STRIPES)).cast("int").alias("stripe")
     sized = cut(sized.select("*", kind, stripe))
@@ -167,8 +169,8 @@ def mix_documents(
 
 def mix_stage(docs: DataFrame, weights: list[int], share: float = 1.5, max_copies: int = 2) -> DataFrame:
     """The mixed documents themselves: each row as often as its copies, with its own columns."""
-    mixed = mix_documents(docs, weights, share, max_copies).where("copies > 0").select(F.col("_row").alias("_mixed_row"), F.col("copies").alias("_mixed_copies"))
-    keyed = docs.withColumn("_doc_row", row_key())
+    mixed = mix_documents(docs, weights, share, max_copies, key=file_row()).where("copies > 0").select(F.col("_row").alias("_mixed_row"), F.col("copies").alias("_mixed_copies"))
+    keyed = docs.withColumn("_doc_row", file_row())
     out = keyed.join(mixed.hint("shuffle_hash"), F.col("_doc_row") == F.col("_mixed_row"))
     return out.withColumn("_copy", F.explode(F.expr("sequence(1, _mixed_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

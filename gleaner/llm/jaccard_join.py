@@ -24,9 +24,12 @@ fixed-size sketch), so text is never shuffled. Shingles and classes are 64-bit h
 
 Cases: null, empty and blank texts have no set and link with nothing; texts with fewer
 words than a shingle have one, the whole sequence; ties and repeated rows share a
-class (rows that repeat a doc_id are one node); a null doc_id is a node below all
-others and gives a null component; an empty table gives an empty result; extra
-columns are carried along by ``keep_one_per_component``.
+class. A component is named by its smallest doc_id. Rows that repeat a doc_id are one
+document and tie their components together; rows with a null doc_id are documents of
+their own, tie nothing, and a component of such rows alone has a null name (two of
+them cannot be told apart by it). ``keep_one_per_component`` goes by the texts alone:
+ids tie nothing there. An empty table gives an empty result; extra columns are carried
+along by ``keep_one_per_component``.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, cut, release, row_key, shuffle_width, table
+from gleaner.llm.common import BLANKS, cut, file_row, release, shuffle_width, table
 from gleaner.llm.components import components
 from gleaner.llm.mph import mixed
 
@@ -186,18 +189,18 @@ class CountSketch:
         return out.ravel()
 
 
-_SCAN = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+_KEY = pa.struct([("file", pa.int64()), ("row", pa.int64())])
+_SCAN = pa.schema([("doc", pa.int64()), ("key", _KEY), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _scan(words: int):
-    """A row per document (doc, cls, n), then the sketch of the partition's classes."""
+    """A row per document (doc, key, cls, n), then the sketch of the partition's classes."""
 
     def run(batches):
         sketch, seen = CountSketch(), set()
         for part in _parts(batches):
-            docs, classes, sizes, fresh = [], [], [], []
-            for doc, tokens in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist(), words)):
-                docs.append(NULL_ID if doc is None else doc)
+            classes, sizes, fresh = [], [], []
+            for tokens in shingle_sets(part.column("text").to_pylist(), words):
                 classes.append(class_of(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
                 if len(tokens) and classes[-1] not in seen:
@@ -207,12 +210,12 @@ def _scan(words: int):
                 sketch.add(np.concatenate(fresh))
             if len(seen) > 1_000_000:
                 seen.clear()
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SCAN)
+            n = len(classes)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key").cast(_KEY), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SCAN)
         blocks = sketch.blocks()
         n = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, _KEY), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
             schema=_SCAN,
         )
 
@@ -295,25 +298,35 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(n)], schema=_POSTING)
 
 
-_SET = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+_SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
 
 
-def _sets_of(wanted, words: int):
-    """Sets of the documents whose id the sketch of wanted ids may hold."""
+def _sets_of(wanted_ids, wanted_classes, words: int):
+    """Sets of the classes that one sketch may hold, from documents whose id the other may hold."""
+
+    def held(sketch, values: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(sketch.value[CountSketch.slot(mixed(values.view(np.uint64), 77))])
 
     def run(batches):
-        counts = wanted.value
+        seen = set()
         for part in _parts(batches):
             ids = np.array([NULL_ID if d is None else d for d in part.column("doc_id").to_pylist()], np.int64)
-            may = np.flatnonzero(counts[CountSketch.slot(mixed(ids.view(np.uint64), 77))])
-            if len(may):
-                texts = part.column("text").take(pa.array(may)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[may]), pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], schema=_SET)
+            may = held(wanted_ids, ids)
+            if not len(may):
+                continue
+            sets = {class_of(x): x for x in shingle_sets(part.column("text").take(pa.array(may)).to_pylist(), words) if len(x)}
+            classes = np.array([c for c in sets if c not in seen], np.int64)
+            classes = classes[held(wanted_classes, classes)]
+            seen.update(classes.tolist())
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if len(classes):
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([sets[c].tobytes() for c in classes.tolist()], pa.binary())], schema=_SET)
 
     return run
 
 
-def _id_blocks(batches):
+def _value_blocks(batches):
     sketch = CountSketch()
     for batch in batches:
         sketch._bulk(mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 77))
@@ -341,17 +354,23 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, n_shingles, component) per row; doc is the id (NULL_ID for null)."""
+def _labelled(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, key, cls, n) of ``docs`` (doc_id, key, text), and their classes (cls, doc, comp).
+
+    A class is a distinct set; its node is a number of its own, doc its smallest doc_id
+    (null if it has none) and comp the smallest node it can be reached from by links.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    docs = docs.select("doc_id", "text")
-    scanned = cut(docs.mapInArrow(_scan(words), "doc long, cls long, n long, block int, counts binary"))
-    rows = scanned.where("block is null").select("doc", "cls", "n")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("node"), F.first("n").alias("n"))
+    scanned = cut(docs.mapInArrow(_scan(words), "doc long, key struct<file:long,row:long>, cls long, n long, block int, counts binary"))
+    rows = scanned.where("block is null").select("doc", "key", "cls", "n")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
+    # numbers are read back from the checkpoint; in shuffles they pack better than hashes
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     counts = CountSketch.total(scanned.where("block is not null").select("block", "counts"))
     shared_counts = sc.broadcast(counts)  # 4 MB, fixed
 
+    docs = docs.select("doc_id", "text")
     postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long, matches long, pos long")
     ordered = postings.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "cls")
     surviving = ordered.mapInArrow(_shared, "token long, cls long, matches long, pos long")
@@ -361,16 +380,13 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     posts = cut(_enough(posts, percent))
     release(spark)
 
-    wanted = CountSketch.total(posts.select("node").distinct().mapInArrow(_id_blocks, CountSketch.schema))
-    sets = cut(docs.mapInArrow(_sets_of(sc.broadcast(wanted), words), "node long, tokens binary")
-               .join(posts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = cut(classes.join(posts.select("node").distinct(), "node", "left_semi").select("cls", "node", F.coalesce("doc", F.lit(NULL_ID)).alias("doc")))
+    sketch = lambda c: sc.broadcast(CountSketch.total(wanted.select(c).mapInArrow(_value_blocks, CountSketch.schema)))
+    sets = cut(docs.mapInArrow(_sets_of(sketch("doc"), sketch("cls"), words), "cls long, tokens binary")
+               .join(wanted.select("cls", "node"), "cls").dropDuplicates(["node"]).select("node", "tokens"))
     release(spark)
 
-    # rows that repeat a doc_id with different texts tie their classes together
-    noded = rows.where("cls is not null").join(classes.select("cls", "node"), "cls")
-    repeated = noded.groupBy("doc").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("doc")
-    links = cut(noded.join(repeated, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    labels, last, n_nodes = None, False, sets.count()
+    links, labels, last, n_nodes = None, None, False, sets.count()
     for i in range(rounds + 1):
         open_ = posts.withColumn("comp", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         if labels is not None:
@@ -378,15 +394,33 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             open_ = cut(open_.join(between, "token", "left_semi"))
         last = last or i == rounds
         found = cut(_links(_all_pairs(open_, percent) if last else _led_pairs(open_, i, percent), sets, percent))
-        links = links.unionByName(found)
+        links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
         release(spark)
         if last:
             break
         last = found.count() * GAIN < n_nodes
-    joined = rows.join(classes.select("cls", "node"), "cls", "left").join(labels, "node", "left")
-    out = cut(joined.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc").alias("component")))
-    return out
+    return rows, cut(classes.join(labels, "node", "left").select("cls", "doc", F.coalesce("component", "node").alias("comp")))
+
+
+def _named_components(docs: DataFrame, words: int, percent: int, rounds: int) -> DataFrame:
+    """(doc, n_shingles, component) per row of ``docs``; null ids stay null."""
+    rows, classes = _labelled(docs.select("doc_id", F.lit(None).cast("struct<file:long,row:long>").alias("key"), "text"), words, percent, rounds)
+    # rows that repeat a doc_id with different texts tie their components together
+    held = rows.where("doc is not null and cls is not null").join(classes.select("cls", "comp"), "cls").select("doc", "comp")
+    repeated = held.groupBy("doc").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    ties = held.distinct().join(repeated.select("doc", "_lo"), "doc").select(F.col("comp").alias("a"), F.col("_lo").alias("b"))
+    tied = components(ties).select(F.col("node").alias("comp"), F.col("component").alias("_tied"))
+    classes = classes.join(tied, "comp", "left").select("cls", "doc", F.coalesce("_tied", "comp").alias("comp"))
+    names = classes.groupBy("comp").agg(F.min("doc").alias("component"))
+    joined = rows.join(classes.join(names, "comp").select("cls", "component"), "cls", "left")
+    return cut(joined.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")))
+
+
+def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, n_shingles, component) per row; doc is the id (NULL_ID for null, as for a component without ids)."""
+    known = lambda c: F.coalesce(c, F.lit(NULL_ID)).alias(c)
+    return _named_components(docs, words, percent, rounds).select(known("doc"), "n_shingles", known("component"))
 
 
 def _may_reach(na, pa, nb, pb, percent: int):
@@ -438,21 +472,21 @@ def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def q_jaccard_join(spark, sf_dir):
-    found = similar_components(table(spark, sf_dir, "documents"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return found.select(real("doc").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
+    found = _named_components(table(spark, sf_dir, "documents"), WORDS, PERCENT, ROUNDS)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-def keep_one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row for each component: that of its smallest doc_id.
+def keep_one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` (a stored table) with one row for each component of similar texts.
 
-    Rows without a shingle link with nothing and stay; rows that repeat the kept doc_id
-    are reduced to the first (smallest row key).
+    That is the row of its smallest doc_id (null last), of several the one with the
+    smallest row key. Rows without a shingle link with nothing and all stay.
     """
     names = docs.columns
-    found = similar_components(docs, words, percent)
-    kept = found.where("component = doc").groupBy("doc").agg(F.max("n_shingles").alias("_shingles"))
-    keyed = docs.withColumn("_row", row_key()).withColumn("_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    firsts = keyed.groupBy("_doc").agg(F.min("_row").alias("_first"))
-    chosen = firsts.join(kept.hint("shuffle_hash"), F.col("_doc") == F.col("doc")).select(F.col("_first"), F.col("_shingles"))
-    return keyed.join(chosen.hint("shuffle_hash"), F.col("_row") == F.col("_first")).select(*[F.col(f"`{c}`") for c in names])
+    rows, classes = _labelled(docs.select("doc_id", file_row().alias("key"), "text"), words, percent, rounds)
+    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key"))
+    per_class = rows.where("cls is not null").groupBy("cls").agg(first.alias("_first"))
+    per_comp = per_class.join(classes.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("_first").alias("_first"))
+    kept = per_comp.select(F.col("_first.key").alias("_kept")).unionByName(rows.where("cls is null").select(F.col("key").alias("_kept")))
+    keyed = docs.withColumn("_doc_row", file_row())
+    return keyed.join(kept.hint("shuffle_hash"), F.col("_doc_row") == F.col("_kept")).select(*[F.col(f"`{c}`") for c in names])

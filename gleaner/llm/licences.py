@@ -7,8 +7,8 @@ match of the entire text. Two kinds of entire texts are scanned: whole documents
 the lines of a document (notices of one line).
 
 Canonical forms are built line by line with column functions; lines meet the known
-digests in a hash join (``KNOWN`` is a fixed list, broadcast), and only matches are
-grouped by document.
+digests in a hash join (``KNOWN`` and ``whole_texts`` are a fixed list, broadcast), and
+only matches are grouped by document.
 
 Cases: null, empty and blank texts have an empty canonical form that matches nothing;
 lines that are empty in canonical form are skipped; repeated rows are scanned alike;
@@ -18,6 +18,9 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,42 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+#: usual title lines of the short licences in ``KNOWN``
+TITLES = {
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["0BSD", "Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License",
+        "New BSD License", "Modified BSD License", "BSD License",
+    ],
+}
+#: (name, file in ``licence_texts``, title lines that its text starts with)
+STORED = [
+    ("Apache-2.0", "Apache-2.0", 3), ("Artistic-1.0-Perl", "Artistic", 1), ("BSD-3-Clause", "BSD", 0), ("CC0-1.0", "CC0-1.0", 2),
+    ("GFDL-1.2", "GFDL-1.2", 2), ("GFDL-1.3", "GFDL-1.3", 2), ("GPL-1.0", "GPL-1", 2), ("GPL-2.0", "GPL-2", 2), ("GPL-3.0", "GPL-3", 2),
+    ("LGPL-2.0", "LGPL-2", 2), ("LGPL-2.1", "LGPL-2.1", 2), ("LGPL-3.0", "LGPL-3", 2), ("MPL-1.1", "MPL-1.1", 2), ("MPL-2.0", "MPL-2.0", 1),
+]
+#: what may follow the terms: how to apply them, and the exhibits of the MPL
+_AFTER = r"(?m)^\s*(END OF TERMS AND CONDITIONS|APPENDIX: How to|Appendix: How to|ADDENDUM: How to|How to Apply These Terms|Exhibit A -|EXHIBIT A -|The End\s*$)"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(name, text) of whole licences, with and without title lines and what follows the terms."""
+    out = [(n, f"{title}\n{t}") for n, t in KNOWN if "\n" in t for title in TITLES.get(n, [])]
+    for name, file, titles in STORED:
+        text = pkgutil.get_data(__package__, f"licence_texts/{file}.txt").decode("utf-8").strip()
+        ends = [len(text)]
+        for m in re.finditer(_AFTER, text):
+            ends += [m.start()] + [m.end(1)] * m[1].lower().startswith(("end of", "the end"))
+        lines = [i for i, x in enumerate(text.split("\n")) if x.strip()]
+        for end in sorted(set(ends)):
+            part = text[:end]
+            own = "\n".join(part.split("\n")[lines[titles]:])
+            heads = {"", "\n".join(part.split("\n")[: lines[titles]]), *TITLES.get(name, [])}
+            out += [(name, f"{head}\n{own}") for head in sorted(heads)]
+    return out
+
 
 def canonical_lines(text: Column) -> Column:
     """array<string>: the canonical form of each line, without empty and copyright lines."""
@@ -81,8 +120,9 @@ def digest_of(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
-def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame(known, "licence string, text string")
+def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, licence) of the known texts: by default ``KNOWN`` and ``whole_texts``."""
+    rows = spark.createDataFrame(KNOWN + whole_texts() if known is None else known, "licence string, text string")
     return rows.select("licence", digest_of(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 

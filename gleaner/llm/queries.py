@@ -25,7 +25,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op3_multiprobe_neighbours": q_neighbours,
     "op4_temporal_url_filter": url_filters.SQL,
     "op5_line_dedup_mphf": line_dedup.SQL,
     "op10_licence_digests": licences.SQL,

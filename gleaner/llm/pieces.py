@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import shuffle_width, table
 
 MARK = "▁"
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 PART_CHARS = 2_000_000
 #: characters tried as a barrier: one that no piece of several characters holds
 BARRIERS = "\n\x1d\x1e\x1f"
@@ -69,16 +70,17 @@ class Segmenter:
             raise ValueError("no barrier character: every one tried is part of a longer piece")
         self.barrier = barriers[0]
         lone = "\n" if "\n" not in inside else ""
-        self.words = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|{lone}" if lone else "")).findall
+        self.words = re.compile(f"[ {MARK}]*[^ {MARK}{lone}]+|[ {MARK}]+" + (f"|{lone}" if lone else "")).findall
         self.head = len(p.encode(self.barrier))
 
     def cut(self, text: str | None) -> list[str]:
-        """The marked words of a text, which joined make the normalised text."""
-        return self.words(MARK + text.replace(" ", MARK)) if text else []
+        """The marked words of a text, which joined make the normalised text (a blank is as good as a marker)."""
+        return self.words(" " + text) if text else []
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each word as it stands inside a text (behind a barrier, whose ids are dropped)."""
-        return [ids[self.head :] for ids in self.processor.encode([self.barrier + w for w in words], num_threads=1)]
+        head = self.head
+        return [ids[head:] for ids in self.processor.encode([self.barrier + w for w in words], num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -112,29 +114,36 @@ def _batches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKETS.types)], schema=_PACKETS)
 
 
+class Numbers(dict):
+    """Numbers words from 1 in order of their first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Block:
     """Words of a block numbered by first occurrence, and its documents as numbers (0: the next new word)."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.parts: list[tuple[list, list, list]] = []
-        self.chars = self.part_chars = 0
+        self.chars = self.part_chars = self.seen = 0
 
     def add(self, doc_id, words: list[str], chars: int) -> None:
         if not self.parts or self.part_chars > PART_CHARS:
             self.parts.append(([], [], []))
             self.part_chars = 0
         ids, sizes, numbers = self.parts[-1]
-        number, new = self.number, []
-        for w in words:
-            k = number.get(w)
-            if k is None:
-                number[w] = len(number) + 1
-                k = 0
-            new.append(k)
+        new = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
+        if len(self.number) > self.seen:
+            # a number above all before it is that word's first
+            highest = np.maximum.accumulate(np.concatenate([[self.seen], new]))
+            new[new > highest[:-1]] = 0
+            self.seen = len(self.number)
         ids.append(doc_id)
         sizes.append(len(words))
-        numbers.append(np.array(new, np.uint32))
+        numbers.append(new)
         self.chars += chars
         self.part_chars += chars
 
@@ -195,10 +204,10 @@ def encode_documents(docs: DataFrame, model_path: str, block_chars: int = BLOCK_
                         at, known = row["place"], {}
                     words = _words_of(row)
                     fresh = [w for w in words if w not in known]
-                    known.update(zip(fresh, (np.array(x, np.uint32) for x in tool.segment(fresh))))
-                    ids = [known[w] for w in words]
-                    row["sizes"] = pack(np.fromiter(map(len, ids), np.uint32, len(ids)))
-                    row["body"] = pack(np.concatenate(ids))
+                    known.update(zip(fresh, (array("I", x).tobytes() for x in tool.segment(fresh))))
+                    ids = list(map(known.__getitem__, words))
+                    row["sizes"] = pack(np.fromiter(map(len, ids), np.uint32, len(ids)) >> 2)
+                    row["body"] = pack(np.frombuffer(b"".join(ids), np.uint32))
                     row["kind"] = 1
                 rows.append(tuple(row[n] for n in _PACKETS.names))
             if rows:
@@ -248,7 +257,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield part.append_column("text", pa.array(tool.decode(part.column("ids").to_pylist()), pa.string()))
+                lists = part.column("ids")
+                ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+                texts = [tool.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                yield part.append_column("text", pa.array(texts, pa.string()))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,28 @@ def file_row() -> Column:
     return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_keeps(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task (a tokenizer with the words it knows).
+
+    Spark uses its workers again for other stages, so a worker keeps one operator's
+    object at a time: another name, or ``worker_lets_go``, gives the memory back."""
+    if name not in _kept:
+        worker_lets_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def worker_lets_go() -> None:
+    """Drop what earlier stages left in this Python worker; for tasks that need its memory themselves."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, cut, file_row, release, shuffle_width, table
+from gleaner.llm.common import BLANKS, cut, file_row, release, shuffle_width, table, worker_lets_go
 from gleaner.llm.components import components
 from gleaner.llm.mph import mixed
 
@@ -141,6 +141,7 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def _parts(batches: Iterator, size: int = 512) -> Iterator:
+    worker_lets_go()
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             yield batch.slice(i, size)

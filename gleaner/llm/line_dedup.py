@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, cut, row_key, shuffle_width, table
+from gleaner.llm.common import BLANKS, cut, row_key, shuffle_width, table, worker_lets_go
 from gleaner.llm.mph import PerfectHash
 
 SHARD_KEYS = 1 << 16
@@ -52,6 +52,7 @@ def _hashed_lines(min_chars: int, with_place: bool):
     from xxhash import xxh3_128_digest
 
     def run(batches):
+        worker_lets_go()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -156,6 +157,7 @@ def line_dedup_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 per row of ``docs``."""
 
     def run(batches):
+        worker_lets_go()
         for batch in batches:
             out = [
                 (*kept[1:], hashlib.sha256(kept[0].encode("utf-8", "surrogatepass")).hexdigest())

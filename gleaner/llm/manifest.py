@@ -73,10 +73,10 @@ def depth_of(n: Column) -> Column:
 
 
 def joined(level: DataFrame) -> DataFrame:
-    """Nodes (src, rank, children) over the nodes (src, rank, digest) of a level, 16 at a time."""
+    """Nodes (src, depth, rank, children) over the nodes (src, depth, rank, digest) of a level, 16 at a time."""
     of = F.sort_array(F.collect_list(F.struct("rank", "digest")))
-    up = level.groupBy("src", F.shiftright("rank", BITS).alias("rank")).agg(of.alias("of"))
-    return up.select("src", "rank", F.col("of.digest").alias("children"), F.sha2(F.array_join("of.digest", ""), 256).alias("digest"))
+    up = level.groupBy("src", "depth", F.shiftright("rank", BITS).alias("rank")).agg(of.alias("of"))
+    return up.select("src", "depth", "rank", F.col("of.digest").alias("children"), F.sha2(F.array_join("of.digest", ""), 256).alias("digest"))
 
 
 def build(rows: DataFrame, keep: tuple[str, ...] = ()) -> Manifest:
@@ -95,8 +95,7 @@ def build(rows: DataFrame, keep: tuple[str, ...] = ()) -> Manifest:
     for height in range((depths[0] or 0) + 1):
         tops.append(level.where(F.col("depth") == height).select("src", "digest"))
         if height < (depths[0] or 0):
-            below = level.where(F.col("depth") > height)
-            nodes = cut(joined(below).join(sources.select("src", "depth"), "src"))
+            nodes = cut(joined(level.where(F.col("depth") > height)))
             records.append(nodes.select("digest", "children"))
             level = nodes.select("src", "rank", "depth", "digest")
     subroots = tops[0]
@@ -105,11 +104,11 @@ def build(rows: DataFrame, keep: tuple[str, ...] = ()) -> Manifest:
     sources = cut(sources.join(subroots.withColumnRenamed("digest", "subroot"), "src"))
 
     top_depth, n = 0, depths[1]
-    level = sources.select(F.lit(0).alias("src"), F.col("src").alias("rank"), F.col("subroot").alias("digest"))
+    level = sources.select(F.lit(0).alias("src"), F.lit(0).alias("depth"), F.col("src").alias("rank"), F.col("subroot").alias("digest"))
     while n > 1:
         level = cut(joined(level))
         records.append(level.select("digest", "children"))
-        level, n, top_depth = level.select("src", "rank", "digest"), -(-n >> BITS), top_depth + 1
+        level, n, top_depth = level.drop("children"), -(-n >> BITS), top_depth + 1
     root = level.first()
     nodes = rows.sparkSession.createDataFrame([], "digest string, children array<string>")
     for r in records:
@@ -136,18 +135,18 @@ def requested(children: DataFrame, requests: DataFrame, shift: int) -> DataFrame
 
 
 def descend(manifest: Manifest, requests: DataFrame) -> DataFrame:
-    """The last nodes above the requested leaves (src, rank): (src, rank, digest, path, depth).
+    """The last nodes above the requested leaves (src, rank): (src, rank, digest, path, subroot, depth).
 
     ``path`` holds the segments from the root down to the node. A source of one leaf has
     its subroot here, with depth 0."""
     spark = requests.sparkSession
     if manifest.root is None:
-        return spark.createDataFrame([], f"src long, rank long, digest string, path {PATH}, depth int")
+        return spark.createDataFrame([], f"src long, rank long, digest string, path {PATH}, subroot string, depth int")
     spread = requests.select("src", F.col("src").alias("rank")).distinct().select(F.lit(0).cast("long").alias("src"), "rank")
     frontier = spark.createDataFrame([(0, 0, manifest.root, [])], f"src long, rank long, digest string, path {PATH}")
     for height in range(manifest.top_depth, 0, -1):
         frontier = cut(requested(chosen(frontier, manifest.nodes), spread, BITS * (height - 1)))
-    frontier = frontier.select(F.col("rank").alias("src"), F.lit(0).cast("long").alias("rank"), "digest", "path")
+    frontier = frontier.select(F.col("rank").alias("src"), F.lit(0).cast("long").alias("rank"), "digest", "path", F.col("digest").alias("subroot"))
     frontier = frontier.join(manifest.sources.select("src", "depth"), "src")
     if manifest.top_depth == 0:
         frontier = frontier.join(requests.select("src").distinct(), "src", "left_semi")
@@ -155,23 +154,22 @@ def descend(manifest: Manifest, requests: DataFrame) -> DataFrame:
     last = None
     for height in range(deepest, 0, -1):
         # sources of this depth enter here; the frontier stands ``height`` levels above the leaves
-        here = frontier.where(F.col("depth") == height).select("src", "rank", "digest", "path")
+        here = frontier.where(F.col("depth") == height).select("src", "rank", "digest", "path", "subroot")
         here = here if last is None else here.unionByName(last)
         if height == 1:
             last = here
         else:
             last = cut(requested(chosen(here, manifest.nodes), requests, BITS * (height - 1)))
-    alone = frontier.where(F.col("depth") == 0).select("src", "rank", "digest", "path").withColumn("depth", F.lit(0))
+    alone = frontier.where(F.col("depth") == 0).select("src", "rank", "digest", "path", "subroot").withColumn("depth", F.lit(0))
     return alone if last is None else alone.unionByName(last.withColumn("depth", F.lit(1)))
 
 
 def proofs(manifest: Manifest, requests: DataFrame, keep: list[str]) -> DataFrame:
-    """Per requested leaf (src, rank, leaf, and columns to keep): subroot, and ``path``, its
-    segments (siblings before and after it) from the leaf up to the root."""
+    """Per requested leaf (src, rank, depth, leaf, and columns to keep, as in ``manifest.leaves``): subroot, and
+    ``path``, its segments (siblings before and after it) from the leaf up to the root."""
     above = descend(manifest, requests).join(manifest.nodes, "digest", "left")
     # a leaf's row is small and its parent's path long: leaves gather at their parent, which is read once
-    several = requests.join(manifest.sources.select("src", "depth"), "src").where(F.col("depth") > 0)
-    single = requests.join(manifest.sources.select("src", "depth"), "src").where(F.col("depth") == 0)
+    several, single = requests.where(F.col("depth") > 0), requests.where(F.col("depth") == 0)
     leaf = F.struct(F.col("rank").bitwiseAND((1 << BITS) - 1).cast("int").alias("at"), "leaf", *keep)
 
     def gathered(of: DataFrame, shift: int) -> DataFrame:
@@ -179,8 +177,7 @@ def proofs(manifest: Manifest, requests: DataFrame, keep: list[str]) -> DataFram
 
     parents = above.where(F.col("depth") > 0).join(gathered(several, BITS), ["src", "rank"])
     alone = above.where(F.col("depth") == 0).join(gathered(single, 0), ["src", "rank"])
-    both = parents.unionByName(alone).join(manifest.sources.select("src", "subroot"), "src")
-    each = both.select("subroot", "path", "children", F.explode("leaves").alias("l"))
+    each = parents.unionByName(alone).select("subroot", "path", "children", F.explode("leaves").alias("l"))
     at = F.col("l.at")
     own = F.struct(
         F.array_join(F.slice("children", F.lit(1), at), "").alias("before"),
@@ -205,7 +202,7 @@ def q_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     other = F.when(tampered, leaf_digest({"text": F.translate("text", UPPER, LOWER)})).otherwise(leaf_digest())
     manifest = build(docs.select("doc_id", "source", leaf_digest().alias("leaf"), other.alias("other")), ("other",))
-    asked = manifest.leaves.select("src", "rank", "leaf", "doc_id", "other")
+    asked = manifest.leaves.select("src", "rank", "depth", "leaf", "doc_id", "other")
     proved = proofs(manifest, asked, ["doc_id", "other"]).withColumn("folded_root", folded(F.col("other"), F.col("path")))
     root = F.lit(manifest.root).cast("string")
     return proved.select(

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import table
+from gleaner.llm.common import table, worker_keeps
 
 WINDOW = 4096
 END_ID = 2
@@ -113,10 +112,9 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=1)
 def shared_tokenizer(path: str) -> WordTokenizer:
     """One per Python worker: later tasks of a worker find the words already known."""
-    return WordTokenizer(path)
+    return worker_keeps(f"words of {path}", lambda: WordTokenizer(path))
 
 
 class SumOfSquaresPacker:

@@ -33,7 +33,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import shuffle_width, table
+from gleaner.llm.common import shuffle_width, table, worker_keeps
 
 MARK = "▁"
 BLOCK_CHARS = 32_000_000
@@ -83,9 +82,8 @@ class Segmenter:
         return [ids[head:] for ids in self.processor.encode([self.barrier + w for w in words], num_threads=1)]
 
 
-@lru_cache(maxsize=2)
 def segmenter(path: str) -> Segmenter:
-    return Segmenter(path)
+    return worker_keeps(f"pieces of {path}", lambda: Segmenter(path))
 
 
 def pack(numbers: np.ndarray) -> bytes:

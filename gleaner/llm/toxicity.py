@@ -36,7 +36,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import table, worker_lets_go
 
 N = 27  # 0: anything between words, 1-26: letters
 MAX_LABELLED = 16_000
@@ -249,6 +249,7 @@ def score_texts(docs: DataFrame, model: np.ndarray, shares: dict[str, float], ba
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_lets_go()
         model, shares, base = shared.value
         decoder = Decoder(model)
         best = lambda fs: max((shares.get(f, 0.0) for f in fs), default=0.0)

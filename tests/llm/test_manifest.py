@@ -95,7 +95,7 @@ def test_requests_for_few_leaves_visit_their_nodes_only(spark):
     rows = [(i, s, f"{s}{i}") for s in "ab" for i in range(600)]
     leaves = spark.createDataFrame([(s, i, h(t)) for i, s, t in rows], "source string, doc_id long, leaf string")
     m = X.build(leaves)
-    asked = m.leaves.where("src = 1 and rank in (5, 599)").select("src", "rank", "leaf", "doc_id")
+    asked = m.leaves.where("src = 1 and rank in (5, 599)").select("src", "rank", "depth", "leaf", "doc_id")
     assert X.descend(m, asked).count() == 2
     got = X.proofs(m, asked, ["doc_id"]).select("doc_id", X.folded(X.F.col("leaf"), X.F.col("path")).alias("root")).collect()
     assert sorted((r.doc_id, r.root) for r in got) == [(5, m.root), (599, m.root)]

@@ -149,12 +149,15 @@ def test_rows_that_repeat_an_id_are_one_node(spark, tmp_path):
 
 
 def test_adaptive_prefix_asks_for_matches_on_frequent_tokens():
-    tokens = np.sort(J.mixed(np.arange(200, dtype=np.uint64), 9))
-    counts = np.zeros(J.CountSketch.size)
-    assert J.prefix_of(tokens, counts, 0.0, 75)[1] == 1
-    counts[:] = 1000
-    prefix, matches = J.prefix_of(tokens, counts, 0.0, 75)
-    assert matches > 1 and len(prefix) == 200 - 150 + matches
+    """Rare tokens ask for the floor of the set's size (1 below 20 shingles), frequent ones for more."""
+    counts, frequent = np.zeros(J.CountSketch.size), np.full(J.CountSketch.size, 1000.0)
+    for n in (9, 19, 60, 200):
+        tokens = np.sort(J.mixed(np.arange(n, dtype=np.uint64), 9))
+        prefix, least = J.prefix_of(tokens, counts, 0.0, 75)
+        assert least == J.fewest_matches(n) and len(prefix) == n - J.least_overlap(n, 75) + least
+        prefix, matches = J.prefix_of(tokens, frequent, 0.0, 75)
+        assert matches > least and len(prefix) == n - J.least_overlap(n, 75) + matches
+    assert [J.fewest_matches(n) for n in (1, 19, 200)] == [1, 1, 8]
 
 
 @settings(max_examples=40, deadline=None)

@@ -9,6 +9,9 @@ hot url or a hot source never lands whole in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,7 +132,7 @@ def url_dedup_best(cands: DataFrame, group_cols: list[str] | None = None, payloa
 
 
 def rank_order() -> list[Column]:
-    return [F.col("discovery_score").desc(), F.col("first_pos").asc()]
+    return [F.col("discovery_score").desc(), F.col("first_pos").asc(), F.col("url").asc()]
 
 
 def rank_within_source(best: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -163,10 +166,19 @@ def best_topk(cands: DataFrame, cap: int = C.MAX_PER_SOURCE, limit: int = C.DEFA
 
     Texts never enter a dedup or ranking shuffle. Without groups the chosen rows are
     at most ``limit`` and are broadcast to the candidates; with groups AQE decides.
+
+    A chosen row is found again by all its keys (topic, url, pos, source, score), nulls
+    included. Rows that agree in all of them are one candidate, the one with the smallest
+    payload (a group limit of one per rank and task before the shuffle), so every rank
+    comes out exactly once.
     """
     groups = group_cols or []
-    slim = cands.select(*groups, "url", "pos", "source", "discovery_score")
-    top = capped_topk(url_dedup_best(slim, groups, payload=[]), cap=cap, limit=limit, group_cols=groups)
+    keys = [*groups, "url", "pos", "source", "discovery_score"]
+    top = capped_topk(url_dedup_best(cands.select(*keys), groups, payload=[]), cap=cap, limit=limit, group_cols=groups)
+    top = top.select(*[F.col(k).alias(f"_{k}") for k in keys], "first_pos", "rn_in_source", "rank")
     chosen = F.broadcast(top) if not groups and max(limit, 1) <= BROADCAST_ROWS else top
-    full = cands.select(*groups, "pos", *PAYLOAD)
-    return full.join(chosen, [*groups, "pos"])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    found = cands.select(*keys, *PAYLOAD).join(chosen, same)
+    w = Window.partitionBy(*groups, "rank").orderBy(*PAYLOAD)
+    one = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
+    return one.select(*groups, "pos", *PAYLOAD, "url", "first_pos", "source", "discovery_score", "rn_in_source", "rank")

@@ -118,3 +118,23 @@ def test_many_topics_equal_single_runs(spark):
     for t in topics:
         single = D.capped_topk(D.url_dedup_best(D.candidates(e, f, t, X.as_of_col(), X.DAYS, seen=s)), cap=1, limit=5)
         assert got[t] == [r["url"] for r in single.orderBy("rank").collect()]
+
+
+def _cand(pos, score, url, title="t", source="s"):
+    return (pos, url, title, "c", source, "feed", "", ["x"], score)
+
+
+CANDS = "pos long, url string, title string, content string, source string, source_type string, published string, tags array<string>, discovery_score int"
+
+
+def test_topk_finds_every_chosen_row_once(spark):
+    """Null and repeated positions, repeated rows: each rank once, with its own payload."""
+    rows = [_cand(None, 90, "u1", "a"), _cand(2, 80, "u2", "b"), _cand(2, 70, "u3", "c"), _cand(4, 60, "u4", "d"), _cand(2, 80, "u2", "b"), _cand(2, 80, "u2", "aa")]
+    df = spark.createDataFrame(rows, CANDS)
+    got = D.best_topk(df, cap=9, limit=3).orderBy("rank").collect()
+    assert [(r["rank"], r.url, r.title, r.pos) for r in got] == [(1, "u1", "a", None), (2, "u2", "aa", 2), (3, "u3", "c", 2)]
+    by = spark.createDataFrame([("x", *r) for r in rows] + [("y", *r) for r in rows[1:]], "topic string, " + CANDS)
+    many = D.best_topk(by, cap=9, limit=3, group_cols=["topic"]).orderBy("topic", "rank").collect()
+    assert [(r.topic, r["rank"], r.url, r.title) for r in many] == [
+        ("x", 1, "u1", "a"), ("x", 2, "u2", "aa"), ("x", 3, "u3", "c"), ("y", 1, "u2", "aa"), ("y", 2, "u3", "c"), ("y", 3, "u4", "d"),
+    ]

@@ -74,10 +74,12 @@ BOILERPLATE_TAGS = [
     "script", "style", "noscript", "svg", "canvas", "iframe", "form", "nav",
     "header", "footer", "aside", "button",
 ]
-NOISE_ATTRIBUTE_PATTERN = (
-    "cookie|consent|subscribe|newsletter|signup|sign-up|social|share|related|"
-    "advert|promo|modal|paywall|breadcrumb|comments"
-)
+NOISE_ATTRIBUTE_PATTERN = "cookie|consent|subscribe|newsletter|signup|sign-up|social|share|related|advert|promo|modal|paywall|breadcrumb|comments"
+# Elements that never have content (HTML, with the obsolete ones that parsers still know).
+VOID_TAGS = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source", "track", "wbr",
+    "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+]
 NOISE_ATTRIBUTES = ["id", "class", "role", "aria-label"]
 POSITIVE_CONTAINER_PATTERN = "article|post|content|main|entry|story"
 NEGATIVE_CONTAINER_PATTERN = "nav|menu|footer|header|sidebar|related"
@@ -139,15 +141,9 @@ NO_SUMMARY_TEXT = "No useful summary produced."
 UNKNOWN_SOURCE = "unknown source"
 UNTITLED = "Untitled"
 NO_ARTICLES_TEXT = "No articles cleared the attention filter."
-DIGEST_INTRO = (
-    "This digest is ranked for signal, relevance, technical substance, and low "
-    "tolerance for vendor fluff."
-)
+DIGEST_INTRO = "This digest is ranked for signal, relevance, technical substance, and low tolerance for vendor fluff."
 MANUAL_INTRO = "This is an ad-hoc skeptical analysis of manually supplied URLs."
-MANUAL_CONTENT = (
-    "Manual URL submission. Use extracted article text if available; otherwise "
-    "analyze this URL cautiously with fallback metadata."
-)
+MANUAL_CONTENT = "Manual URL submission. Use extracted article text if available; otherwise analyze this URL cautiously with fallback metadata."
 CONTENT_SOURCE_EXTRACTED = "extracted_article_text"
 CONTENT_SOURCE_FALLBACK = "search_excerpt_fallback"
 SLUG_DEFAULT = "manual-analysis"
@@ -158,6 +154,7 @@ RECENT_LIMIT = 5
 MSG_UNSUPPORTED_URL = "Only http/https URLs are supported"
 MSG_TIMEOUT = "Timed out after {seconds}s"
 MSG_NON_HTML = "Unsupported content type: "
+MSG_UNKNOWN_CHARSET = "unknown encoding: "
 MSG_TOO_SHORT = "Extracted text too short ({n} chars)"
 
 # --- FIXED VALUES: digest text --------------------------------------------------

@@ -1,226 +1,272 @@
 """HTML article extraction as column expressions over one page's markup.
 
-No DOM is built. A page is handled as a string inside its row: boilerplate is cut
-with regular expressions, candidate containers are found by their open tags, and
-blocks are the runs of text between block-level tags ("flat" blocks, the way an
-HTML5 parser closes an open ``<p>`` at the next block). Everything stays inside
-one row, so extraction is a narrow map over the page table: no shuffle, bounded
-by the 2 MB page cap.
-
-Documented deviations from a tree parser: a container or noisy element nested in
-another element of the same tag name ends at the first closing tag of that name;
-an unclosed ``<p>`` does not swallow later paragraphs; only the entities listed
-in ``text.HTML_ENTITIES`` are decoded.
+A page is one row and stays one: extraction is a narrow map without a shuffle, bounded
+by the page cap. It works in three steps, all in array functions:
+
+* ``tokens``: the page is cut at its tags by one pattern (quoted attribute values may
+  hold ``>``).
+* ``elements``: one fold over the tag tokens keeps the stack of open elements. A close
+  tag ends the nearest open element of its name, and with it all elements opened since;
+  a close tag without one counts for nothing; what is open at the end of the page ends
+  there. Every element comes out with its offsets in the page and the numbers of its
+  tags.
+* Texts are joined from the runs of text between an element's tags, each decoded and
+  stripped once per page; spans of markup are cut out by offset.
+
+Comments, declarations, scripts and styles are replaced by the mark ``<!>`` beforehand,
+as are removed elements later, so that the texts on both sides stay apart.
+
+Expressions that a lambda uses are bound to lambda variables (``bind``): the optimizer
+would otherwise copy them into the lambda, where they run once per element.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.text import PY_WS, PY_WS_CLASS, clean_whitespace, html_unescape
-
-WS = r"[ \t\r\n\f]"
-MARK_OPEN = "\u0001"
-MARK_NAME_END = "\u0002"
-
-
-def open_tag_re(names: list[str]) -> str:
-    """Open tag of one of ``names``: ``<div>`` or ``<div ...>`` (group 1 = name)."""
-    return r"(?is)<(" + "|".join(names) + r")(?:" + WS + r"[^>]*|/[^>]*)?>"
-
+from gleaner.functions.text import clean_whitespace, html_unescape, py_strip
+
+CUT = "<!>"
+#: what is no markup: comments, whole scripts and styles, declarations
+RAW_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)|<[!?][^>]*>"
+#: a tag, with quoted attribute values; one with an open quote ends at the first ``>``
+TAG_RE = r"(?s)</?[a-zA-Z][^\s/>]*(?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+>|</?[a-zA-Z][^>]*>|<!>"
+TAG_NAME_RE = r"^</?([a-zA-Z][^\s/>]*)"
+ATTRIBUTE_RE = r"(?s)([^\s/>=\"'][^\s/>=]*)(?:\s*=+\s*(\"[^\"]*\"|'[^']*'|[^>\s\"'][^>\s]*|))?"
+ELEMENT = "struct<start:int,cstart:int,cend:int,end:int,i:int,j:int,name:string,tag:string>"
+BLOCK = "array<struct<tag:string,text:string>>"
+FOLD_BLOCK = 128
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Fold ``items``; ``step(state, item)`` gives struct(state, out) and all ``out`` arrays are
+    joined: struct(state, out: array<kind>). Items are folded in blocks, so that joining
+    copies an output once per block and not once per item."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, item):
+        return bind(step(acc["state"], item), lambda s: F.struct(s["state"].alias("state"), F.concat(acc["out"], s["out"]).alias("out")))
+
+    def block(acc, part):
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bind(inner, lambda s: F.struct(s["state"].alias("state"), F.concat(acc["out"], s["out"]).alias("out")))
+
+    def folded(all_):
+        n = F.ceil(F.size(all_) / FOLD_BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda b: F.slice(all_, (b - 1) * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+        return F.aggregate(parts, F.struct(state.alias("state"), none.alias("out")), block)
+
+    return bind(items, folded)
+
+
+def without_raw(html: Column) -> Column:
+    return F.regexp_replace(html, RAW_RE, CUT)
+
+
+def tag_tokens(page: Column) -> Column:
+    """array<struct<before:int, length:int, name:string, kind:string, tag:string>>: every tag with the
+    length of the text before it. Kinds: open, close, empty (void or closed by itself), none."""
+
+    def token(t):
+        name = F.lower(F.regexp_extract(t["tag"], TAG_NAME_RE, 1))
+        closed = F.endswith(t["tag"], F.lit("/>")) & ~t["tag"].rlike(r"=[^\s\"'>]*/>$")
+        return bind(name, lambda n: F.struct(
+            F.length(t["part"]).alias("before"), F.length(t["tag"]).alias("length"), n.alias("name"),
+            F.when(t["tag"] == CUT, "none").when(F.startswith(t["tag"], F.lit("</")), "close")
+            .when(n.isin(*C.VOID_TAGS) | closed, "empty").otherwise("open").alias("kind"),
+            t["tag"].alias("tag"),
+        ))
+
+    tags = F.regexp_extract_all(page, F.lit(TAG_RE), 0)
+    both = bind(tags, lambda t: F.arrays_zip(F.slice(F.split(page, TAG_RE, -1), F.lit(1), F.size(t)).alias("part"), t.alias("tag")))
+    return F.transform(both, token)
+
+
+def elements(page: Column) -> Column:
+    """Every element of a page, in order of its open tag: array<ELEMENT>.
+
+    ``start`` and ``end`` are the 1-based offsets of the element and of what follows it,
+    ``cstart`` and ``cend`` those of its content; its tags are tokens ``i`` and ``j``."""
+    none = F.array().cast(f"array<{ELEMENT}>")
+    as_int = lambda c, name: c.cast("int").alias(name)
+
+    def element(e, cend, end, j):
+        return F.struct(e["start"].alias("start"), e["cstart"].alias("cstart"), as_int(cend, "cend"), as_int(end, "end"), e["i"].alias("i"), as_int(j, "j"), e["name"].alias("name"), e["tag"].alias("tag"))
+
+    def step(st, t):
+        start = st["pos"] + t["before"]
+        after = start + t["length"]
+        zero = F.lit(0)
+        new = F.struct(as_int(start, "start"), as_int(after, "cstart"), as_int(zero, "cend"), as_int(zero, "end"), st["k"].alias("i"), as_int(zero, "j"), t["name"].alias("name"), t["tag"].alias("tag"))
+
+        def moved(stack):
+            return F.struct(as_int(after, "pos"), as_int(st["k"] + 1, "k"), stack.alias("stack"))
+
+        def closed(depth):
+            keep = F.size(st["stack"]) - depth
+            out = F.transform(F.slice(st["stack"], keep + 1, depth), lambda e, x: element(e, start, F.when(x == 0, after).otherwise(start), st["k"]))
+            return F.struct(moved(F.slice(st["stack"], F.lit(1), keep)).alias("state"), out.alias("out"))
+
+        depth = F.array_position(F.reverse(F.transform(st["stack"], lambda e: e["name"])), t["name"]).cast("int")
+        same = F.struct(moved(st["stack"]).alias("state"), none.alias("out"))
+        return (
+            F.when(t["kind"] == "open", F.struct(moved(F.concat(st["stack"], F.array(new))).alias("state"), none.alias("out")))
+            .when(t["kind"] == "close", bind(depth, lambda d: F.when(d > 0, closed(d)).otherwise(same)))
+            .when(t["kind"] == "empty", F.struct(moved(st["stack"]).alias("state"), F.array(element(new, after, after, st["k"])).alias("out")))
+            .otherwise(same)
+        )
+
+    state = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("k"), none.alias("stack"))
+    length = F.length(page) + 1
+    return bind(
+        scan(tag_tokens(page), state, step, ELEMENT),
+        lambda s: F.array_sort(F.concat(s["out"], F.transform(s["state"]["stack"], lambda e: element(e, length, length, s["state"]["k"])))),
+    )
 
-def element_re(name: str) -> str:
-    """Whole element ``<name ...>...</name>``; an unclosed one runs to the end."""
-    return r"(?is)<" + name + r"(?:" + WS + r"[^>]*|/[^>]*)?>(?:.*?</" + name + WS + r"*>|.*)"
 
+def attribute(tag: Column, name: Column) -> Column:
+    """Value of an open tag's attribute (the last of that name; '' if it has no value, null if it is absent)."""
+    rest = F.regexp_replace(F.regexp_replace(tag, TAG_NAME_RE, ""), r"/?>\z", "")
 
-COMMENT_RE = r"(?s)<!--.*?(?:-->|\z)"
-DECLARATION_RE = r"(?s)<[!?][^>]*>"
-TAG_RE = r"<[^>]*>"
-NOISE_TAGS = [
-    "div", "section", "span", "ul", "ol", "li", "p", "a", "aside", "figure", "table", "article", "main", "body",
-    "html", "header", "footer", "nav", "form", "dialog", "iframe", "button", "small",
-]
+    def value(r):
+        names = F.transform(F.regexp_extract_all(r, F.lit(ATTRIBUTE_RE), 1), F.lower)
+        at = F.array_position(F.reverse(names), name).cast("int")
 
+        def found(a):
+            raw = F.element_at(F.reverse(F.regexp_extract_all(r, F.lit(ATTRIBUTE_RE), 2)), a)
+            return F.when(a > 0, html_unescape(F.regexp_replace(raw, r"(?s)\A([\"'])(.*)\1\z", "$2")))
 
-def noise_element_re(name: str) -> str:
-    """Element of tag ``name`` whose id/class/role/aria-label value holds a noise word."""
-    value = r"(?:\"[^\"]*(?:" + C.NOISE_ATTRIBUTE_PATTERN + r")[^\"]*\"|'[^']*(?:" + C.NOISE_ATTRIBUTE_PATTERN + r")[^']*')"
-    attr = r"(?:id|class|role|aria-label)" + WS + r"*=" + WS + r"*" + value
-    return (r"(?is)<" + name + WS + r"(?:[^>]*" + WS + r")?" + attr + r"[^>]*>(?:.*?</" + name + WS + r"*>|.*)")
+        return bind(at, found)
 
+    return bind(rest, value)
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def attributes(tag: Column, names: list[str]) -> Column:
+    """The values of several attributes, joined by blanks; absent ones are left out."""
+    return F.array_join(F.transform(F.array(*map(F.lit, names)), lambda n: attribute(tag, n)), " ")
 
-NOISE_PRESENT_RE = (r"(?is)(?:id|class|role|aria-label)" + WS + r"*=" + WS + r"*[\"'][^\"'>]*(?:" + C.NOISE_ATTRIBUTE_PATTERN + r")")
 
+def text_runs(page: Column) -> Column:
+    """The runs of text before, between and after a page's tags, decoded and stripped."""
+    return F.transform(F.split(page, TAG_RE, -1), lambda t: py_strip(html_unescape(t)))
 
-def strip_boilerplate_tags(html) -> Column:
-    """Drop comments, declarations and the 12 boilerplate elements with their content."""
-    out = F.regexp_replace(_col(html), COMMENT_RE, "")
-    out = F.regexp_replace(out, DECLARATION_RE, "")
-    for tag in C.BOILERPLATE_TAGS:
-        out = F.regexp_replace(out, element_re(tag), "")
-    return out
 
+def element_text(runs: Column, e: Column, sep: str) -> Column:
+    """The text of element ``e``: its runs that are not empty, joined, then cleaned."""
+    return joined_text(F.slice(runs, e["i"] + 2, e["j"] - e["i"]), sep)
 
-def has_noise(html) -> Column:
-    """Whether any element carries a noisy id/class/role/aria-label value (one scan)."""
-    return _col(html).rlike(NOISE_PRESENT_RE)
 
+def joined_text(runs: Column, sep: str) -> Column:
+    return clean_whitespace(F.array_join(F.filter(runs, lambda t: t != ""), sep))
 
-def strip_noise(html) -> Column:
-    """Drop elements whose id/class/role/aria-label value holds a noise word."""
-    out = _col(html)
-    for tag in NOISE_TAGS:
-        out = F.regexp_replace(out, noise_element_re(tag), "")
-    return out
 
+def is_noise(tag: Column) -> Column:
+    """Whether an open tag's id, class, role or aria-label holds a noise word."""
+    values = attributes(tag, C.NOISE_ATTRIBUTES)
+    # an attribute that holds such a word holds it as written, or as references
+    may = tag.rlike("(?i)" + C.NOISE_ATTRIBUTE_PATTERN + "|&")
+    return F.when(may, values.rlike("(?i)" + C.NOISE_ATTRIBUTE_PATTERN)).otherwise(False)
 
-def get_text(fragment: Column, sep: str) -> Column:
-    """``get_text(sep, strip=True)`` then clean_whitespace, without splitting into nodes:
-    tags become markers, entities are decoded once for the whole fragment, the
-    whitespace around markers is stripped (each text run stripped) and runs of
-    markers become one separator (empty runs dropped)."""
-    m = F.regexp_replace(fragment, TAG_RE, MARK_OPEN)
-    m = html_unescape(m)
-    m = F.regexp_replace(m, PY_WS + "*" + MARK_OPEN + "[" + MARK_OPEN + PY_WS_CLASS + "]*", MARK_OPEN)
-    m = F.regexp_replace(m, "^[" + MARK_OPEN + PY_WS_CLASS + "]+|[" + MARK_OPEN + PY_WS_CLASS + r"]+\z", "")
-    return clean_whitespace(F.regexp_replace(m, MARK_OPEN, sep.replace("\\", "\\\\")))
 
+def without_elements(page: Column, removed: Column) -> Column:
+    """The page without the given elements (in order of their starts), a mark in the place of each."""
 
-def attr_value(tag: Column, name: str) -> Column:
-    """Value of attribute ``name`` in an open tag ('' when absent)."""
-    pat = r"(?is)" + WS + name + WS + r"*=" + WS + r"*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    return F.concat(F.regexp_extract(tag, pat, 1), F.regexp_extract(tag, pat, 2), F.regexp_extract(tag, pat, 3))
+    def cut(p):
+        def step(st, e):
+            piece = F.substring(p["page"], st["at"], e["start"] - st["at"])
+            inside = e["start"] < st["at"]
+            return F.struct(
+                F.struct(F.when(inside, st["at"]).otherwise(e["end"]).alias("at")).alias("state"),
+                F.when(inside, F.array().cast("array<string>")).otherwise(F.array(piece)).alias("out"),
+            )
 
+        done = scan(p["removed"], F.struct(F.lit(1).alias("at")), step, "string")
+        return bind(done, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(p["page"], s["state"]["at"], F.length(p["page"])))), CUT))
 
-SPAN_TYPE = "array<struct<start:int,name:string,tag:string,content:string>>"
-ANY_TAG = r"[a-zA-Z][a-zA-Z0-9]*"
+    return bind(F.struct(page.alias("page"), removed.alias("removed")), cut)
 
 
-def attr_open_re(attr_pattern: str, names: str = ANY_TAG) -> str:
-    """Open tag (group 1 = name) that carries an attribute matching ``attr_pattern``."""
-    return r"(?is)<(" + names + r")" + WS + r"(?:[^>]*" + WS + r")?" + attr_pattern + r"[^>]*>"
+def without_boilerplate(page: Column, els: Column) -> Column:
+    return without_elements(page, F.filter(els, lambda e: e["name"].isin(*C.BOILERPLATE_TAGS) | is_noise(e["tag"])))
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case ASCII letters only: same length and offsets as the input, so a
-    search in it gives positions in the original (tag names are ASCII)."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def has_class(e: Column, token: Column) -> Column:
+    gate = F.contains(e["tag"], token) | F.contains(e["tag"], F.lit("&"))
+    classes = F.split(attribute(e["tag"], F.lit("class")), r"\s+")
+    return F.when(gate, F.coalesce(F.array_position(classes, token) > 0, F.lit(False))).otherwise(False)
 
 
-def element_spans(html: Column, open_re: str, html_lc: Column | None = None) -> Column:
-    """Elements whose open tag matches ``open_re`` (group 1 = tag name), in document
-    order: array<struct<start:int, name:string, tag:string, content:string>>.
+def preferred_candidates(els: Column) -> Column:
+    """Containers matched by the preferred selectors, selector order then document order.
 
-    ``start`` is the 1-based offset just after the open tag; ``content`` runs to the
-    first closing tag of the same name (or to the end of the page). The tag list
-    and offsets are computed once per page (one fold over the matches); only the
-    matching elements are cut out.
+    "main article" matches are a subset of "article" matches listed before, so they
+    can never change a first-wins arg-max and are not repeated.
     """
-    tags = F.regexp_extract_all(html, F.lit(open_re), 0)
-    names = F.regexp_extract_all(html, F.lit(open_re), 1)
-    parts = F.split(html, open_re, -1)
-    zipped = F.arrays_zip(F.slice(parts, 1, F.size(tags)).alias("part"), tags.alias("tag"), names.alias("name"))
-    init = F.struct(F.lit(1).alias("pos"), F.array().cast("array<struct<start:int,name:string,tag:string>>").alias("acc"))
-
-    def step(st, e):
-        start = st["pos"] + F.length(e["part"]) + F.length(e["tag"])
-        item = F.struct(start.alias("start"), F.lower(e["name"]).alias("name"), e["tag"].alias("tag"))
-        return F.struct(start.alias("pos"), F.concat(st["acc"], F.array(item)).alias("acc"))
-
-    located = F.aggregate(zipped, init, step, lambda st: st["acc"])
-
-    def cut(s):
-        if html_lc is not None:
-            found = F.instr(F.substring(html_lc, s["start"], 1 << 30), F.concat(F.lit("</"), s["name"]))
-            close = F.when(found > 0, found + s["start"] - 1).otherwise(F.lit(0))
-        else:
-            close = _close_at(html, s["name"], s["start"])
-        content = F.when(close > 0, F.substring(html, s["start"], close - s["start"])).otherwise(F.substring(html, s["start"], 1 << 30))
-        return F.struct(s["start"].alias("start"), s["name"].alias("name"), s["tag"].alias("tag"), content.alias("content"))
-
-    return F.transform(located, cut)
-
+    classes = F.array(*(F.lit(s[1:]) for s in C.PREFERRED_CONTAINER_SELECTORS[4:]))
+    main = lambda e: F.when(F.contains(e["tag"], F.lit("main")), F.coalesce(attribute(e["tag"], F.lit("role")) == "main", F.lit(False))).otherwise(False)
+    return F.concat(
+        F.filter(els, lambda e: e["name"] == "article"), F.filter(els, lambda e: e["name"] == "main"), F.filter(els, main),
+        F.flatten(F.transform(classes, lambda c: F.filter(els, lambda e: has_class(e, c)))),
+    )
 
-def _close_at(html: Column, name: Column, start: Column) -> Column:
-    """1-based offset of the first ``</name`` (any letter case) at or after ``start``; 0 if none."""
-    tail = F.substring(html, start, 1 << 30)
-    found = F.instr(F.lower(tail), F.concat(F.lit("</"), name))
-    return F.when(found > 0, found + start - 1).otherwise(F.lit(0))
 
+def fallback_candidates(els: Column, limit: int = C.MAX_FALLBACK_CONTAINERS) -> Column:
+    return F.slice(F.filter(els, lambda e: e["name"].isin(*C.FALLBACK_CONTAINER_TAGS)), F.lit(1), F.lit(limit))
 
-def _class_token(token: str) -> str:
-    """class attribute holding ``token`` as a whole, case-sensitive word."""
-    return r"class" + WS + r"*=" + WS + r"*[\"'](?:[^\"']*" + WS + r")?(?-i:" + token.replace("-", r"\-") + r")(?:" + WS + r"[^\"']*)?[\"']"
 
+def measured(els: Column, runs: Column) -> Column:
+    """array<struct<start, name, len>> of paragraphs, headings and links, with the lengths that scores need."""
+    wanted = F.filter(els, lambda e: e["name"].isin("p", "a", *C.HEADING_TAGS))
+    counted = lambda r: F.transform(wanted, lambda e: F.struct(
+        e["start"].alias("start"), e["name"].alias("name"),
+        F.when(e["name"].isin("p", "a"), F.length(element_text(r, e, " "))).otherwise(0).alias("len"),
+    ))
+    return bind(runs, counted)
 
-ROLE_MAIN = r"role" + WS + r"*=" + WS + r"*[\"'](?-i:main)[\"']"
 
+def container_score(c: Column, inner: Column, runs: Column) -> Column:
+    """A candidate with its measures and score; ``inner`` are the page's measured elements."""
 
-def _gated(html: Column, token: str, spans: Column) -> Column:  # noqa: D103
-    """Skip the selector scan when its case-sensitive token does not occur at all."""
-    return F.when(F.instr(html, token) > 0, spans).otherwise(F.array().cast(SPAN_TYPE))
+    def scored(m):
+        def total(name):
+            return F.aggregate(F.filter(m["inner"], lambda e: e["name"] == name), F.lit(0), lambda a, e: a + e["len"])
 
+        n_p = F.size(F.filter(m["inner"], lambda e: e["name"] == "p"))
+        n_h = F.size(F.filter(m["inner"], lambda e: e["name"].isin(*C.HEADING_TAGS)))
+        return bind(F.struct(total("p").alias("para_len"), total("a").alias("link_len"), n_p.alias("n_p"), n_h.alias("n_h")), lambda t: final(m, t))
 
-def preferred_candidates(html: Column, html_lc: Column | None = None) -> Column:
-    """Containers matched by the preferred selectors, selector order then document order.
+    def final(m, t):
+        score = (
+            m["text_len"] + t["para_len"] + t["n_p"] * 80 + t["n_h"] * 40
+            - F.when(m["text_len"] > 0, (t["link_len"] / m["text_len"] * 600).cast("int")).otherwise(F.lit(0))
+            + F.when(m["attrs"].rlike("(?i)" + C.POSITIVE_CONTAINER_PATTERN), F.lit(800)).otherwise(F.lit(0))
+            - F.when(m["attrs"].rlike("(?i)" + C.NEGATIVE_CONTAINER_PATTERN), F.lit(1000)).otherwise(F.lit(0))
+        )
+        return F.struct(
+            *[c[f].alias(f) for f in ("name", "i", "j", "cend")], c["cstart"].alias("start"), m["text_len"].alias("text_len"),
+            *[t[f].alias(f) for f in ("para_len", "n_p", "n_h", "link_len")], score.cast("int").alias("score"),
+        )
 
-    "main article" matches are a subset of "article" matches listed later, so they
-    can never change a first-wins arg-max and are not repeated.
-    """
-    lists = [
-        element_spans(html, open_tag_re(["article"]), html_lc),
-        element_spans(html, open_tag_re(["main"]), html_lc),
-        _gated(html, "main", element_spans(html, attr_open_re(ROLE_MAIN), html_lc)),
-    ]
-    for sel in C.PREFERRED_CONTAINER_SELECTORS[4:]:
-        lists.append(_gated(html, sel[1:], element_spans(html, attr_open_re(_class_token(sel[1:])), html_lc)))
-    return F.concat(*lists)
-
-
-def fallback_candidates(html: Column, html_lc: Column | None = None) -> Column:
-    return F.slice(element_spans(html, open_tag_re(C.FALLBACK_CONTAINER_TAGS), html_lc), 1, C.MAX_FALLBACK_CONTAINERS)
-
-
-def count_open(fragment: Column, names: list[str]) -> Column:
-    return F.size(F.regexp_extract_all(fragment, F.lit(open_tag_re(names)), 0))
-
-
-def container_measures(c: Column) -> Column:
-    """Text and size measures of one candidate container (each computed once)."""
-    content = c["content"]
-    blocks = block_texts(content)
-    links = F.regexp_extract_all(content, F.lit(r"(?is)<a(?:" + WS + r"[^>]*)?>(.*?)(?:</a" + WS + r"*>|\z)"), 1)
-    link_len = F.aggregate(F.transform(links, lambda x: F.length(get_text(x, " "))), F.lit(0), lambda a, x: a + x)
-    attrs = F.concat_ws(" ", attr_value(c["tag"], "id"), attr_value(c["tag"], "class"), attr_value(c["tag"], "role"))
-    return F.struct(
-        c["start"].alias("start"), c["name"].alias("name"), c["tag"].alias("tag"), content.alias("content"),
-        get_text(content, "\n").alias("text"), blocks.alias("blocks"), count_open(content, ["p"]).alias("n_p"),
-        count_open(content, C.HEADING_TAGS).alias("n_h"), link_len.alias("link_len"), attrs.alias("attrs"),
+    measures = F.struct(
+        F.length(element_text(runs, c, "\n")).alias("text_len"),
+        F.filter(inner, lambda e: (e["start"] >= c["cstart"]) & (e["start"] < c["cend"])).alias("inner"),
+        attributes(c["tag"], ["id", "class", "role"]).alias("attrs"),
     )
+    return bind(measures, scored)
 
 
-def container_score(m: Column) -> Column:
-    """Add text_len and the container score to a measures struct."""
-    text_len = F.length(m["text"])
-    para_len = F.aggregate(F.transform(F.filter(m["blocks"], lambda b: b["tag"] == "p"), lambda b: F.length(b["text"])), F.lit(0), lambda a, x: a + x)
-    score = (
-        text_len + para_len + m["n_p"] * 80 + m["n_h"] * 40
-        - F.when(text_len > 0, (m["link_len"] / text_len * 600).cast("int")).otherwise(F.lit(0))
-        + F.when(m["attrs"].rlike("(?i)" + C.POSITIVE_CONTAINER_PATTERN), F.lit(800)).otherwise(F.lit(0))
-        - F.when(m["attrs"].rlike("(?i)" + C.NEGATIVE_CONTAINER_PATTERN), F.lit(1000)).otherwise(F.lit(0))
-    )
-    return F.struct(
-        m["start"].alias("start"), m["name"].alias("name"), m["tag"].alias("tag"), m["content"].alias("content"),
-        m["text"].alias("text"), m["blocks"].alias("blocks"), text_len.alias("text_len"), para_len.alias("para_len"), m["n_p"].alias("n_p"),
-        m["n_h"].alias("n_h"), m["link_len"].alias("link_len"), score.cast("int").alias("score"),
-    )
+def scored_candidates(candidates: Column, inner: Column, runs: Column) -> Column:
+    page = F.struct(candidates.alias("c"), inner.alias("inner"), runs.alias("runs"))
+    return bind(page, lambda p: F.transform(p["c"], lambda c: container_score(c, p["inner"], p["runs"])))
 
 
 def best_candidate(scored: Column) -> Column:
@@ -231,48 +277,14 @@ def best_candidate(scored: Column) -> Column:
     )
 
 
-MARK_NODE = "\u0003"
-
-
-def _mark_blocks(fragment: Column) -> Column:
-    """Block open tags -> MARK_OPEN name MARK_NAME_END; block close tags -> MARK_OPEN."""
-    marked = F.regexp_replace(fragment, open_tag_re(C.BLOCK_TAGS), MARK_OPEN + "$1" + MARK_NAME_END)
-    return F.regexp_replace(marked, r"(?is)</(?:" + "|".join(C.BLOCK_TAGS) + ")" + WS + "*>", MARK_OPEN)
-
-
-def _strip_pieces(g: Column, extra: str = "") -> Column:
-    """Strip whitespace (and ``extra`` marker chars) at the text start of every block
-    (after MARK_NAME_END) and at every piece end (before MARK_OPEN or the end)."""
-    cls = "[" + extra + PY_WS_CLASS + "]+"
-    g = F.regexp_replace(g, MARK_NAME_END + cls, MARK_NAME_END)
-    return F.regexp_replace(g, cls + "(?=" + MARK_OPEN + r")|" + cls + r"\z", "")
-
-
-def block_texts(fragment: Column) -> Column:
-    """(tag, text) of every flat block, all texts computed in whole-string passes.
-
-    Same result as ``get_text(inner, " ")`` per block: every step is local to a
-    block (markers never fall inside a whitespace run, an entity or a tag), so it
-    can run once over the marked container instead of once per block."""
-    g = F.regexp_replace(_mark_blocks(fragment), TAG_RE, MARK_NODE)
-    g = html_unescape(g)
-    g = F.regexp_replace(g, PY_WS + "*" + MARK_NODE + "[" + MARK_NODE + PY_WS_CLASS + "]*", MARK_NODE)
-    g = _strip_pieces(g, MARK_NODE)
-    g = F.replace(g, F.lit(MARK_NODE), F.lit(" "))
-    # clean_whitespace, piece-locally
-    g = html_unescape(g)
-    g = F.replace(g, F.lit("\u00a0"), F.lit(" "))
-    g = F.regexp_replace(g, r"[ \t\r\f\x{B}]+", " ")
-    g = F.regexp_replace(g, r"\n{3,}", "\n\n")
-    g = _strip_pieces(g)
-    pieces = F.filter(F.split(g, MARK_OPEN, -1), lambda x: F.instr(x, MARK_NAME_END) > 0)
-    return F.transform(
-        pieces,
-        lambda x: F.struct(
-            F.lower(F.substring_index(x, MARK_NAME_END, 1)).alias("tag"),
-            F.substring(x, F.instr(x, MARK_NAME_END) + 1, 1 << 30).alias("text"),
-        ),
-    )
+def block_texts(els: Column, runs: Column, container: Column) -> Column:
+    """(tag, text) of every block element inside a container, outer before inner, each with its whole text."""
+
+    def blocks(p):
+        inside = lambda e: e["name"].isin(*C.BLOCK_TAGS) & (e["start"] >= p["c"]["start"]) & (e["start"] < p["c"]["cend"])
+        return F.transform(F.filter(p["els"], inside), lambda e: F.struct(e["name"].alias("tag"), element_text(p["runs"], e, " ").alias("text")))
+
+    return bind(F.struct(els.alias("els"), runs.alias("runs"), container.alias("c")), blocks)
 
 
 def keep_block(b: Column) -> Column:
@@ -280,47 +292,42 @@ def keep_block(b: Column) -> Column:
 
 
 def dedup_blocks(blocks: Column) -> Column:
-    """First occurrence of each lower-cased block text, order kept."""
-    return F.filter(
-        blocks, lambda b, i: ~F.array_contains(F.transform(F.slice(blocks, 1, i), lambda y: F.lower(y["text"])), F.lower(b["text"]))
-    )
-
-
-META_TAG_RE = r"(?is)<meta" + WS + r"[^>]*>"
-
+    """First occurrence of each lower-cased block text, order kept: sorted by (text, place), where
+    equal texts are neighbours, and back."""
+    keyed = F.sort_array(F.transform(blocks, lambda b, i: F.struct(F.lower(b["text"]).alias("key"), i.alias("i"), b.alias("b"))))
+    firsts = bind(keyed, lambda k: F.filter(k, lambda x, n: (n == 0) | (x["key"] != F.get(k, n - 1)["key"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["b"].alias("b")))), lambda x: x["b"])
 
-def meta_tags(html: Column) -> Column:
-    """All <meta ...> open tags of a page (one pass; usually a handful)."""
-    return F.regexp_extract_all(html, F.lit(META_TAG_RE), 0)
 
+def fragment_text(fragment: Column, sep: str) -> Column:
+    """The text of a piece of markup."""
+    return joined_text(text_runs(fragment), sep)
 
-def meta_selector_value(metas: Column, attr: str, value: str) -> Column:
-    """content of the first <meta attr="value"> tag ('' when absent or empty).
 
-    Attribute names match case-insensitively, the value exactly."""
-    pat = r"(?is)" + WS + attr + WS + r"*=" + WS + r"*[\"'](?-i:" + value + r")[\"']"
-    tag = F.try_element_at(F.filter(metas, lambda m: m.rlike(pat)), F.lit(1))
-    return F.coalesce(clean_whitespace(html_unescape(attr_value(tag, "content"))), F.lit(""))
+def selected(els: Column, s: Column) -> Column:
+    """The first element that a selector struct(element, attribute, value) asks for (null parts ask for nothing)."""
 
+    def wanted(e):
+        # a value is found in the tag as written, unless it holds references
+        gate = F.contains(e["tag"], F.coalesce(s["value"], F.lit(""))) | F.contains(e["tag"], F.lit("&"))
+        has = bind(attribute(e["tag"], s["attribute"]), lambda v: F.coalesce(v.eqNullSafe(s["value"]) | (s["value"].isNull() & v.isNotNull()), F.lit(False)))
+        return F.coalesce(e["name"] == s["element"], F.lit(True)) & F.when(s["attribute"].isNull(), True).when(gate, has).otherwise(False)
 
-def first_text(spans: Column) -> Column:
-    """Text of the first span ('' when there is none). ``spans`` must be a column."""
-    return F.coalesce(get_text(F.try_element_at(spans, F.lit(1))["content"], " "), F.lit(""))
+    return F.try_element_at(F.filter(els, wanted), F.lit(1))
 
 
-def first_tag(spans: Column) -> Column:
-    return F.coalesce(F.try_element_at(spans, F.lit(1))["tag"], F.lit(""))
+def content_or_text(page: Column, e: Column) -> Column:
+    """What an element says: its content attribute, or its text ('' if neither)."""
 
+    def of(content):
+        text = joined_text(text_runs(F.substring(page, e["cstart"], e["cend"] - e["cstart"])), " ")
+        return F.when(content != "", clean_whitespace(content)).otherwise(text)
 
-TITLE_RE = open_tag_re(["title"])
-REL_AUTHOR_RE = attr_open_re(r"rel" + WS + r"*=" + WS + r"*[\"'](?-i:author)[\"']")
-TIME_RE = attr_open_re(r"datetime" + WS + r"*=", "time")
+    return F.when(e.isNull(), "").otherwise(bind(F.coalesce(attribute(e["tag"], F.lit("content")), F.lit("")), of))
 
 
-def pick(options: list[Column]) -> Column:
-    """First non-empty option ('' when all are empty). Options should be cheap
-    column references: each is read twice."""
-    out = F.lit("")
-    for opt in reversed(options):
-        out = F.when(opt != "", opt).otherwise(out)
-    return out
+def selected_texts(page: Column, els: Column, selectors: list[tuple]) -> Column:
+    """array<string>: what the first element of every (element, attribute, value) selector says."""
+    asked = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("element", "attribute", "value"), s))) for s in selectors))
+    found = bind(els, lambda all_: F.transform(asked, lambda s: selected(all_, s)))
+    return bind(page, lambda p: F.transform(found, lambda e: content_or_text(p, e)))

@@ -6,6 +6,9 @@ Regex patterns are written in the subset that Java and RE2 read the same way:
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,36 +22,12 @@ PY_WS_CLASS = (
 PY_WS = "[" + PY_WS_CLASS + "]"
 STRIP_PATTERN = "^" + PY_WS + "+|" + PY_WS + r"+\z"
 
-# Entities decoded by html_unescape: the ones a parser meets in ordinary pages.
-# "&amp;" is replaced last so that one pass decodes exactly one level.
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&#160;", " "),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&trade;", "™"),
-    ("&hellip;", "…"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&bull;", "•"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&euro;", "€"),
-    ("&pound;", "£"),
-    ("&amp;", "&"),
-]
+# Named references come from the standard library's HTML5 table: those that end with a
+# semicolon, and the old ones that also count without it (the longest that fits).
+_NAMED = {name: char for name, char in html5.items() if name.endswith(";")}
+_OLD = {name: html5[name] for name in sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)}
+# what numbers 128 to 159 stand for
+_C1 = "".join(html.unescape(f"&#{code};") for code in range(0x80, 0xA0))
 
 
 def _col(c) -> Column:
@@ -65,41 +44,65 @@ def py_strip(c) -> Column:
     return F.btrim(_col(c), F.lit(PY_WS_CHARS))
 
 
-# code points 128-159 of numeric references stand for windows-1252 characters
-_AS_1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (a lambda binds it)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    """The value of ``key`` in a fixed table, which the optimizer folds to one map literal."""
+    sides = [F.split(F.lit("\x01".join(side)), "\x01", -1) for side in (table, table.values())]
+    return F.try_element_at(F.map_from_arrays(*sides), key)
+
+
+def _numbered(code: Column) -> Column:
+    """The character that a numeric reference stands for, '' for those that stand for none."""
+    dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(0x80, 0x9F), F.substring(F.lit(_C1), code - 0x7F, F.lit(1)))
+        .when(dropped, F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
 
+def _reference(p: Column) -> Column:
+    """``p``, what follows an ampersand, with the reference that it begins with decoded."""
 
-def numeric_references(text) -> Column:
-    """Decode ``&#8217;`` and ``&#x2014;``; an ampersand becomes ``&amp;`` for the named pass after it."""
+    def done(token, char):
+        return F.concat(char, F.substring(p, F.length(token) + 1, F.length(p)))
 
-    def one(p: Column) -> Column:
-        hexadecimal = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F])", 1)
-        decimal = F.regexp_extract(p, r"^([0-9]{1,7})(?![0-9])", 1)
-        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")).when(decimal != "", decimal.cast("int"))
-        char = (
-            F.when(code == 38, F.lit("&amp;"))
-            .when(code.between(0x80, 0x9F), F.substring(F.lit(_AS_1252), code - 0x7F, F.lit(1)))
-            .when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    def number(token):
+        digits = F.regexp_extract(token, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        hexadecimal = token.rlike("^#[xX]")
+        code = (
+            F.when(digits == "", 0).when(F.length(digits) > 7, 0x110000)
+            .when(hexadecimal, F.conv(digits, 16, 10).cast("int")).otherwise(digits.cast("int"))
         )
-        rest = F.regexp_replace(p, r"^(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
-        return F.when(code.isNull(), F.concat(F.lit("&#"), p)).otherwise(F.concat(char, rest))
+        return done(token, _bind(code, _numbered))
 
-    def decoded(x: Column) -> Column:
-        parts = F.split(x, "&#")
-        joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-        return F.when(F.contains(x, F.lit("&#")), joined).otherwise(x)
+    def name(token):
+        old = F.regexp_extract(p, "^(?:" + "|".join(_OLD) + ")", 0)
+        short = _bind(old, lambda o: F.when(o == "", F.concat(F.lit("&"), p)).otherwise(done(o, _looked_up(o, _OLD))))
+        char = F.when(token != "", _looked_up(token, _NAMED))
+        return _bind(char, lambda c: F.when(c.isNotNull(), done(token, c)).otherwise(short))
 
-    # a lambda binds the text, so that it is not computed again for each use
-    return F.transform(F.array(_col(text)), decoded)[0]
+    numeric = F.regexp_extract(p, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+    named = F.regexp_extract(p, r"^[a-zA-Z][a-zA-Z0-9]{1,31};", 0)
+    return _bind(numeric, lambda n: F.when(n != "", number(n)).otherwise(_bind(named, name)))
 
 
 def html_unescape(c) -> Column:
-    """One level of HTML entity decoding (``&amp;amp;`` -> ``&amp;``)."""
-    out = numeric_references(c)
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """One level of character references decoded, all of HTML5 (``&amp;amp;`` -> ``&amp;``): the text
+    is cut at its ampersands once and each reference is looked up once."""
+
+    def decoded(x: Column) -> Column:
+        def joined(parts):
+            return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))
+
+        return F.when(F.contains(x, F.lit("&")), _bind(F.split(x, "&", -1), joined)).otherwise(x)
+
+    return _bind(_col(c), decoded)
 
 
 def clean_whitespace(c) -> Column:

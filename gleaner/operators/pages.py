@@ -10,108 +10,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import charsets
 from gleaner.functions import constants as C
 from gleaner.functions import html as H
 from gleaner.functions.text import clean_whitespace, truncate_text
 from gleaner.functions.urls import url_authority, url_scheme
 
-EMPTY_BLOCKS = "array<struct<tag:string,text:string>>"
 FETCH_TIMEOUT_S = 20
 
 
-# bytes 0x80-0x9F as Latin-1 controls, and what windows-1252 has there
-_C1 = "".join(map(chr, range(0x80, 0xA0)))
-_C1_AS_1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+def decode_page(body: Column, content_type: Column, max_bytes: int = C.MAX_DOWNLOAD_BYTES) -> Column:
+    """Bytes -> text: at most ``max_bytes``, charset from the content type (utf-8 by default), malformed
+    sequences replaced by U+FFFD; it never fails. NULL for the charsets that ``decode_pages`` leaves to
+    its Arrow step and for unknown ones, which the status ladder reports as fetch-error."""
+    return charsets.decode_bytes(F.substring(body, 1, max_bytes), charsets.codec(content_type))
 
 
-def decode_page(body: Column, content_type: Column, max_bytes: int = C.MAX_DOWNLOAD_BYTES) -> Column:
-    """Bytes -> text: at most ``max_bytes``, charset from the content type (utf-8 by
-    default), malformed sequences replaced by U+FFFD. A charset outside the
-    supported set gives NULL, which the status ladder reports as fetch-error."""
+def decode_pages(pages: DataFrame, max_bytes: int = C.MAX_DOWNLOAD_BYTES, body: str = "body") -> DataFrame:
+    """Landed pages with ``html`` decoded from ``body``. Only pages in a charset of several bytes outside
+    Unicode take the Arrow step; all others stay in built-in functions."""
+    several = charsets.is_multibyte(charsets.codec(F.col("content_type")))
     capped = F.substring(body, 1, max_bytes)
-    charset = F.lower(F.trim(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=([^;]+)", 1)))
-    return (
-        F.when(charset.isin("", "utf-8", "utf8", "us-ascii", "ascii"), F.make_valid_utf8(capped.cast("string")))
-        .when(charset.isin("iso-8859-1", "latin-1", "latin1"), F.decode(capped, "ISO-8859-1"))
-        .when(charset.isin("windows-1252", "cp1252"), F.translate(F.decode(capped, "ISO-8859-1"), _C1, _C1_AS_1252))
-        .when(charset == "utf-16le", F.decode(capped, "UTF-16LE"))
-        .when(charset == "utf-16be", F.decode(capped, "UTF-16BE"))
-        .when(charset == "utf-16", F.decode(capped, "UTF-16"))
-    )
+    plain = pages.where(~several).withColumn("html", decode_page(F.col(body), F.col("content_type"), max_bytes))
+    return plain.unionByName(pages.where(several).withColumn("html", charsets.decode_multibyte(capped, charsets.codec(F.col("content_type")))))
 
 
-META_COLUMNS = [
-    ("x_og_title", "property", "og:title"),
-    ("x_tw_title", "name", "twitter:title"),
-    ("x_og_site", "property", "og:site_name"),
-    ("x_author", "name", "author"),
-    ("x_pub_time", "property", "article:published_time"),
-    ("x_date", "name", "date"),
-    ("x_pub_date", "name", "publish_date"),
-]
-
-
-def metadata_stages(p: DataFrame, html: str = "x_raw") -> DataFrame:
-    """x_meta struct(title, site_name_meta, byline, published_date) from the raw page.
-
-    Every selector result is its own column, so the first-non-empty pick below only
-    re-reads cheap column references."""
-    h = F.col(html)
-    p = p.withColumn("x_raw_lc", H.ascii_lower(h))
-    lc = F.col("x_raw_lc")
-    p = p.withColumn("x_metas", H.meta_tags(h))
-    p = p.withColumn("x_title_sp", H.element_spans(h, H.TITLE_RE, lc))
-    # selector scans run only on pages that contain their token (exact gates: the
-    # attribute value is matched case-sensitively, tag names through lower-case)
-    none = F.array().cast(H.SPAN_TYPE)
-    p = p.withColumn("x_rel_sp", F.when(F.instr(h, "author") > 0, H.element_spans(h, H.REL_AUTHOR_RE, lc)).otherwise(none))
-    p = p.withColumn("x_time_sp", F.when(F.instr(lc, "<time") > 0, H.element_spans(h, H.TIME_RE, lc)).otherwise(none))
-    p = p.select(
-        "*",
-        *[H.meta_selector_value(F.col("x_metas"), attr, value).alias(name) for name, attr, value in META_COLUMNS],
-        H.first_text(F.col("x_title_sp")).alias("x_title_text"),
-        H.first_text(F.col("x_rel_sp")).alias("x_rel_text"),
-        H.first_text(F.col("x_time_sp")).alias("x_time_text"),
-        clean_whitespace(H.html_unescape(H.attr_value(H.first_tag(F.col("x_time_sp")), "content"))).alias("x_time_content"),
-    )
-    c = F.col
-    meta = F.struct(
-        H.pick([c("x_og_title"), c("x_tw_title"), c("x_title_text")]).alias("title"),
-        c("x_og_site").alias("site_name_meta"),
-        H.pick([c("x_author"), c("x_rel_text")]).alias("byline"),
-        H.pick([c("x_pub_time"), c("x_date"), c("x_pub_date"), c("x_time_content"), c("x_time_text")]).alias("published_date"),
-    )
-    drop = ["x_raw_lc", "x_metas", "x_title_sp", "x_rel_sp", "x_time_sp", "x_title_text", "x_rel_text", "x_time_text", "x_time_content"]
-    return p.withColumn("x_meta", meta).drop(*drop, *[n for n, _, _ in META_COLUMNS])
+#: (element, attribute, value) selectors in order of preference
+META_SELECTORS = {
+    "title": [("meta", "property", "og:title"), ("meta", "name", "twitter:title"), ("title", None, None)],
+    "site_name_meta": [("meta", "property", "og:site_name")],
+    "byline": [("meta", "name", "author"), (None, "rel", "author")],
+    "published_date": [("meta", "property", "article:published_time"), ("meta", "name", "date"), ("meta", "name", "publish_date"), ("time", "datetime", None)],
+}
 
 
-def extract_stages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+def metadata(page: Column, els: Column) -> Column:
+    """struct(title, site_name_meta, byline, published_date): per field the first selector that says something."""
+    all_ = [s for selectors in META_SELECTORS.values() for s in selectors]
+
+    def fields(texts):
+        out, at = [], 1
+        for name, selectors in META_SELECTORS.items():
+            said = F.filter(F.slice(texts, at, len(selectors)), lambda t: t != "")
+            out.append(F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("")).alias(name))
+            at += len(selectors)
+        return F.struct(*out)
+
+    return H.bind(H.selected_texts(page, els, all_), fields)
+
+
+def extract_stages(pages: DataFrame, html_col: str = "html", url_col: str = "url", max_containers: int = C.MAX_FALLBACK_CONTAINERS) -> DataFrame:
     """Add the intermediate extraction columns (prefixed ``x_``) to a page table.
 
     Extraction is CPU-heavy per row: give the page scan at least one partition per
     core first (``operators.partitioning.spread``) when it comes from few files."""
-    p = pages.withColumn("x_raw", F.col(html_col))
-    p = metadata_stages(p, "x_raw")
-    p = p.withColumn("x_clean0", H.strip_boilerplate_tags(F.col("x_raw")))
-    p = p.withColumn("x_clean", F.when(H.has_noise(F.col("x_clean0")), H.strip_noise(F.col("x_clean0"))).otherwise(F.col("x_clean0"))).drop("x_clean0")
-    p = p.withColumn("x_clean_lc", H.ascii_lower(F.col("x_clean")))
-    p = p.withColumn("x_pref", H.preferred_candidates(F.col("x_clean"), F.col("x_clean_lc")))
-    p = p.withColumn("x_cands", F.when(F.size("x_pref") > 0, F.col("x_pref"))
-                     .otherwise(H.fallback_candidates(F.col("x_clean"), F.col("x_clean_lc")))).drop("x_pref", "x_clean_lc")
-    p = p.withColumn("x_measures", F.transform("x_cands", H.container_measures)).drop("x_cands")
-    p = p.withColumn("x_scored", F.transform("x_measures", H.container_score)).drop("x_measures")
-    p = p.withColumn("x_best", H.best_candidate(F.col("x_scored")))
-    p = p.withColumn("x_blocks", F.coalesce(F.col("x_best.blocks"), F.array().cast(EMPTY_BLOCKS)))
+    c = F.col
+    p = pages.withColumn("x_raw", c(html_col))
+    p = p.withColumn("x_doc", H.without_raw(c("x_raw")))
+    p = p.withColumn("x_els0", H.elements(c("x_doc")))
+    p = p.withColumn("x_meta", metadata(c("x_doc"), c("x_els0")))
+    p = p.withColumn("x_clean", H.without_boilerplate(c("x_doc"), c("x_els0"))).drop("x_doc", "x_els0")
+    p = p.withColumn("x_els", H.elements(c("x_clean"))).withColumn("x_runs", H.text_runs(c("x_clean")))
+    p = p.withColumn("x_pref", H.bind(c("x_els"), H.preferred_candidates))
+    p = p.withColumn("x_cands", F.when(F.size("x_pref") > 0, c("x_pref")).otherwise(H.fallback_candidates(c("x_els"), max_containers))).drop("x_pref")
+    p = p.withColumn("x_inner", H.measured(c("x_els"), c("x_runs")))
+    p = p.withColumn("x_scored", H.scored_candidates(c("x_cands"), c("x_inner"), c("x_runs"))).drop("x_cands", "x_inner")
+    p = p.withColumn("x_best", H.best_candidate(c("x_scored")))
+    p = p.withColumn("x_blocks", F.when(c("x_best").isNull(), F.array().cast(H.BLOCK)).otherwise(H.block_texts(c("x_els"), c("x_runs"), c("x_best"))))
     p = p.withColumn("x_kept", F.filter("x_blocks", H.keep_block))
-    p = p.withColumn("x_dedup", H.dedup_blocks(F.col("x_kept")))
+    p = p.withColumn("x_dedup", H.dedup_blocks(c("x_kept")))
     main_text = (
-        F.when(F.col("x_best").isNull(), H.get_text(F.col("x_clean"), "\n"))
-        .when(F.size("x_kept") == 0, F.col("x_best.text"))
+        F.when(c("x_best").isNull(), H.joined_text(c("x_runs"), "\n"))
+        .when(F.size("x_kept") == 0, H.element_text(c("x_runs"), c("x_best"), "\n"))
         .otherwise(clean_whitespace(F.array_join(F.transform("x_dedup", lambda b: b["text"]), "\n\n")))
     )
     p = p.withColumn("x_main", main_text)
-    p = p.withColumn("x_text", truncate_text(clean_whitespace(F.col("x_main"))))
-    return p.withColumn("x_site", F.coalesce(F.nullif(F.col("x_meta.site_name_meta"), F.lit("")), url_authority(F.col(url_col))))
+    p = p.withColumn("x_text", truncate_text(clean_whitespace(c("x_main"))))
+    return p.withColumn("x_site", F.coalesce(F.nullif(c("x_meta.site_name_meta"), F.lit("")), url_authority(c(url_col))))
 
 
 def extracted_article(p: DataFrame, url_col: str = "url") -> Column:
@@ -135,6 +110,7 @@ def extracted_article(p: DataFrame, url_col: str = "url") -> Column:
     error = (
         F.when(status == "unsupported-url", F.lit(C.MSG_UNSUPPORTED_URL))
         .when(status == "timeout", F.lit(C.MSG_TIMEOUT.format(seconds=FETCH_TIMEOUT_S)))
+        .when((status == "fetch-error") & (fetch == "ok") & charsets.codec(ct).isNull(), F.concat(F.lit(C.MSG_UNKNOWN_CHARSET), charsets.charset(ct)))
         .when(status.isin("http-error", "url-error", "fetch-error"), fetch_error)
         .when(status == "non-html", F.concat(F.lit(C.MSG_NON_HTML), ct))
         .when(status == "too-short", F.format_string(C.MSG_TOO_SHORT.format(n="%d"), n))

@@ -117,5 +117,12 @@ def pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pid % 19 == 0, F.lit(""))
         .otherwise(F.lit("text/html; charset=utf-8"))
     )
-    fetch = F.when(pid % 23 == 0, F.lit("timeout")).otherwise(F.lit("ok"))
-    return spread(pages.select("page_id", "url", "html", ct.alias("content_type"), fetch.alias("fetch_status")))
+    failed = (
+        F.when(pid % 23 == 0, F.array(F.lit("timeout"), F.lit("")))
+        .when(pid % 29 == 0, F.array(F.lit("http-error"), F.lit("HTTP 404: Not Found")))
+        .when(pid % 31 == 0, F.array(F.lit("url-error"), F.lit("Name or service not known")))
+        .when(pid % 37 == 0, F.array(F.lit("fetch-error"), F.lit("connection reset")))
+        .otherwise(F.array(F.lit("ok"), F.lit("")))
+    )
+    url = F.when(pid % 41 == 0, F.concat(F.lit("ftp"), F.substring("url", F.instr("url", ":"), F.length("url")))).otherwise(F.col("url"))
+    return spread(pages.select("page_id", url.alias("url"), "html", ct.alias("content_type"), failed[0].alias("fetch_status"), failed[1].alias("fetch_error")))

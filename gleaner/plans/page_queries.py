@@ -87,10 +87,9 @@ def q_page_status(spark, sf_dir):
 
 
 def q_page_scan_decode(spark, sf_dir):
-    """Pages as landed bytes (utf-8 encoded), decoded back with the byte cap."""
+    """Pages as landed bytes (utf-8 encoded), decoded back up to a byte cap that cuts characters."""
     raw = X.pages_raw(spark, sf_dir).select("page_id", "content_type", F.encode("html", "UTF-8").alias("body"))
-    text = P.decode_page(F.col("body"), F.col("content_type"))
-    return raw.select("page_id", F.length("body").alias("n_bytes"), F.length(text).alias("n_chars"))
+    return raw.select("page_id", F.length("body").alias("n_bytes"), P.decode_page(F.col("body"), F.lit("text/html; charset=utf-8"), 1001).alias("text"))
 
 
 QUERIES = {

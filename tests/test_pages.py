@@ -49,3 +49,13 @@ def test_decode_page_charsets(spark):
     rows = [("é–x".encode("cp1252"), "text/html; charset=windows-1252"), ("é".encode("latin-1"), "text/html; charset=ISO-8859-1"), (b"a\xffb", "text/html"), ("é".encode("utf-16-le"), "x; charset=utf-16le"), (b"x", "x; charset=klingon")]
     df = spark.createDataFrame([(bytearray(b), c) for b, c in rows], "b binary, c string")
     assert [r.t for r in df.select(P.decode_page(F.col("b"), F.col("c")).alias("t")).collect()] == ["é–x", "é", "a\ufffdb", "é", None]
+
+
+def test_fixture_drives_every_status(spark):
+    from gleaner.functions import constants as C
+    from gleaner.plans import fixtures as X
+    from tests.conftest import SF001
+
+    raw = X.pages_raw(spark, SF001).withColumn("html", F.when(F.col("page_id") % 5 == 0, "<p>short</p>").otherwise(F.col("html")))
+    got = {r.status for r in P.extract_articles(raw).select("status").distinct().collect()}
+    assert got == set(C.EXTRACTION_STATUSES)

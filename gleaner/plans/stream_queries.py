@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import discovery as D
 from gleaner.plans import fixtures as X
 from gleaner.streaming import jobs as J
+from gleaner.streaming.buckets import BucketedTable
 from gleaner.streaming.runtime import run_available, scratch_dir, to_parquet_sink
 
 TS = "yyyy-MM-dd HH:mm:ss"
@@ -80,7 +81,58 @@ def q_stream_seen_upsert(spark, sf_dir):
                        "title", "source", "published")
 
 
+def replay_documents(spark: SparkSession, sf_dir: str, parts: int = EVENT_PARTS) -> str:
+    """Land the documents as ``parts`` files split by doc_id, one micro-batch each."""
+    path = scratch_dir(spark, "documents-landing")
+    X.table(spark, sf_dir, "documents").repartitionByRange(parts, "doc_id").write.parquet(path)
+    return path
+
+
+def entries_stream(spark: SparkSession, sf_dir: str, landed: str) -> DataFrame:
+    docs = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return X.entries_from(docs, spark, sf_dir)
+
+
+def q_stream_url_best(spark, sf_dir):
+    """Best candidate per url over replayed batches; equals the batch dedup."""
+    feeds, seen = X.feeds(spark, sf_dir), X.seen(spark, sf_dir)
+    base = scratch_dir(spark, "stream-best")
+    table = BucketedTable(spark, os.path.join(base, "best"), "url", buckets=16)
+    scored = lambda batch: D.candidates(batch, feeds, X.TOPIC, X.as_of_col(), X.DAYS, seen=seen)
+    J.stream_best_per_url(entries_stream(spark, sf_dir, replay_documents(spark, sf_dir)), scored, table, os.path.join(base, "_checkpoint"))
+    return table.read().select("url", "first_pos", "pos", "source", "discovery_score", "title")
+
+
+def q_stream_seen_buckets(spark, sf_dir):
+    """The seen state in buckets: one batch over all documents, as ``stream_seen_upsert``."""
+    base = scratch_dir(spark, "stream-seen-buckets")
+    table = BucketedTable(spark, os.path.join(base, "seen"), "url", buckets=16)
+    table.create(X.seen(spark, sf_dir))
+    feeds = X.feeds(spark, sf_dir)
+
+    def select(batch: DataFrame, seen: DataFrame) -> DataFrame:
+        c = D.candidates(batch, feeds, X.TOPIC, X.as_of_col(), X.DAYS, seen=seen)
+        return D.best_topk(c, cap=X.CAP, limit=X.LIMIT)
+
+    J.stream_seen_buckets(spark, _entries_stream(spark, sf_dir), select, table, os.path.join(base, "_checkpoint"), now=X.as_of_col())
+    return table.read().select("url", F.date_format("first_seen", TS).alias("first_seen"), F.date_format("last_seen", TS).alias("last_seen"),
+                               "title", "source", "published")
+
+
+def q_stream_closed_days(spark, sf_dir):
+    """Daily volume of the days that the watermark (one day) has closed, each written once."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    base = scratch_dir(spark, "stream-closed")
+    out = os.path.join(base, "out")
+    run_available(J.closed_days(J.stream_daily_volume(events), out, os.path.join(base, "_checkpoint")))
+    return spark.read.schema("event_type string, n long, day string").parquet(out).select("day", "event_type", "n")
+
+
 QUERIES = {
+    "stream_url_best": q_stream_url_best,
+    "stream_seen_buckets": q_stream_seen_buckets,
+    "stream_closed_days": q_stream_closed_days,
     "stream_recency": q_stream_recency,
     "stream_url_dedup": q_stream_url_dedup,
     "stream_daily_volume": q_stream_daily_volume,

@@ -3,7 +3,12 @@
 * ``stream_recency``: watermark on the publish time bounds state; the explicit
   as-of filter is the semantics (entries older than ``days`` are dropped).
 * ``stream_url_dedup``: first arrival per url within the watermark.
-* ``stream_daily_volume``: tumbling one-day windows per type (complete output).
+* ``stream_best_per_url``: best score per url in a bucketed table; a better late entry
+  replaces the one before it, entries past their time to live leave.
+* ``stream_daily_volume``: tumbling one-day windows per type; ``closed_days`` appends each
+  day once, when the watermark has passed it, and its state goes.
+* ``stream_seen_buckets``: the seen state in a bucketed table; a batch writes only the
+  buckets of its own urls.
 * ``stream_seen_upsert``: each micro-batch selects against seen-state snapshot
   *n* and writes snapshot *n+1* to a new folder whose name also says which query
   and batch it holds. A retried batch finds its own name and changes nothing; another
@@ -19,6 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
+from gleaner.operators.discovery import url_dedup_best
+from gleaner.session import ensure_checkpoint_dir
+from gleaner.streaming.buckets import BucketedTable, batch_mark
 from gleaner.streaming.runtime import run_available, to_parquet_sink, utc_day, utc_instant
 
 
@@ -97,6 +105,63 @@ def stream_seen_upsert(spark: SparkSession, entries_stream: DataFrame, select_fn
     return latest_snapshot(spark, state_dir)
 
 
+def stream_seen_buckets(spark: SparkSession, entries_stream: DataFrame, select_fn, table: BucketedTable, checkpoint: str,
+                        now: Column | None = None, timeout_s: int | None = None) -> int:
+    """Discovery-and-remember over a stream, the seen state in a bucketed table (key ``url``, made before).
+
+    ``select_fn(batch_df, seen_df) -> selected`` as for ``stream_seen_upsert``. Returns the newest version."""
+    from gleaner.operators.state import seen_upsert
+
+    stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        mark = batch_mark(batch, batch_id)
+        if not table.committed(mark):
+            ensure_checkpoint_dir(spark)
+            selected = select_fn(batch, table.read()).checkpoint(eager=True)
+            table.update(selected, lambda old, new: seen_upsert(old, new, stamp), mark)
+
+    run_available(entries_stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), timeout_s)
+    return max(table.versions())
+
+
+def best_per_url(old: DataFrame, new: DataFrame, since: Column | None = None) -> DataFrame:
+    """One row per url of both: the best score, at a tie the smallest ``pos``; ``first_pos`` over all.
+
+    ``since`` (an ISO time) is the time to live: dated rows published before it leave."""
+    rows = old.unionByName(new.select(old.columns))
+    if since is not None:
+        rows = rows.where((F.col("published") == "") | (F.col("published") >= since))
+    rest = [c for c in old.columns if c not in ("url", "first_pos", "discovery_score", "pos")]
+    best = F.max(F.struct("discovery_score", (-F.col("pos")).alias("neg_pos"), *rest, "pos"))
+    one = rows.groupBy("url").agg(best.alias("b"), F.min("first_pos").alias("first_pos"))
+    return one.select("url", "first_pos", *[F.col("b")[c].alias(c) for c in ("pos", *rest, "discovery_score")])
+
+
+def stream_best_per_url(entries_stream: DataFrame, candidates_of, table: BucketedTable, checkpoint: str,
+                        since: Column | None = None, timeout_s: int | None = None) -> int:
+    """Keep the best candidate per url over a stream (key ``url``; the table is made by the first batch).
+
+    ``candidates_of(batch_df)`` gives scored candidates. A batch is reduced to one row per url by
+    a partial aggregate where it is read, so a hot url is one row per task, and then merged into
+    the buckets of its urls. Returns the newest version."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        mark = batch_mark(batch, batch_id)
+        ensure_checkpoint_dir(batch.sparkSession)
+        fresh = url_dedup_best(candidates_of(batch)).checkpoint(eager=True)
+        table.create(fresh.limit(0))
+        table.update(fresh, lambda old, new: best_per_url(old, new, since), mark)
+
+    run_available(entries_stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), timeout_s)
+    return max(table.versions())
+
+
+def closed_days(volume: DataFrame, path: str, checkpoint: str):
+    """Append-mode sink of ``stream_daily_volume``: a day is written once, to its own partition, when it has closed."""
+    return to_parquet_sink(volume, path, checkpoint, partition_by=["day"])
+
+
 def complete_to_parquet(agg: DataFrame, path: str, checkpoint: str):
     """Complete-mode aggregate rewritten as a whole after every micro-batch."""
     return (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
@@ -105,5 +170,5 @@ def complete_to_parquet(agg: DataFrame, path: str, checkpoint: str):
 
 __all__ = [
     "stream_recency", "stream_url_dedup", "stream_daily_volume", "stream_seen_upsert", "latest_snapshot_version",
-    "to_parquet_sink", "run_available", "complete_to_parquet",
+    "to_parquet_sink", "run_available", "complete_to_parquet", "stream_seen_buckets", "stream_best_per_url", "best_per_url", "closed_days",
 ]

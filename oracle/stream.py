@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.common import AS_OF, norm_url
-from oracle.discovery import CANDS, SQL as DISCOVERY
+from oracle.discovery import CANDS, SQL as DISCOVERY, _with
 from oracle.state import _top
 
 SQL = {
@@ -21,3 +21,9 @@ SELECT coalesce(s.url, n.url) AS url,
        CASE WHEN n.url IS NOT NULL THEN n.b.published ELSE '' END AS published
 FROM seen s FULL OUTER JOIN batch n ON s.url = n.url""",
 }
+
+# the best row of every url; a closed day ends a day before the newest event, whose window is still open
+SQL["stream_url_best"] = _with(*CANDS) + "SELECT url, first_pos, pos, source, discovery_score, title FROM best"
+SQL["stream_seen_buckets"] = SQL["stream_seen_upsert"]
+SQL["stream_closed_days"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +64,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
         self.long: list[str] = []
-        self.bare: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -88,23 +88,26 @@ class WordTokenizer:
                 letters = letters.lower()
             ids = self.bare.get(letters)
             if ids is None:
-                ids = self.bare[letters] = tuple(self._letters(letters) if letters.isalpha() and not _CONTEXT.search(letters) else self._encode(letters))
+                ids = self.bare[letters] = array("I", self._letters(letters) if letters.isalpha() and not _CONTEXT.search(letters) else self._encode(letters)).tobytes()
             if signs:
                 tail = self.bare.get(signs)
                 if tail is None:
-                    tail = self.bare[signs] = tuple(self._encode(signs))
+                    tail = self.bare[signs] = array("I", self._encode(signs)).tobytes()
                 ids += tail
             self.known[word] = ids
             if len(word) > 64:
                 self.long += [word, letters, signs]
 
     def ids(self, texts: list[str | None]) -> list[list[int]]:
+        return [a.tolist() for a in self.arrays(texts)]
+
+    def arrays(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [_BLANK.split(t) if _SEPARATORS.search(t) else t.split() for t in (x or "" for x in texts)]
         for known in (self.known, self.bare):
             if len(known) > _CACHE_WORDS:
                 known.clear()
         self._learn(set().union(*words).difference(self.known))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.uint32) for w in words]
         for word in self.long:  # not worth remembering
             self.known.pop(word, None)
             self.bare.pop(word, None)
@@ -222,8 +225,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
 
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), tokenizer.ids(part.column("text").to_pylist())):
-                    packer.add(doc, np.array([*ids, end_id], np.uint32))
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokenizer.arrays(part.column("text").to_pylist())):
+                    packer.add(doc, np.append(ids, np.uint32(end_id)))
                 yield emitted()
         packer.settle()
         yield emitted()

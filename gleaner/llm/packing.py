@@ -82,7 +82,7 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> None:
         for word in words:
             letters, signs = word, ""
-            if not word.isalpha() and (parts := _TAIL.fullmatch(word)) and parts[1].isalpha():
+            if not word.isalpha() and (parts := _TAIL.fullmatch(word)) and parts[1].isalpha() and not _CONTEXT.search(parts[1]):
                 letters, signs = parts.groups()
             if letters.isascii():
                 letters = letters.lower()

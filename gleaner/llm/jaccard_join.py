@@ -16,7 +16,10 @@ each pass a class is compared with the TRIED leaders (of other components) that
 most of its prefix tokens, which dissolves groups of near copies with a few
 comparisons per member. Passes go on, with other leaders, while they still link one
 in ``GAIN`` of the classes. The last pass then takes all candidate pairs between
-different components; pairs inside one component cannot change the answer.
+different components; pairs inside one component cannot change the answer. There each
+set carries parity bits, 512 of them: the bits in which two sets differ are at most
+the tokens that they do not share, so a pair with too many is no link (an exact bound,
+of use up to some 500 shingles; larger sets pass it and are compared).
 
 The posting lists are streamed in token order; only lists with two classes survive.
 Sets are recomputed from the text for surviving classes only (found by a second,
@@ -36,6 +39,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -59,6 +64,7 @@ FEWEST_MOST = 8
 MAX_MATCHES = 16
 SKETCH_BITS = 20
 BLOCKS = 64
+PARITY_LONGS = 8  # 64-bit words of a set's parity bits
 NULL_ID = -(1 << 63)
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
@@ -299,7 +305,19 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(n)], schema=_POSTING)
 
 
-_SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
+PARITY = [f"g{i}" for i in range(PARITY_LONGS)]
+_SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary()), *[(g, pa.int64()) for g in PARITY]])
+_SET_DDL = ", ".join(["cls long, tokens binary", *[f"{g} long" for g in PARITY]])
+
+
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """Bit b says whether an odd number of the set's tokens fall on b.
+
+    Tokens that two sets share cancel out, so the bits in which two sets differ are at
+    most the tokens that only one of them has.
+    """
+    odd = np.bincount((tokens % _U(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _sets_of(wanted_ids, wanted_classes, words: int):
@@ -322,7 +340,9 @@ def _sets_of(wanted_ids, wanted_classes, words: int):
             if len(seen) > 1_000_000:
                 seen.clear()
             if len(classes):
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([sets[c].tobytes() for c in classes.tolist()], pa.binary())], schema=_SET)
+                found = [sets[c] for c in classes.tolist()]
+                parity = np.stack([parity_bits(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), *[pa.array(parity[:, i]) for i in range(PARITY_LONGS)]], schema=_SET)
 
     return run
 
@@ -383,8 +403,8 @@ def _labelled(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[D
 
     wanted = cut(classes.join(posts.select("node").distinct(), "node", "left_semi").select("cls", "node", F.coalesce("doc", F.lit(NULL_ID)).alias("doc")))
     sketch = lambda c: sc.broadcast(CountSketch.total(wanted.select(c).mapInArrow(_value_blocks, CountSketch.schema)))
-    sets = cut(docs.mapInArrow(_sets_of(sketch("doc"), sketch("cls"), words), "cls long, tokens binary")
-               .join(wanted.select("cls", "node"), "cls").dropDuplicates(["node"]).select("node", "tokens"))
+    sets = cut(docs.mapInArrow(_sets_of(sketch("doc"), sketch("cls"), words), _SET_DDL)
+               .join(wanted.select("cls", "node"), "cls").dropDuplicates(["node"]).select("node", "tokens", *PARITY))
     release(spark)
 
     links, labels, last, n_nodes = None, None, False, sets.count()
@@ -394,7 +414,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[D
             between = open_.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
             open_ = cut(open_.join(between, "token", "left_semi"))
         last = last or i == rounds
-        found = cut(_links(_all_pairs(open_, percent) if last else _led_pairs(open_, i, percent), sets, percent))
+        found = cut(_links(_all_pairs(open_.join(sets.select("node", *PARITY), "node"), percent) if last else _led_pairs(open_, i, percent), sets, percent))
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
         release(spark)
@@ -433,6 +453,12 @@ def _may_reach(na, pa, nb, pb, percent: int):
     return 100 * most >= percent * (na + nb - most)
 
 
+def _may_agree(percent: int):
+    """Whether the parity bits of sets a and b leave room for the similarity (see ``parity_bits``)."""
+    differ = reduce(add, [F.bit_count(F.col(f"a{g}").bitwiseXOR(F.col(f"b{g}"))) for g in PARITY])
+    return differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
 def _enough(posts: DataFrame, percent: int) -> DataFrame:
     """Without the nodes that have too few shared tokens for any partner.
 
@@ -463,10 +489,15 @@ def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components with enough shared prefix tokens.
 
     All tokens shared up to the last one are counted, so the overlap is at most that
-    count plus what follows the last one in either set.
+    count plus what follows the last one in either set. Pairs whose parity bits differ
+    too much end inside the join: texts that share a passage, or that vary one text too
+    much, meet in many lists but are neither written nor compared.
     """
-    side = lambda x: posts.select("token", *[F.col(c).alias(n) for c, n in (("node", x), ("n", "n" + x), ("matches", "m" + x), ("comp", "c" + x), ("pos", "p" + x))])
-    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_reach(*map(F.col, ("na", "pa", "nb", "pb")), percent))
+    names = [("node", ""), ("n", "n"), ("matches", "m"), ("comp", "c"), ("pos", "p")]
+    side = lambda x: posts.select("token", *[F.col(c).alias(n + x) for c, n in names], *[F.col(g).alias(x + g) for g in PARITY])
+    met = side("a").join(side("b"), "token").where(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_reach(*map(F.col, ("na", "pa", "nb", "pb")), percent) & _may_agree(percent)
+    )
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ma", "mb")], F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     return shared.where((F.col("c") >= F.least("ma", "mb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))).select("a", "b")

@@ -166,6 +166,14 @@ def test_shingle_sets_count_like_python(texts):
     assert [len(s) for s in J.shingle_sets(texts)] == [len(shingles(t)) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), max_size=300), st.sets(st.integers(0, 400), max_size=300))
+def test_parity_bits_differ_at_most_where_sets_do(a, b):
+    bits = [J.parity_bits(J.mixed(np.array(sorted(x), np.uint64), 5)).view(np.uint64) for x in (a, b)]
+    differ = sum(int(x).bit_count() for x in bits[0] ^ bits[1])
+    assert differ <= len(a ^ b) and (differ - len(a ^ b)) % 2 == 0
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 40)] + [(1, 2), (2, 3), (3, 1)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

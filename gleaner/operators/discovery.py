@@ -36,6 +36,15 @@ def enrich_with_feeds(entries: DataFrame, feeds: DataFrame) -> DataFrame:
     return entries.join(f, "source", "left")
 
 
+def enrich_landed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Attach name (as ``source``), tags and weight to landed entries by feed id.
+
+    Feeds of one name stay apart. ``feeds`` holds one row per feed id; entries of an
+    unlisted feed keep nulls."""
+    f = feeds.select("feed_id", F.col("name").alias("source"), F.col("tags").alias("feed_tags"), F.col("weight").alias("feed_weight"))
+    return entries.join(f, "feed_id", "left")
+
+
 def entry_published(entries: DataFrame) -> Column:
     """published, else updated, else null."""
     return F.coalesce(F.col("published"), F.col("updated"))
@@ -86,17 +95,19 @@ def candidates(
     days: int = C.DEFAULT_DAYS,
     seen: DataFrame | None = None,
     include_seen: bool = False,
+    enrich=enrich_with_feeds,
 ) -> DataFrame:
     """Scored candidate rows (one per surviving entry), in the candidate schema plus pos.
 
     With a list of topics every entry is scored for each topic in one pass (a
     generator over per-topic score structs, not a join) and rows carry ``topic``;
-    group the later steps by it (``group_cols=["topic"]``)."""
+    group the later steps by it (``group_cols=["topic"]``). Landed entries take
+    ``enrich=enrich_landed``."""
     e = with_urls(entries)
     e = suppress_seen(e, seen, include_seen)
     e = e.withColumn("published", entry_published(e))
     e = recency_filter(e, as_of, days)
-    e = with_haystack(enrich_with_feeds(e, feeds))
+    e = with_haystack(enrich(e, feeds))
     many = isinstance(topic, (list, tuple))
     scored = (
         F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), discovery_score(t, as_of).alias("s")) for t in topic]))

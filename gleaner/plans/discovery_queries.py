@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from gleaner.functions.scoring import haystack, iso_utc, keyword_hits, recency_b
 from gleaner.functions.urls import normalize_url
 from gleaner.operators import discovery as D
 from gleaner.plans import fixtures as X
+from gleaner.session import ensure_checkpoint_dir
+from gleaner.sources import feeds as FS
 
 
 def _ts_text(c):
@@ -131,7 +135,32 @@ def q_capped_topk_topics(spark, sf_dir):
     return top.select("topic", F.col("rank").cast("int").alias("rank"), "url", "title", "source", "published", "discovery_score")
 
 
+def _landed(spark, sf_dir):
+    folder = f"{ensure_checkpoint_dir(spark)}/landed-feeds-{uuid.uuid4().hex}"
+    feeds = X.land_feeds(spark, sf_dir, folder)
+    return FS.quarantine(FS.read_landed_feeds(spark, folder))[0], feeds
+
+
+def q_landed_feeds(spark, sf_dir):
+    """Feed documents on disk -> entries with their feed's own name, weight and tags."""
+    entries, feeds = _landed(spark, sf_dir)
+    e = D.enrich_landed(entries.where(F.coalesce(F.col("link"), F.lit("")) != ""), feeds)
+    return e.select("feed_id", "entry_no", "kind", "source", "link", "title", F.length("summary").alias("summary_chars"),
+                    F.array_join("terms", ",").alias("terms"), iso_utc(D.entry_published(e)).alias("published"),
+                    F.col("feed_weight").alias("weight"), F.array_join("feed_tags", ",").alias("tags"))
+
+
+def q_landed_feeds_topk(spark, sf_dir):
+    """The capped, backfilled top-k straight from feed documents."""
+    entries, feeds = _landed(spark, sf_dir)
+    cands = D.candidates(entries, feeds, X.TOPIC, X.as_of_col(), X.DAYS, seen=X.seen(spark, sf_dir), enrich=D.enrich_landed)
+    top = D.best_topk(cands, cap=X.BACKFILL_CAP, limit=X.BACKFILL_LIMIT)
+    return top.select(F.col("rank").cast("int").alias("rank"), "url", "title", "source", "published", F.array_join("tags", ",").alias("tags"), "discovery_score")
+
+
 QUERIES = {
+    "landed_feeds": q_landed_feeds,
+    "landed_feeds_topk": q_landed_feeds_topk,
     "normalize_url": q_normalize_url,
     "entry_published": q_entry_published,
     "recency_filter": q_recency_filter,

@@ -61,6 +61,46 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def two_feeds_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed list with two feeds of each name: an even id (RSS) and the odd one after it (Atom),
+    which has the weight and tags of the next places in their lists."""
+    src = table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    numbered = src.withColumn("i", F.row_number().over(Window.orderBy("name")) - 1)
+    both = numbered.select("name", "i", F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"))
+    weights = F.array(*[F.lit(w).cast("double") for w in FEED_WEIGHTS])
+    tags = F.array(*[F.array(*[F.lit(t) for t in ts]).cast("array<string>") for ts in FEED_TAGS])
+    at = F.col("i") + F.col("odd")
+    return both.select(
+        (2 * F.col("i") + F.col("odd")).cast("long").alias("feed_id"), "name",
+        F.element_at(weights, (at % len(FEED_WEIGHTS) + 1).cast("int")).alias("weight"),
+        F.element_at(tags, (at % len(FEED_TAGS) + 1).cast("int")).alias("tags"),
+    )
+
+
+def land_feeds(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Write every entry as feed documents ``folder/feed_id=<id>/*.xml`` and return the feed list.
+
+    Even documents go to their source's RSS feed, odd ones to its Atom feed. Files follow
+    each other by (feed, pos); a hot feed is spread over several."""
+    feeds_ = two_feeds_per_name(spark, sf_dir)
+    ids = feeds_.select("feed_id", F.col("name").alias("source"), (F.col("feed_id") % 2).alias("odd"))
+    e = entries(spark, sf_dir).withColumn("odd", F.col("pos") % 2).join(ids, ["source", "odd"])
+    rfc = lambda c: F.concat(F.date_format(c, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rss = e.where("odd = 0").select(
+        "feed_id", "pos", "title", "link", F.col("summary").alias("description"), F.col("terms").alias("category"),
+        rfc(F.coalesce("published", "updated")).alias("pubDate"),
+    )
+    atom = e.where("odd = 1").select(
+        "feed_id", "pos", "title", F.array(F.struct(F.col("link").alias("_href"), F.lit("alternate").alias("_rel"))).alias("link"), "summary",
+        F.transform("terms", lambda t: F.struct(t.alias("_term"))).alias("category"), iso("published").alias("published"), iso("updated").alias("updated"),
+    )
+    for df, root, row in ((rss, "channel", "item"), (atom, "feed", "entry")):
+        ordered = df.repartitionByRange("feed_id", "pos").sortWithinPartitions("feed_id", "pos").drop("pos")
+        ordered.write.format("xml").option("rootTag", root).option("rowTag", row).partitionBy("feed_id").mode("append").save(folder)
+    return feeds_
+
+
 def _second(ts: Column) -> Column:
     """Feed dates have whole-second resolution (field arithmetic: no time zone involved)."""
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.floor(F.second(ts)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 RSS_ITEM_SCHEMA = "title string, link string, description string, category array<string>, pubDate string, guid string, _corrupt_record string"
 ATOM_ENTRY_SCHEMA = (
@@ -114,6 +115,48 @@ def read_feed_files(spark: SparkSession, path: str, kind: str = "rss") -> DataFr
     return conv(raw, keep=["file"])
 
 
+def read_landed_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every feed document under ``folder/feed_id=<id>/`` -> entries with their place in the feed.
+
+    RSS items and Atom entries form one bag. ``entry_no`` (from 1) follows a feed's files
+    by name and the order inside them; ``pos`` orders all entries by feed, then entry (feeds
+    below 2^23, entries below 2^40). ``malformed`` marks what could not be parsed
+    (``quarantine``): both scans report a malformed record, with the whole document as its
+    text, so only the ``file`` is kept; such rows leave gaps in ``entry_no``. Files are parsed once, into a checkpoint: numbers come
+    from counts per file, so no text is shuffled and a hot feed is never one task.
+    """
+    from gleaner.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+
+    def scan(kind: str, tag: str, schema: str, entries) -> DataFrame:
+        raw = (
+            spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").schema(f"{schema}, feed_id long").load(folder)
+        )
+        placed = raw.select(
+            "*", F.lit(kind).alias("kind"), F.col("_corrupt_record").isNotNull().alias("malformed"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"),
+        )
+        return entries(placed, keep=["feed_id", "kind", "malformed", "file", "_block", "_mid"])
+
+    landed = scan("rss", "item", RSS_ITEM_SCHEMA, rss_entries).unionByName(scan("atom", "entry", ATOM_ENTRY_SCHEMA, atom_entries)).checkpoint(eager=True)
+    parts = ["feed_id", "file", "_block", "kind"]
+    counts = landed.groupBy(*parts).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("feed_id").orderBy("file", "_block", "kind"))
+    numbered = landed.join(counts.withColumn("_before", upto - F.col("_n")), parts)
+    entry_no = F.col("_mid") - F.col("_first") + F.col("_before") + 1
+    return numbered.withColumn("entry_no", entry_no).withColumn("pos", F.shiftleft(F.col("feed_id"), 40) + F.col("entry_no")).drop(
+        "_block", "_mid", "_first", "_n", "_before"
+    )
+
+
+def quarantine(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good entries, one row per file with malformed records) of ``read_landed_feeds``."""
+    bad = landed.where("malformed").groupBy("feed_id", "file").agg(F.min("entry_no").alias("first_entry_no"), F.count(F.lit(1)).alias("n_rows"))
+    return landed.where("not malformed").drop("malformed"), bad
+
+
 def parse_rss_items(df: DataFrame, xml_col: str) -> DataFrame:
     """Item payloads already in a column -> entry columns (other columns kept)."""
     keep = [c for c in df.columns if c != xml_col]
@@ -122,14 +165,14 @@ def parse_rss_items(df: DataFrame, xml_col: str) -> DataFrame:
 
 
 def read_feed_config(spark: SparkSession, path: str) -> DataFrame:
-    """Feed list JSON {"feeds": [...]}: one row per feed; a missing file gives no rows."""
+    """Feed list JSON {"feeds": [...]}: one row per feed, ``feed_id`` its place (from 0); a missing file gives no rows."""
     from pyspark.errors import AnalysisException
 
     try:
         cfg = spark.read.schema(FEED_CONFIG_SCHEMA).option("multiLine", "true").json(path)
     except AnalysisException:
         cfg = spark.createDataFrame([], FEED_CONFIG_SCHEMA)
-    return cfg.select(F.explode("feeds").alias("f")).select("f.*")
+    return cfg.select(F.posexplode("feeds").alias("feed_id", "f")).select(F.col("feed_id").cast("long").alias("feed_id"), "f.*")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

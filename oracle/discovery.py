@@ -47,7 +47,37 @@ def _topk_topics(cap: int, limit: int) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+TRIMMED = "regexp_replace({}, '^[\\x{{0}}-\\x{{20}}]+|[\\x{{0}}-\\x{{20}}]+\\z', '', 'g')"  # XML text nodes lose blanks at both ends
+LANDED = """two AS (
+  SELECT 2 * i + odd AS feed_id, name, odd,
+         ([0.5::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 0.29::DOUBLE])[((i + odd) % 5) + 1] AS weight,
+         ([['ai','llm'], ['devops','cloud'], ['data'], []::VARCHAR[]])[((i + odd) % 4) + 1] AS tags
+  FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM (SELECT DISTINCT source AS name FROM documents)), (VALUES (0), (1)) o(odd)
+),
+landed AS (
+  SELECT two.feed_id, row_number() OVER (PARTITION BY two.feed_id ORDER BY pos) AS entry_no,
+         CASE WHEN odd = 0 THEN 'rss' ELSE 'atom' END AS kind, source, link, TITLE AS title, SUMMARY AS summary, terms,
+         coalesce(published, updated) AS published, NULL::TIMESTAMP AS updated, weight, tags
+  FROM entries e JOIN two ON two.name = e.source AND two.odd = e.pos % 2
+)""".replace("TITLE", TRIMMED.format("title")).replace("SUMMARY", TRIMMED.format("summary"))
+LANDED_TOP = [
+    LANDED,
+    CANDS[0].replace("FROM entries", "FROM (SELECT *, feed_id * 1099511627776 + entry_no AS pos FROM landed)"),
+    CANDS[1], CANDS[2],
+    CANDS[3].replace("JOIN feeds f ON f.name = e3.source", "JOIN two f ON f.feed_id = e3.feed_id"),
+    *CANDS[4:],
+]
+
+
 SQL = {
+    "landed_feeds": _with(LANDED) + f"""
+SELECT feed_id, entry_no, kind, source, link, title, CAST(length(summary) AS INTEGER) AS summary_chars, array_to_string(terms, ',') AS terms,
+       {iso('published')} AS published, weight, array_to_string(tags, ',') AS tags
+FROM landed WHERE link <> ''""",
+    "landed_feeds_topk": _with(*LANDED_TOP) + """
+SELECT CAST(row_number() OVER (ORDER BY (rn_in_source > 1), discovery_score DESC, first_pos) AS INTEGER) AS rank,
+       url, title, source, published, array_to_string(tags, ',') AS tags, discovery_score
+FROM ranked ORDER BY (rn_in_source > 1), discovery_score DESC, first_pos LIMIT 30""",
     "normalize_url": f"SELECT page_id, url, {norm_url('url')} AS norm_url FROM pages",
     "entry_published": _with() + f"SELECT pos, {iso('coalesce(published, updated)')} AS published FROM entries",
     "recency_filter": _with() + f"""

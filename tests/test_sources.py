@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from gleaner.operators import discovery as D
 from gleaner.sources import feeds as FS
 
 RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>C</title>
@@ -118,3 +119,34 @@ def test_feed_dates_with_zone_names_short_years_and_plain_dates(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(golden)], "i int, s string")
     got = [r.t for r in df.orderBy("i").select(FS.parse_feed_date("s").cast("string").alias("t")).collect()]
     assert got == list(golden.values())
+
+
+def test_landed_feeds_keep_their_feed_and_place(spark):
+    d = _tmp()
+    docs = {
+        (0, "a.xml"): RSS,
+        (0, "b.xml"): "<channel><item><title>bad & worse</title><link>x</link></item><item><title>after</title><link>https://a.org/9</link></item></channel>",
+        (1, "a.xml"): ATOM,
+        (7, "a.xml"): "<feed></feed>",
+    }
+    for (feed, name), text in docs.items():
+        os.makedirs(os.path.join(d, f"feed_id={feed}"), exist_ok=True)
+        with open(os.path.join(d, f"feed_id={feed}", name), "w") as f:
+            f.write(text)
+    cfg = os.path.join(_tmp(), "feeds.json")
+    with open(cfg, "w") as f:
+        json.dump({"feeds": [{"name": "N", "url": "u", "tags": ["ai"], "weight": 0.9}, {"name": "N", "url": "v", "tags": ["ops"], "weight": 0.2}]}, f)
+    good, bad = FS.quarantine(FS.read_landed_feeds(spark, d))
+    rows = {(r.feed_id, r.entry_no): r for r in D.enrich_landed(good, FS.read_feed_config(spark, cfg)).collect()}
+    assert {k: (r.kind, r.link) for k, r in rows.items()} == {
+        (0, 1): ("rss", "https://a.org/1?utm_source=x"), (0, 2): ("rss", None), (0, 3): ("rss", "https://a.org/3"), (0, 6): ("rss", "https://a.org/9"),
+        (1, 1): ("atom", "https://b.org/e1"), (1, 2): ("atom", "https://b.org/e2"),
+    }
+    assert {(k[0], r.source, tuple(r.feed_tags), r.feed_weight) for k, r in rows.items()} == {(0, "N", ("ai",), 0.9), (1, "N", ("ops",), 0.2)}
+    assert sorted(rows, key=lambda k: rows[k].pos) == sorted(rows)
+    assert [(r.feed_id, os.path.basename(r.file), r.first_entry_no, r.n_rows) for r in bad.collect()] == [(0, "b.xml", 4, 2)]
+
+
+def test_landed_feeds_of_an_empty_folder(spark):
+    good, bad = FS.quarantine(FS.read_landed_feeds(spark, _tmp()))
+    assert good.count() == 0 and bad.count() == 0 and "entry_no" in good.columns

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import constants as C
 from gleaner.functions.text import py_strip
 from gleaner.operators.ranking import row_number_within
+from gleaner.session import ensure_checkpoint_dir
 
 
 def meaningful(c: Column) -> Column:
@@ -51,6 +52,28 @@ def with_sections(ranked: DataFrame, topic: str = "topic") -> DataFrame:
     return row_number_within(df, [topic, "section"], [F.col("digest_rank").asc()], name="section_rank")
 
 
+def sectioned(articles: DataFrame, topic: str = "topic") -> DataFrame:
+    """Articles with ``section`` and ``section_rank``, numbered once and on keys only.
+
+    Kept articles are numbered before ignored ones, so an ignored one's place is its
+    number less the kept ones of its topic. The articles are checkpointed as they come;
+    only keys are sorted, and the texts meet the numbers in one join on a row id."""
+    ensure_checkpoint_dir(articles.sparkSession)
+    rec = F.col("analysis.recommendation")
+    sec = F.when(rec != "ignore", F.lit("kept")).otherwise(F.lit("ignored"))
+    rows = articles.withColumn("section", sec).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    keys = rows.select(
+        F.col(topic).alias("_topic"), F.col("section").alias("_section"), recommendation_order(rec).alias("_rec"),
+        F.col("analysis.signal_score").alias("_signal"), F.col("analysis.fluff_score").alias("_fluff"), F.col("pos").alias("_pos"), F.col("_id").alias("_row"),
+    )
+    order = [F.col("_section").desc(), F.col("_rec"), F.col("_signal").desc(), F.col("_fluff"), F.col("_pos"), F.col("_row")]
+    numbered = row_number_within(keys, ["_topic"], order, name="_n")
+    kept = keys.groupBy(F.col("_topic").alias("_t")).agg(F.count_if(F.col("_section") == "kept").alias("_kept"))
+    place = F.when(F.col("_section") == "kept", F.col("_n")).otherwise(F.col("_n") - F.col("_kept"))
+    places = numbered.join(kept, F.col("_topic").eqNullSafe(F.col("_t"))).select("_row", place.alias("section_rank"))
+    return rows.join(places, F.col("_id") == F.col("_row")).drop("_id", "_row")
+
+
 def topline(df: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame:
     """Counts line and best candidate (first in ranking, may be an ignored one).
 
@@ -162,10 +185,9 @@ def digest_lines(articles: DataFrame, topics: DataFrame, generated_at: str, mode
     """The per-topic digest as ordered lines: header, top line, kept cards (or the
     'no articles' text), rejected cards. Order by (topic, block, item, line).
 
-    The articles are ranked once (the ranking checkpoints its sorted rows); the top
-    line, section heads and cards all read that ranked table, so the source join
-    runs once."""
-    ranked = with_sections(digest_rank(articles, topic), topic)
+    The articles are numbered once (``sectioned``) and kept in a checkpoint; the top
+    line, section heads and cards all read that table, so the source join runs once."""
+    ranked = sectioned(articles, topic).checkpoint(eager=True)
     cards = card_fields(ranked)
     head = _explode_lines(topics, topic, 0, F.lit(0), header_lines(F.col(topic), generated_at, model, timeout_s))
     tl = topline(ranked, topics, topic).where(F.col("best_title").isNotNull())

@@ -59,3 +59,14 @@ def test_fixture_drives_every_status(spark):
     raw = X.pages_raw(spark, SF001).withColumn("html", F.when(F.col("page_id") % 5 == 0, "<p>short</p>").otherwise(F.col("html")))
     got = {r.status for r in P.extract_articles(raw).select("status").distinct().collect()}
     assert got == set(C.EXTRACTION_STATUSES)
+
+
+def test_a_page_task_is_bounded_by_its_bytes(spark):
+    from gleaner.operators.partitioning import spread
+
+    pages = spark.createDataFrame([(i, "x" * 1000 if i % 5 else None) for i in range(100)], "page_id int, html string").repartition(20)
+    assert spread(pages, 2).rdd.getNumPartitions() == 20
+    cut = spread(pages, 2, heavy="html", task_bytes=2000)
+    assert cut.rdd.getNumPartitions() == 40 and sorted(r.page_id for r in cut.collect()) == list(range(100))
+    assert spread(pages.limit(0), 3, heavy="html").rdd.getNumPartitions() <= 3
+    assert spread(pages, 2, heavy="html").rdd.getNumPartitions() == 20

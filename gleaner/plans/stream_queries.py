@@ -48,16 +48,28 @@ def q_stream_url_dedup(spark, sf_dir):
     return _run_to_table(spark, d, "stream-dedup")
 
 
-def replay_events(spark: SparkSession, sf_dir: str, parts: int = EVENT_PARTS) -> str:
-    """Land the events table as ``parts`` files split by event_id (the stream input)."""
-    path = scratch_dir(spark, "events-landing")
-    X.table(spark, sf_dir, "events").repartitionByRange(parts, "event_id").write.parquet(path)
-    return path
+def files_per_batch(df: DataFrame) -> int:
+    """Files of a micro-batch: as many as the whole scan has input splits.
+
+    A landing task writes one file, so what it reads follows the size of a split, which Spark bounds."""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def _replayed(df: DataFrame, key: str, name: str, parts: int) -> tuple[str, int]:
+    """Land ``df`` split by ``key``; (folder, files of one of ``parts`` micro-batches)."""
+    path, files = scratch_dir(df.sparkSession, name), files_per_batch(df)
+    df.repartitionByRange(parts * files, key).write.parquet(path)
+    return path, files
+
+
+def replay_events(spark: SparkSession, sf_dir: str, parts: int = EVENT_PARTS) -> tuple[str, int]:
+    """Land the events table split by event_id (the stream input), in ``parts`` micro-batches."""
+    return _replayed(X.table(spark, sf_dir, "events"), "event_id", "events-landing", parts)
 
 
 def q_stream_daily_volume(spark, sf_dir):
-    src = replay_events(spark, sf_dir)
-    events = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src, files = replay_events(spark, sf_dir)
+    events = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", files).parquet(src)
     agg = J.stream_daily_volume(events)
     base = scratch_dir(spark, "stream-volume")
     out = os.path.join(base, "out")
@@ -81,15 +93,13 @@ def q_stream_seen_upsert(spark, sf_dir):
                        "title", "source", "published")
 
 
-def replay_documents(spark: SparkSession, sf_dir: str, parts: int = EVENT_PARTS) -> str:
-    """Land the documents as ``parts`` files split by doc_id, one micro-batch each."""
-    path = scratch_dir(spark, "documents-landing")
-    X.table(spark, sf_dir, "documents").repartitionByRange(parts, "doc_id").write.parquet(path)
-    return path
+def replay_documents(spark: SparkSession, sf_dir: str, parts: int = EVENT_PARTS) -> tuple[str, int]:
+    """Land the documents split by doc_id, in ``parts`` micro-batches."""
+    return _replayed(X.table(spark, sf_dir, "documents"), "doc_id", "documents-landing", parts)
 
 
-def entries_stream(spark: SparkSession, sf_dir: str, landed: str) -> DataFrame:
-    docs = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+def entries_stream(spark: SparkSession, sf_dir: str, landed: str, files: int = 1) -> DataFrame:
+    docs = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", files).parquet(landed)
     return X.entries_from(docs, spark, sf_dir)
 
 
@@ -99,7 +109,7 @@ def q_stream_url_best(spark, sf_dir):
     base = scratch_dir(spark, "stream-best")
     table = BucketedTable(spark, os.path.join(base, "best"), "url", buckets=16)
     scored = lambda batch: D.candidates(batch, feeds, X.TOPIC, X.as_of_col(), X.DAYS, seen=seen)
-    J.stream_best_per_url(entries_stream(spark, sf_dir, replay_documents(spark, sf_dir)), scored, table, os.path.join(base, "_checkpoint"))
+    J.stream_best_per_url(entries_stream(spark, sf_dir, *replay_documents(spark, sf_dir)), scored, table, os.path.join(base, "_checkpoint"))
     return table.read().select("url", "first_pos", "pos", "source", "discovery_score", "title")
 
 

@@ -155,3 +155,19 @@ def test_days_are_appended_once_when_they_close(spark):
     assert run([("2024-01-01 01:00:00", "x"), ("2024-01-02 00:30:00", "x"), ("2024-01-03 02:00:00", "y")]) == [("2024-01-01", "x", 1)]
     # a late row of an open day counts, one of a closed day does not; closed days stay as they are
     assert run([("2024-01-02 05:00:00", "x"), ("2024-01-01 09:00:00", "x"), ("2024-01-04 12:00:00", "y")]) == [("2024-01-01", "x", 1), ("2024-01-02", "x", 2)]
+
+
+def test_landed_files_grow_with_the_input(spark, tmp_path):
+    """Four micro-batches, and no landing task with a quarter of a table of many splits."""
+    path = str(tmp_path / "documents.parquet")
+    spark.range(400).selectExpr("id as doc_id", "cast(id as string) as text").repartition(6).write.option("maxRecordsPerFile", 30).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        landed, files = SQ.replay_documents(spark, str(tmp_path))
+        splits = spark.read.parquet(path).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [r["n"] for r in spark.read.parquet(landed).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert splits > 4 and files == splits and sum(rows) == 400 and max(rows) < 100
+    assert len(rows) <= 4 * files

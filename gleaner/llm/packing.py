@@ -43,6 +43,8 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _CONTEXT = regex.compile("[\u0130\u03a3]")
 #: letters and the ASCII signs after them (no apostrophe: it may begin a contraction)
 _TAIL = regex.compile(r"(\p{L}+)([!-&(-/:-@\[-`{-~]+)")
+#: those signs, for words of ASCII only
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: the signs that stand for bytes in a byte-level vocabulary: printable bytes are themselves, others follow 255
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTABLE)}
@@ -52,8 +54,8 @@ _BLANK = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never looks across white space.
 
-    The new words of a batch of texts are encoded once and remembered (a bounded number
-    of them); a text's ids are then looked up word by word. Words of letters only are one
+    The new words of a text are encoded once and remembered (a bounded number of them);
+    its ids are then looked up word by word. Words of letters only are one
     piece to the tokenizer, so they go to its model directly (composed, in lower case, as
     byte signs); all other words go through the whole tokenizer. Letters are
     first parted from signs that follow them, as the tokenizer does.
@@ -81,14 +83,20 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         for word in words:
-            letters, signs = word, ""
-            if not word.isalpha() and (parts := _TAIL.fullmatch(word)) and parts[1].isalpha() and not _CONTEXT.search(parts[1]):
-                letters, signs = parts.groups()
-            if letters.isascii():
+            letters, signs, ascii_only = word, "", word.isascii()
+            if not word.isalpha():
+                if ascii_only:
+                    head = word.rstrip(_SIGNS)
+                    if head.isalpha():
+                        letters, signs = head, word[len(head) :]
+                elif (parts := _TAIL.fullmatch(word)) and parts[1].isalpha() and not _CONTEXT.search(parts[1]):
+                    letters, signs = parts.groups()
+            if ascii_only:
                 letters = letters.lower()
             ids = self.bare.get(letters)
             if ids is None:
-                ids = self.bare[letters] = array("I", self._letters(letters) if letters.isalpha() and not _CONTEXT.search(letters) else self._encode(letters)).tobytes()
+                one_piece = letters.isalpha() and (ascii_only or not _CONTEXT.search(letters))
+                ids = self.bare[letters] = array("I", self._letters(letters) if one_piece else self._encode(letters)).tobytes()
             if signs:
                 tail = self.bare.get(signs)
                 if tail is None:
@@ -106,8 +114,13 @@ class WordTokenizer:
         for known in (self.known, self.bare):
             if len(known) > _CACHE_WORDS:
                 known.clear()
-        self._learn(set().union(*words).difference(self.known))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.uint32) for w in words]
+        out = []
+        for text in words:
+            found = list(map(self.known.get, text))
+            if new := {word for word, ids in zip(text, found) if ids is None}:
+                self._learn(new)
+                found = map(self.known.__getitem__, text)
+            out.append(np.frombuffer(b"".join(found), np.uint32))
         for word in self.long:  # not worth remembering
             self.known.pop(word, None)
             self.bare.pop(word, None)

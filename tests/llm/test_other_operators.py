@@ -358,3 +358,21 @@ def test_licences_match_whole_texts_in_any_spelling(spark, tmp_path):
     assert got[7].licence == "CC-BY-NC-4.0" and got[7].n_notices == 1
     assert licences.scan_licences(spark.read.parquet(path), known).count() == len(rows)
     assert licences.scan_licences(spark.read.parquet(path).where("false"), known).count() == 0
+
+
+def test_words_of_ascii_only_need_no_pattern(monkeypatch):
+    """Signs after ASCII letters are parted without the letter patterns, a text at a time, with the same ids."""
+    from gleaner.llm import packing
+
+    class Refuses:
+        def fullmatch(self, _):
+            raise AssertionError("a pattern was asked about a word of ASCII only")
+
+        search = fullmatch
+
+    text = "Plain words, 'quoted' don't (stop) a1 x--; !!! end...) MIXED'S CASE?! Plain words,"
+    own = WordTokenizer(tokenizer_file())
+    expected = own.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "_TAIL", Refuses())
+    monkeypatch.setattr(packing, "_CONTEXT", Refuses())
+    assert own.ids([text, None, text, "Plain"]) == [expected, [], expected, own.tokenizer.encode("Plain", add_special_tokens=False).ids]

@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import cut
 
 MAX_ROUNDS = 60
+EDGES_PER_TASK = 20_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: link a node's larger neighbours to its smallest one; small star: the others."""
+def _star(edges: DataFrame, large: bool, width: int) -> DataFrame:
+    """Large star: link a node's larger neighbours to its smallest one; small star: the others.
+
+    A shuffle is written by at most ``width`` tasks, however many the one before it has read.
+    """
     near = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = near.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("_a"), F.least("a" if large else "_b", "_b").alias("m"))
-    linked = near.join(lowest, F.col("a") == F.col("_a"))
+    lowest = near.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("_a"), F.least("a" if large else "_b", "_b").alias("m")).coalesce(width)
+    linked = near.join(lowest, F.col("a") == F.col("_a")).coalesce(width)
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("_a").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct().coalesce(width)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = cut(_star(_star(edges, large=True), large=False))
+        width = 1 + now[0] // EDGES_PER_TASK
+        edges = cut(_star(_star(edges, True, width), False, width))
     else:
         raise RuntimeError("components did not settle")
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -58,7 +58,9 @@ ROUNDS = 12
 LEADERS = 4  # per posting list and pass
 TRIED = 2  # leaders that a class is compared with in a pass
 FAIR = 4  # a leader must lead one in FAIR of the class's lists to be tried
-GAIN = 400
+GAIN = 100
+FREQUENT = 1 << 16  # tokens of so many sets or more are equally frequent
+WINDOW = 8  # shared tokens that a posting of the last pass knows before its own
 FEWEST_PER = 10  # a set of n asks for at least n / FEWEST_PER matches, up to FEWEST_MOST
 FEWEST_MOST = 8
 MAX_MATCHES = 16
@@ -257,27 +259,25 @@ def prefix_of(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int
     return tokens[order[: n - overlap + matches]], matches
 
 
-_POSTING = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("matches", pa.int64()), ("pos", pa.int64())])
+_POSTING = pa.schema([("token", pa.int64()), ("cls", pa.int64())])
 
 
 def _postings(counts, noise: float, words: int, percent: int):
     def run(batches):
         known, seen = counts.value, set()
         for part in _parts(batches):
-            tokens, classes, matches, places = [], [], [], []
+            tokens, classes = [], []
             for s in shingle_sets(part.column("text").to_pylist(), words):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
-                p, m = prefix_of(s, known, noise, percent)
+                p, _ = prefix_of(s, known, noise, percent)
                 tokens.append(p)
                 classes.append(np.full(len(p), c, np.int64))
-                matches.append(np.full(len(p), m, np.int64))
-                places.append(np.arange(1, len(p) + 1))
             if len(seen) > 1_000_000:
                 seen.clear()
             if tokens:
-                cols = np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(matches), np.concatenate(places)
+                cols = np.concatenate(tokens).view(np.int64), np.concatenate(classes)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_POSTING)
 
     return run
@@ -306,8 +306,7 @@ def _shared(batches):
 
 
 PARITY = [f"g{i}" for i in range(PARITY_LONGS)]
-_SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary()), *[(g, pa.int64()) for g in PARITY]])
-_SET_DDL = ", ".join(["cls long, tokens binary", *[f"{g} long" for g in PARITY]])
+_SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -340,9 +339,7 @@ def _sets_of(wanted_ids, wanted_classes, words: int):
             if len(seen) > 1_000_000:
                 seen.clear()
             if len(classes):
-                found = [sets[c] for c in classes.tolist()]
-                parity = np.stack([parity_bits(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), *[pa.array(parity[:, i]) for i in range(PARITY_LONGS)]], schema=_SET)
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([sets[c].tobytes() for c in classes.tolist()], pa.binary())], schema=_SET)
 
     return run
 
@@ -355,24 +352,149 @@ def _value_blocks(batches):
     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=["block", "counts"])
 
 
+_HELD = pa.schema([("token", pa.int64()), ("node", pa.int64())])
+
+
+def _held_tokens(batches):
+    """(token, node) of every token of the sets (node, tokens)."""
+    for part in _parts(batches):
+        sets = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
+        if sets:
+            nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], schema=_HELD)
+
+
+_COUNTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("df", pa.int64())])
+
+
+def _counted(batches):
+    """Rows (token, node) sorted by token -> those of tokens with two nodes, with their number df.
+
+    A list waits until its end is seen; one that reaches FREQUENT rows goes out as it
+    comes, with FREQUENT as its number.
+    """
+    held, frequent = np.empty((0, 2), np.int64), None
+
+    def out(rows, df):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(df)], schema=_COUNTED)
+
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _HELD.names], 1)])
+        if not len(rows):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        sizes = np.diff(starts, append=len(rows))
+        df = np.minimum(np.repeat(sizes, sizes), FREQUENT)
+        if rows[0, 0] == frequent:
+            df[: sizes[0]] = FREQUENT
+        last = len(rows) if df[-1] == FREQUENT else starts[-1]
+        frequent = rows[-1, 0] if df[-1] == FREQUENT else None
+        shared = df[:last] > 1
+        yield out(rows[:last][shared], df[:last][shared])
+        held = rows[last:]
+    if len(held) > 1:
+        yield out(held, np.full(len(held), len(held)))
+
+
+_GATHERED = pa.schema([("node", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), *[(g, pa.int64()) for g in PARITY]])
+_GATHERED_DDL = ", ".join(["node long, shared long, tokens binary", *[f"{g} long" for g in PARITY]])
+
+
+def _gathered(batches):
+    """Rows (token, node) sorted by (node, df, token) -> a row per node; its last tokens wait for the next batch."""
+
+    def out(nodes, tokens):
+        starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        sets = np.split(tokens.view(np.uint64), starts[1:])
+        parity = np.stack([parity_bits(x) for x in sets])
+        cols = [pa.array(nodes[starts]), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(parity[:, i]) for i in range(PARITY_LONGS)]], schema=_GATHERED)
+
+    waiting: list[tuple] = []
+    for batch in batches:
+        nodes, tokens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "token"))
+        if not len(nodes):
+            continue
+        waiting.append((nodes, tokens))
+        if nodes[-1] != waiting[0][0][0]:
+            nodes, tokens = (np.concatenate(c) for c in zip(*waiting))
+            last = int(np.searchsorted(nodes, nodes[-1]))
+            yield out(nodes[:last], tokens[:last])
+            waiting = [(nodes[last:], tokens[last:])]
+    if waiting:
+        yield out(*(np.concatenate(c) for c in zip(*waiting)))
+
+
+_PREFIX = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int64()), ("before", pa.list_(pa.int64()))])
+_PREFIX_DDL = "token long, node long, pos long, before array<long>"
+
+
+def _prefixes(percent: int, window: int):
+    """(token, node, pos, before) of the shared tokens in each set's prefix.
+
+    Tokens that no other set holds come first in the order and have no list. ``before``
+    are the ``window`` shared tokens just before.
+    """
+
+    def run(batches):
+        for part in _parts(batches):
+            tokens, nodes, places, before, sizes = [], [], [], [], []
+            for node, n, x in zip(part.column("node").to_pylist(), part.column("n").to_pylist(), part.column("tokens").to_pylist()):
+                x = np.frombuffer(x, np.int64)
+                own, size = n - len(x), len(x) - least_overlap(n, percent) + 1
+                tokens.append(x[:size])
+                nodes.append(np.full(size, node, np.int64))
+                places.append(np.arange(own + 1, own + size + 1))
+                if window:
+                    at = np.arange(size)[:, None] - np.arange(window, 0, -1)
+                    before.append(x[at[at >= 0]])
+                sizes.append(np.minimum(np.arange(size), window))
+            if tokens:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                values = pa.array(np.concatenate(before) if before else np.empty(0, np.int64))
+                cols = [pa.array(np.concatenate(c)) for c in (tokens, nodes, places)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(offsets, values)], schema=_PREFIX)
+
+    return run
+
+
+def _shared_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (node, n, tokens) with only the tokens that two of them hold: (node, n, own, tokens, parity).
+
+    Tokens are in the join's order, rare ones first; own is the number of tokens left
+    out, which count as the rarest. Sets with too many of those have no partner.
+    """
+    width = shuffle_width(sets.sparkSession)
+    held = sets.select("node", "tokens").mapInArrow(_held_tokens, "token long, node long")
+    counted = held.repartition(width, "token").sortWithinPartitions("token").mapInArrow(_counted, "token long, node long, df long")
+    gathered = counted.repartition(width, "node").sortWithinPartitions("node", "df", "token").select("node", "token").mapInArrow(_gathered, _GATHERED_DDL)
+    return gathered.join(sets.select("node", "n"), "node").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "n", (F.col("n") - F.col("shared")).alias("own"), "tokens", *PARITY)
+
+
 def _verify(percent: int):
     def run(batches):
         for part in _parts(batches, 256):
             keep = []
-            for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist()):
+            for x, y, n in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), part.column("n").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+                keep.append(100 * common >= percent * (n - common))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _near_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity bits leave room for the similarity; no set travels for the others."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("own").alias("o" + x), *[F.col(g).alias(x + g) for g in PARITY])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_agree(percent)).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(_verify(percent), "a long, b long")
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -392,29 +514,35 @@ def _labelled(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[D
     shared_counts = sc.broadcast(counts)  # 4 MB, fixed
 
     docs = docs.select("doc_id", "text")
-    postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long, matches long, pos long")
+    postings = docs.mapInArrow(_postings(shared_counts, float(counts.mean()), words, percent), "token long, cls long")
     ordered = postings.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "cls")
-    surviving = ordered.mapInArrow(_shared, "token long, cls long, matches long, pos long")
-    posts = cut(surviving.join(classes, "cls").select("token", "node", "n", "matches", "pos"))
+    surviving = ordered.mapInArrow(_shared, "token long, cls long")
+    able = cut(_enough(surviving.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(classes, "cls"), percent))
     del postings, ordered, surviving
     release(spark)
-    posts = cut(_enough(posts, percent))
-    release(spark)
 
-    wanted = cut(classes.join(posts.select("node").distinct(), "node", "left_semi").select("cls", "node", F.coalesce("doc", F.lit(NULL_ID)).alias("doc")))
+    wanted = able.select("cls", "node", "n", F.coalesce("doc", F.lit(NULL_ID)).alias("doc"))
     sketch = lambda c: sc.broadcast(CountSketch.total(wanted.select(c).mapInArrow(_value_blocks, CountSketch.schema)))
-    sets = cut(docs.mapInArrow(_sets_of(sketch("doc"), sketch("cls"), words), _SET_DDL)
-               .join(wanted.select("cls", "node"), "cls").dropDuplicates(["node"]).select("node", "tokens", *PARITY))
+    sets = cut(docs.mapInArrow(_sets_of(sketch("doc"), sketch("cls"), words), "cls long, tokens binary")
+               .join(wanted.select("cls", "node", "n"), "cls").dropDuplicates(["node"]).select("node", "n", "tokens"))
     release(spark)
+    sets = cut(_shared_sets(sets, percent))
+    release(spark)
+    prefixes = lambda window: sets.select("node", "n", "tokens").mapInArrow(_prefixes(percent, window), _PREFIX_DDL)
+    posts = cut(prefixes(0).drop("before").join(sets.select("node", "n"), "node"))
 
     links, labels, last, n_nodes = None, None, False, sets.count()
     for i in range(rounds + 1):
-        open_ = posts.withColumn("comp", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        if labels is not None:
-            between = open_.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
-            open_ = cut(open_.join(between, "token", "left_semi"))
+        named = lambda t: t.withColumn("comp", F.col("node")) if labels is None else t.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        open_ = named(posts)
+        between = open_.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
         last = last or i == rounds
-        found = cut(_links(_all_pairs(open_.join(sets.select("node", *PARITY), "node"), percent) if last else _led_pairs(open_, i, percent), sets, percent))
+        if last:
+            bits = named(sets.select("node", "n", "own", *PARITY))
+            found = _all_pairs(prefixes(WINDOW).join(between, "token", "left_semi").join(bits, "node"), percent)
+        else:
+            found = _near_bits(_led_pairs(open_ if labels is None else cut(open_.join(between, "token", "left_semi")), i, percent), sets, percent)
+        found = cut(_links(found, sets, percent))
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
         release(spark)
@@ -454,21 +582,20 @@ def _may_reach(na, pa, nb, pb, percent: int):
 
 
 def _may_agree(percent: int):
-    """Whether the parity bits of sets a and b leave room for the similarity (see ``parity_bits``)."""
+    """Whether sets a and b can be similar enough by their own tokens and parity bits (see ``parity_bits``)."""
     differ = reduce(add, [F.bit_count(F.col(f"a{g}").bitwiseXOR(F.col(f"b{g}"))) for g in PARITY])
-    return differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return (F.col("oa") + F.col("ob") + differ) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
 
 
-def _enough(posts: DataFrame, percent: int) -> DataFrame:
-    """Without the nodes that have too few shared tokens for any partner.
+def _enough(classes: DataFrame, percent: int) -> DataFrame:
+    """Without the classes whose k shared prefix tokens are too few for any partner.
 
     A partner of a set of n tokens has at least ``percent`` of n tokens and so asks for
     at least ``fewest_matches`` of that many.
     """
     least = F.ceil(F.col("n") * percent / 100)
     fewest = F.least(F.lit(FEWEST_MOST), F.greatest(F.lit(1), F.floor(least / FEWEST_PER)))
-    able = posts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest)
-    return posts.join(able.select("node"), "node", "left_semi")
+    return classes.where(F.col("k") >= fewest)
 
 
 def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
@@ -486,21 +613,19 @@ def _led_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
 
 
 def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components with enough shared prefix tokens.
+    """All pairs of different components that share a prefix token and can still be similar enough.
 
-    All tokens shared up to the last one are counted, so the overlap is at most that
-    count plus what follows the last one in either set. Pairs whose parity bits differ
-    too much end inside the join: texts that share a passage, or that vary one text too
-    much, meet in many lists but are neither written nor compared.
+    A pair is wanted at its first shared token, where at most that token and those after
+    it are shared. It is left out at a token that has another shared one just before it
+    in both sets: so near copies, which meet in most of their lists, leave the join about
+    once, and pairs whose own tokens or parity bits differ too much not at all.
     """
-    names = [("node", ""), ("n", "n"), ("matches", "m"), ("comp", "c"), ("pos", "p")]
+    names = [("node", ""), ("n", "n"), ("own", "o"), ("comp", "c"), ("pos", "p"), ("before", "w")]
     side = lambda x: posts.select("token", *[F.col(c).alias(n + x) for c, n in names], *[F.col(g).alias(x + g) for g in PARITY])
-    met = side("a").join(side("b"), "token").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_reach(*map(F.col, ("na", "pa", "nb", "pb")), percent) & _may_agree(percent)
-    )
-    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "ma", "mb")], F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return shared.where((F.col("c") >= F.least("ma", "mb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))).select("a", "b")
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    able = (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & _may_agree(percent)
+    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & able & ~F.arrays_overlap("wa", "wb"))
+    return met.select("a", "b").distinct()
 
 
 def q_jaccard_join(spark, sf_dir):

@@ -179,3 +179,51 @@ def test_components_of_chains_stars_and_rings(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}, 1: 1, 2: 1, 3: 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _batches(rows, names, size):
+    import pyarrow as pa
+
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], pa.int64()) for k in range(len(names))], names=names)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_token_numbers_are_exact_and_frequent_lists_pass_on(monkeypatch, size):
+    monkeypatch.setattr(J, "FREQUENT", 5)
+    lengths = {1: 1, 2: 2, 3: 4, 4: 12, 5: 1, 6: 5, 7: 3}
+    rows = [(t, n) for t, k in lengths.items() for n in range(k)]
+    got = [tuple(r.values()) for b in J._counted(_batches(rows, ["token", "node"], size)) for r in b.to_pylist()]
+    assert got == [(t, n, min(lengths[t], 5)) for t, n in rows if lengths[t] > 1]
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_sets_are_gathered_over_batches(size):
+    rows = [(10 * n + i, n) for n, k in ((1, 1), (2, 5), (3, 2)) for i in range(k)]
+    got = {r["node"]: np.frombuffer(r["tokens"], np.int64).tolist() for b in J._gathered(_batches(rows, ["token", "node"], size)) for r in b.to_pylist()}
+    assert got == {n: [t for t, m in rows if m == n] for n in (1, 2, 3)}
+
+
+def test_near_copies_leave_the_last_join_once():
+    """Two sets that share most tokens meet in many lists; only the first one has no shared token before it."""
+    import pyarrow as pa
+
+    shared = np.arange(1000, 1200)
+    sets = [np.sort(np.concatenate([shared[np.arange(200) % 9 != k], 2000 + 100 * k + np.arange(10)])) for k in (1, 2)]
+    table = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([len(x) + 3 for x in sets]), pa.array([x.tobytes() for x in sets])], names=["node", "n", "tokens"])
+    rows = [r for b in J._prefixes(75, J.WINDOW)([table]) for r in b.to_pylist()]
+    of = [{r["token"]: r for r in rows if r["node"] == n} for n in (1, 2)]
+    both = of[0].keys() & of[1].keys()
+    met = [t for t in both if not set(of[0][t]["before"]) & set(of[1][t]["before"])]
+    assert len(both) > 20 and met == [min(both)]
+    assert of[0][min(both)]["pos"] == 3 + 1 + int(np.searchsorted(sets[0], min(both)))
+    assert all(len(of[n]) == len(x) - J.least_overlap(len(x) + 3, 75) + 1 for n, x in enumerate(sets))
+
+
+def test_only_shared_tokens_travel(spark):
+    """Own tokens are counted but left out; sets with too many of them are gone."""
+    sets = {1: range(0, 20), 2: range(1, 21), 3: range(10, 30)}
+    rows = [(n, len(x), bytearray(np.array(x, np.uint64).tobytes())) for n, x in sets.items()]
+    got = {r.node: (r.own, np.frombuffer(r.tokens, np.int64).tolist()) for r in J._shared_sets(spark.createDataFrame(rows, "node long, n long, tokens binary"), 75).collect()}
+    rare_first = lambda x: sorted(x, key=lambda t: (sum(t in s for s in sets.values()), t))
+    assert got == {1: (1, rare_first(range(1, 20))), 2: (0, rare_first(range(1, 21)))}

@@ -5,21 +5,27 @@ threshold. Tokens (shingles) are ordered from rare to frequent by a fixed-size c
 sketch of the whole corpus. If a document of n tokens shares at least o of them with
 every partner, then its first n - o + l tokens share at least l with the partner's
 prefix. l is chosen per document: a longer prefix costs more postings and leaves
-fewer candidates to verify, and the estimate of both comes from the sketch. A pair
-becomes a candidate with min(l, l') shared prefix tokens, unless their positions show
-that too few tokens are left after the last shared one; the sets of candidates are
-then compared exactly.
+fewer candidates to verify, and the estimate of both comes from the sketch. That is
+the sieve: sets that share fewer prefix tokens than any partner asks for are out.
+
+The sketch's noise grows with the corpus, so the tokens of the sets that are left are
+then counted exactly. Tokens that only one of them holds cannot be shared: they count
+as the rarest and do not travel any further, and a set with too many of them has no
+partner. In this order a pair must share one token of both prefixes (n - o + 1 tokens).
 
 Equal sets are one class from the start. What the result needs is reachability, so
 classes are contracted as links are found: every token's list has a few leaders, and in
 each pass a class is compared with the TRIED leaders (of other components) that lead
 most of its prefix tokens, which dissolves groups of near copies with a few
 comparisons per member. Passes go on, with other leaders, while they still link one
-in ``GAIN`` of the classes. The last pass then takes all candidate pairs between
-different components; pairs inside one component cannot change the answer. There each
-set carries parity bits, 512 of them: the bits in which two sets differ are at most
-the tokens that they do not share, so a pair with too many is no link (an exact bound,
-of use up to some 500 shingles; larger sets pass it and are compared).
+in ``GAIN`` of the classes (which only decides what is found when). The last pass then
+takes all candidate pairs between different components; pairs inside one component
+cannot change the answer. A posting there knows the shared tokens just before its own,
+and a pair is left out where both have one of them: it is met at that token already.
+
+Before sets travel, their parity bits are compared: the own tokens of two sets and the
+bits (of 512) in which their shared tokens differ are at most the tokens that only one
+of them has, so a pair with too many is no link (an exact bound).
 
 The posting lists are streamed in token order; only lists with two classes survive.
 Sets are recomputed from the text for surviving classes only (found by a second,

@@ -43,6 +43,8 @@ MAX_LABELLED = 16_000
 MAX_FEATURES = 4096
 THRESHOLD = 0.3
 _CACHE = 200_000
+_LISTS_CACHE = 100_000  # where a token's features are remembered, some 500 bytes each
+_COUNTED = 200_000  # features that a task counts before it passes the counts on
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: letters that a sign commonly imitates
@@ -76,6 +78,7 @@ FOLD, CLASSES = _folding()
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of folded character trigrams, one small batch per partition."""
+    worker_lets_go()
     total = np.zeros(N**3, np.int64)
     for batch in batches:
         for text in batch.column("text").to_pylist():
@@ -175,47 +178,57 @@ def features(plain: str, restored: str) -> list[str]:
 class _Cached:
     """A function of a token, remembered for a bounded number of tokens."""
 
-    def __init__(self, f: Callable):
-        self.f, self.known = f, {}
+    def __init__(self, f: Callable, most: int = _CACHE):
+        self.f, self.most, self.known = f, most, {}
 
     def __call__(self, token: str):
         got = self.known.get(token)
         if got is None:
-            if len(self.known) >= _CACHE:
+            if len(self.known) >= self.most:
                 self.known.clear()
             got = self.known[token] = self.f(token)
         return got
 
 
-def lexicon(labelled: DataFrame, model: np.ndarray, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
-    """(feature -> share of toxic documents, base score) from (text, toxic) rows."""
+def _feature_counts(model: np.ndarray):
+    """Arrow batches (text, toxic) -> (feature, clean texts, toxic texts), a feature once or several times."""
 
-    def count(batches):
+    def run(batches):
+        worker_lets_go()
         decoder = Decoder(model)
-        known = _Cached(lambda t: features(*decoder.read(t)))
+        known = _Cached(lambda t: features(*decoder.read(t)), _LISTS_CACHE)
         seen: tuple[Counter, Counter] = Counter(), Counter()
 
-        def flushed():
-            rows = [(f, seen[0][f], seen[1][f]) for f in seen[0].keys() | seen[1].keys()]
-            seen[0].clear()
-            seen[1].clear()
-            cols = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["f", "clean", "toxic"])
+        def flushed(toxic: int):
+            """One side's counts as columns, without a row object for each feature."""
+            f = pa.array(seen[toxic].keys(), pa.string(), size=len(seen[toxic]))
+            n = pa.array(seen[toxic].values(), pa.int64(), size=len(f))
+            none = pa.array(np.zeros(len(f), np.int64))
+            seen[toxic].clear()
+            return pa.RecordBatch.from_arrays([f, none, n] if toxic else [f, n, none], names=["f", "clean", "toxic"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                tokens, apart = decoder.words(text)
-                found = {""}
-                for t in tokens:
-                    found.update(known(t))
-                for w in apart:
-                    found.update(features("", w))
-                seen[1 if toxic else 0].update(found)
-                if len(seen[0]) + len(seen[1]) > 500_000:
-                    yield flushed()
-        yield flushed()
-
-    counts = labelled.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                    tokens, apart = decoder.words(text)
+                    found = {""}
+                    for t in tokens:
+                        found.update(known(t))
+                    for w in apart:
+                        found.update(features("", w))
+                    seen[1 if toxic else 0].update(found)
+                    if len(seen[0]) + len(seen[1]) > _COUNTED:
+                        yield flushed(0)
+                        yield flushed(1)
+        yield flushed(0)
+        yield flushed(1)
+
+    return run
+
+
+def lexicon(labelled: DataFrame, model: np.ndarray, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
+    """(feature -> share of toxic documents, base score) from (text, toxic) rows."""
+    counts = labelled.mapInArrow(_feature_counts(model), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = counts.where("toxic >= 3 or f = ''").persist()
     try:
         all_ = counts.where("f = ''").first()

@@ -5,17 +5,18 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.llm import fingerprints as P
-from gleaner.llm import licences, line_dedup, url_filters
+from gleaner.llm import common, licences, line_dedup, toxicity, url_filters
 from gleaner.llm.neighbours import nearest, perturbations
 from gleaner.llm.packing import SumOfSquaresPacker, WordTokenizer, pack_documents, tokenizer_file
 from gleaner.llm.toxicity import FOLD, N, Decoder, character_model, features, held_out, reject_toxic, toxicity_scores
@@ -307,6 +308,35 @@ def test_planted_disguises_are_caught(spark):
     assert scores == {10_001: 1, 10_002: 1, 10_003: 0, 10_004: 1}
 
 
+def test_counting_gives_back_what_earlier_stages_left_in_the_worker():
+    """A pipeline's workers come from packing with its tokenizer and the words it knows."""
+    model = np.log(np.full((N, N, N), 1 / N))
+    batch = pa.RecordBatch.from_pydict({"text": ["a fine day", None], "toxic": [0, 1]})
+    for run in (toxicity._trigrams, toxicity._feature_counts(model)):
+        common.worker_keeps("words of a file", dict)
+        assert sum(b.num_rows for b in run(iter([batch]))) > 0 and not common._kept
+
+
+def test_feature_counts_passed_on_in_parts_add_up(monkeypatch):
+    monkeypatch.setattr(toxicity, "_COUNTED", 40)
+    monkeypatch.setattr(toxicity, "_LISTS_CACHE", 5)
+    model = np.log(np.full((N, N, N), 1 / N))
+    texts = [f"{a}stone {b}wick{a} shared word" for a in ("amber", "birch", "cedar", "doler") for b in ("fenn", "gorse", "hazel", "iriss")] * 20 + [None, ""]
+    rows = [(t, i % 3 == 0) for i, t in enumerate(texts)]
+    decoder, want = Decoder(model), Counter()
+    for t, toxic in rows:
+        for f in {""}.union(*(features(*decoder.read(w)) for w in (t or "").split())):
+            want[f, toxic] += 1
+    got, sizes = Counter(), []
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("text", "toxic"), map(list, zip(*rows[i : i + 300]))))) for i in (0, 300)]
+    for b in toxicity._feature_counts(model)(iter(batches)):
+        sizes.append(b.num_rows)
+        for r in b.to_pylist():
+            got[r["f"], False] += r["clean"]
+            got[r["f"], True] += r["toxic"]
+    assert +got == want and len(sizes) > 4 and max(sizes) <= 60
+
+
 def test_folding_keeps_letters():
     assert "éàñüß".translate(FOLD) == "eanuss"
 

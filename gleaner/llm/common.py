@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterator
@@ -90,6 +91,8 @@ def worker_lets_go() -> None:
         _kept.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory for the worker otherwise
+        trim(0)
 
 
 def shuffle_width(spark: SparkSession) -> int:

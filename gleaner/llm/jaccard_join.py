@@ -79,7 +79,7 @@ _BLANK[[ord(c) for c in BLANKS]] = True
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 18  # bytes of text hashed at a time, some 60 bytes of memory each; a longer text is hashed alone
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -90,15 +90,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of the hash base and of its inverse, grown on demand; those of a text longer than a chunk are not kept."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        grown = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+        if n <= 2 * _CHUNK:
+            self.up, self.down = grown
+        return grown
 
 
 _POWERS = _Powers()

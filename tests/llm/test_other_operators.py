@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
+import resource
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -317,6 +320,24 @@ def test_counting_gives_back_what_earlier_stages_left_in_the_worker():
         assert sum(b.num_rows for b in run(iter([batch]))) > 0 and not common._kept
 
 
+def test_a_worker_gives_freed_memory_back_to_the_machine():
+    """Freed blocks below one that is held stay with the process unless it asks for a trim."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is None:
+        pytest.skip("needs glibc")
+
+    def mb():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+
+    trim(0)
+    start, blocks = mb(), [bytes(5000) for _ in range(30_000)]
+    held = blocks[::1000]
+    full = mb()
+    del blocks
+    common.worker_lets_go()
+    assert full - start > 100 and mb() - start < 30 and len(held) == 30
+
+
 def test_feature_counts_passed_on_in_parts_add_up(monkeypatch):
     monkeypatch.setattr(toxicity, "_COUNTED", 40)
     monkeypatch.setattr(toxicity, "_LISTS_CACHE", 5)

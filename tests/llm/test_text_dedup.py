@@ -166,6 +166,18 @@ def test_shingle_sets_count_like_python(texts):
     assert [len(s) for s in J.shingle_sets(texts)] == [len(shingles(t)) for t in texts]
 
 
+def test_hashing_keeps_little_memory_and_does_not_depend_on_the_chunk(monkeypatch):
+    """A worker lives through many tasks: what it keeps must not follow the texts that it has met."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Ab", "cé", "d\tE", "fgh"]) + str(rng.randint(0, 300)) for _ in range(n)) for n in (0, 3, 40, 900, 5, 200_000, 60, 7)] + [None, " "]
+    sets = J.shingle_sets(texts * 3)
+    assert J._POWERS.up.nbytes + J._POWERS.down.nbytes < 10e6
+    for size in (64, 1 << 22):
+        monkeypatch.setattr(J, "_CHUNK", size)
+        monkeypatch.setattr(J, "_POWERS", J._Powers())
+        assert all(np.array_equal(x, y) for x, y in zip(sets, J.shingle_sets(texts * 3), strict=True))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 400), max_size=300), st.sets(st.integers(0, 400), max_size=300))
 def test_parity_bits_differ_at_most_where_sets_do(a, b):
